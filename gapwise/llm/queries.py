@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import conversation_digests
 from .common import table
+from .packing import pack_documents
 from .sharding import byte_shards
 
 
@@ -45,8 +46,18 @@ FROM sized GROUP BY conv_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op7_chat_formatting": op7_chat_formatting}
+    return {"op1_sharding": op1_sharding, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
