@@ -22,49 +22,66 @@ STEP_SEQUENCES = 8
 CACHED_WORDS = 600_000
 
 
+#: How byte-level vocabularies split text before merging (fixed value, public pattern of these vocabularies).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 bytes stand for themselves, others count up from 256."""
+    own = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
 def byte_bpe_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts with the tokenizers library, each distinct word once; ids as packed little-endian uint32.
 
     The vocabulary's splitting pattern never puts a character after white space into one token with what stands
-    before that white space, so a text may be cut before each space that follows a non-space, and the pieces
-    encoded one by one. The library encodes the pieces a worker hasn't met yet.
+    before that white space, so a text may be cut before each space that follows a non-space. Pieces a worker has
+    met are looked up; a new piece is split by the pattern, and the library's model merges each new word.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     library = Tokenizer.from_file(tokenizer_path)
+    merge, letters = library.model.tokenize, byte_letters()
     added = [t.content for t in library.get_added_tokens_decoder().values()]
-    unsafe = re.compile(r"\s\s|" + "|".join(map(re.escape, added)))
+    unsafe = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
     gap = re.compile(r"(?<=\S) ")
-    known = TwoAgeCache(CACHED_WORDS)
-
-    def pieces_of(text: str) -> list[str]:
-        if not text:
-            return []
-        if (found := unsafe.search(text)) is None:
-            parts = text.split(" ")
-            if parts[0] == "":  # a leading space belongs to the first word
-                parts = parts[1:]
-                return [" " + p for p in parts]
-        elif any(a in text for a in added):
-            return [text]  # strings of added tokens may hold anything: no cuts
-        else:
-            parts = gap.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    words_of = regex.compile(SPLIT).findall
+    known, words = TwoAgeCache(CACHED_WORDS), TwoAgeCache(CACHED_WORDS)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def encode_piece(piece: str) -> bytes:
+        out = []
+        for word in words_of(piece):
+            if (ids := words[word]) is None:
+                ids = b"".join(t.id.to_bytes(4, "little") for t in merge(word.encode().decode("latin-1").translate(letters)))
+                words[word] = ids
+            out.append(ids)
+        return b"".join(out)
 
+    def encode(texts: list[str]) -> list[bytes]:
         known.trim()
+        words.trim()
         out = []
         for text in texts:
-            pieces = pieces_of(text)
+            if (found := unsafe.search(text)) is None:
+                first, *rest = text.split(" ")
+                pieces = [first, *[" " + p for p in rest]]
+            elif found[0].isspace() and not any(a in text for a in added):
+                first, *rest = gap.split(text)
+                pieces = [first, *[" " + p for p in rest]]
+            else:  # strings of added tokens are one token each; the library cuts them out
+                out.append(b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids))
+                continue
             packed = list(map(known.__getitem__, pieces))
             if None in packed:
-                new = list(dict.fromkeys(p for p, ids in zip(pieces, packed, strict=True) if ids is None))
-                for piece, found in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-                packed = list(map(known.__getitem__, pieces))
+                for k, ids in enumerate(packed):
+                    if ids is None:
+                        if (ids := known[pieces[k]]) is None:
+                            ids = known[pieces[k]] = encode_piece(pieces[k])
+                        packed[k] = ids
             out.append(b"".join(packed))
         return out
 
