@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,29 +63,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-class TwoAgeCache(dict):
-    """A dictionary of bounded size: when the young half is full it becomes the old one.
-
-    Lookups that fall through to the old half move the entry back; missing keys return None.
-    """
+class WordCache(dict):
+    """A dictionary of bounded size. Frequent words come early, so trim() keeps the earlier half and drops the later."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.half, self.old = max(1, limit // 2), {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+        self.limit = limit
 
     def trim(self) -> None:
-        """Call between batches: entries may be dropped here and nowhere else."""
-        if len(self) >= self.half:
-            self.old = dict(self)
+        if len(self) > self.limit:
+            kept = list(islice(self.items(), self.limit // 2))
             self.clear()
-
-
-def slices(batch, rows: int) -> Iterator:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+            self.update(kept)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import TwoAgeCache, column_or_null
+from .common import WordCache, column_or_null
 
 CONTEXT = 1024
 #: Context sizes, longest first; a document is routed to the shortest that holds it.
@@ -19,7 +20,7 @@ TIERS = (1024, 512, 256, 128, 64)
 BLOCK_TOKENS = 4_000_000
 #: Sequences of one step; each step gets near-equal tokens.
 STEP_SEQUENCES = 8
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 
 
 #: How byte-level vocabularies split text before merging (fixed value, public pattern of these vocabularies).
@@ -50,39 +51,47 @@ def byte_bpe_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     unsafe = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
     gap = re.compile(r"(?<=\S) ")
     words_of = regex.compile(SPLIT).findall
-    known, words = TwoAgeCache(CACHED_WORDS), TwoAgeCache(CACHED_WORDS)
-
-    def encode_piece(piece: str) -> bytes:
-        out = []
-        for word in words_of(piece):
-            if (ids := words[word]) is None:
-                ids = b"".join(t.id.to_bytes(4, "little") for t in merge(word.encode().decode("latin-1").translate(letters)))
-                words[word] = ids
-            out.append(ids)
-        return b"".join(out)
+    spaced, others, words = WordCache(CACHED_WORDS), WordCache(CACHED_WORDS // 10), WordCache(CACHED_WORDS // 2)
+
+    def encode_word(word: str) -> bytes:
+        if (ids := words.get(word)) is None:
+            ids = words[word] = array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
+        return ids
+
+    def encode_piece(before: str, piece: str) -> bytes:
+        # the commonest shapes, split as the pattern does
+        if piece.isalpha():
+            return encode_word(before + piece)
+        if piece[-1:] in {",", "."} and piece[:-1].isalpha():
+            return encode_word(before + piece[:-1]) + encode_word(piece[-1])
+        return b"".join(map(encode_word, words_of(before + piece)))
+
+    def look_up(known: WordCache, pieces: list[str], before: str) -> list[bytes]:
+        """The ids of each piece with `before` in front."""
+        packed = list(map(known.get, pieces))
+        at, missing = -1, packed.count(None)
+        for _ in range(missing):
+            at = packed.index(None, at + 1)
+            piece = pieces[at]
+            if (ids := known.get(piece)) is None:
+                ids = known[piece] = encode_piece(before, piece)
+            packed[at] = ids
+        return packed
 
     def encode(texts: list[str]) -> list[bytes]:
-        known.trim()
-        words.trim()
+        for cache in (spaced, others, words):
+            cache.trim()
         out = []
         for text in texts:
             if (found := unsafe.search(text)) is None:
-                first, *rest = text.split(" ")
-                pieces = [first, *[" " + p for p in rest]]
+                pieces = text.split(" ")
             elif found[0].isspace() and not any(a in text for a in added):
-                first, *rest = gap.split(text)
-                pieces = [first, *[" " + p for p in rest]]
+                pieces = gap.split(text)
             else:  # strings of added tokens are one token each; the library cuts them out
                 out.append(b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids))
                 continue
-            packed = list(map(known.__getitem__, pieces))
-            if None in packed:
-                for k, ids in enumerate(packed):
-                    if ids is None:
-                        if (ids := known[pieces[k]]) is None:
-                            ids = known[pieces[k]] = encode_piece(pieces[k])
-                        packed[k] = ids
-            out.append(b"".join(packed))
+            first = look_up(others, pieces[:1], "")
+            out.append(b"".join(first + look_up(spaced, pieces[1:], " ")))
         return out
 
     return encode
