@@ -10,6 +10,7 @@ from .chat import conversation_digests
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack_documents
+from .pieces import encode_decode
 from .sharding import byte_shards
 from .warc import archive_pages, read_archives
 
@@ -73,12 +74,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing}
+    return {"op1_sharding": op1_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
