@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import conversation_digests
 from .common import table
 from .exact_dedup import exact_groups
+from .language_id import language_ids
 from .packing import pack_documents
 from .pieces import encode_decode
 from .sharding import byte_shards
@@ -82,8 +83,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing}
+    return {"op1_sharding": op1_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
