@@ -10,6 +10,7 @@ from .chat import conversation_digests
 from .common import table
 from .exact_dedup import exact_groups
 from .language_id import language_ids
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .pieces import encode_decode
 from .sharding import byte_shards
@@ -75,6 +76,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -88,7 +93,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
+    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
