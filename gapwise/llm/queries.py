@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .language_id import language_ids
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .pii import span_digests
 from .pieces import encode_decode
 from .sharding import byte_shards
 from .warc import archive_pages, read_archives
@@ -40,6 +41,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(*archive_pages(table(spark, sf_dir, "pages"), least_bytes=0))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 #: Conversation -1: both texts hold the template's own marks.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -93,7 +98,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
+    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
