@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import conversation_digests
 from .common import table
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .language_id import language_ids
 from .minhash import near_duplicates
@@ -97,8 +98,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id}
+    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_embedding_dedup": op10_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
