@@ -150,10 +150,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Empty table: no rows. Other columns are ignored.
     """
+    rows, groups = _owned(docs, id_col, text_col, keep)
+    thin = rows.select("id", F.sha2("key", 256).alias("text_sha256"))
+    joined = thin.join(groups, "text_sha256")
+    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """One whole row of each group of exact_groups(); of repeated rows with the id that stays, one.
+
+    Whole rows meet the groups by hash and id, so a group of copies is spread by its ids.
+    """
+    _, groups = _owned(docs, id_col, text_col, keep)
+    keyed = docs.withColumn("__hash", F.sha2(_normal(docs, text_col), 256)).withColumn("__id", column_or_null(docs, id_col, "long"))
+    wanted = groups.select(F.col("text_sha256").alias("__hash"), F.col("keep_id").alias("__keep"))
+    met = keyed.join(wanted, (keyed["__hash"] == wanted["__hash"]) & keyed["__id"].eqNullSafe(wanted["__keep"]), "left_semi")
+    return met.dropDuplicates(["__hash", "__id"]).select(*(f"`{c}`" for c in docs.columns))
+
+
+def _normal(docs: DataFrame, text_col: str):
+    return lower_ascii(F.coalesce(column_or_null(docs, text_col, "string"), F.lit(""))).cast("binary")
+
+
+def _owned(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as (id, key), and the groups as (text_sha256, keep_id, group_size)."""
     scratch = Scratch(docs.sparkSession, "exact")
     pick = larger if keep == "largest" else smaller
-    norm = lower_ascii(F.coalesce(column_or_null(docs, text_col, "string"), F.lit(""))).cast("binary")
-    rows = docs.select(column_or_null(docs, id_col, "long").alias("id"), norm.alias("key"))
+    rows = docs.select(column_or_null(docs, id_col, "long").alias("id"), _normal(docs, text_col).alias("key"))
 
     def collapse(batches, local: bool):
         import pyarrow as pa
@@ -182,6 +205,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = rows.mapInArrow(lambda b: collapse(b, True), "bytes long, hash binary, key binary, owner long, n long")
     groups = part.repartition("bytes", "hash").mapInArrow(lambda b: collapse(b, False), "hash binary, keep_id long, group_size long")
     groups = scratch.save(groups, "groups")
-    thin = rows.select("id", F.sha2("key", 256).alias("text_sha256"))
-    joined = thin.join(groups.select(F.lower(F.hex("hash")).alias("text_sha256"), "keep_id", "group_size"), "text_sha256")
-    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows, groups.select(F.lower(F.hex("hash")).alias("text_sha256"), "keep_id", "group_size")

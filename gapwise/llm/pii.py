@@ -196,6 +196,15 @@ def masked(text: Column, base: Column, terms: Column) -> Column:
     ))
 
 
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with their spans masked in the text; null texts stay null."""
+    others = tuple(c for c in docs.columns if c != id_col)
+    found = personal_spans(docs, id_col, text_col, keep=others)
+    clean = masked(F.col(f"`{text_col}`"), F.col("__base"), F.col("__terms"))
+    found = found.toDF("__row", id_col, *others, "__base", "__terms")  # by place: the table may have columns of such names
+    return found.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
 def joined(spans: Column, kind: Column | None = None) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", kind if kind is not None else s["kind"], s["start"].cast("string"), s["end"].cast("string")))
 
