@@ -19,8 +19,10 @@ UNIVERSE_BITS = 21
 BAND_ROWS, MISS = 5, 1e-6
 #: Groups that the members of one representative are dealt to for verification.
 SALTS = 256
-#: Representatives of a bucket in each round; the last goes on until nothing is open.
-ROUNDS = (2, 8, 32)
+#: Most representatives of a bucket in each round; the last goes on until nothing is open.
+ROUNDS = (2, 16, 256)
+#: Shingles of the sets that a verifying task keeps at hand.
+KEPT_SHINGLES = 4_000_000
 CHUNK = 1 << 20
 
 
@@ -136,40 +138,55 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (member, rep) class pairs those with 100 * common >= percent * union, on the whole sets.
+    """The links (a, b), roots of member and rep, of those pairs with 100 * common >= percent * union on whole sets.
 
     The members of a representative are dealt to SALTS groups; each group gets the representative's text once,
-    ahead of its members', and a task streams through its groups with one set in memory.
+    ahead of its members', and a task streams through its groups. Sets that recur are kept, up to a bound.
     """
-    asked = pairs.select("rep", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt"), F.col("member").alias("class"), F.lit(1).alias("role"))
-    heads = asked.select("rep", "salt").distinct().select("rep", "salt", F.col("rep").alias("class"), F.lit(0).alias("role"))
-    rows = asked.unionByName(heads).join(texts, "class").select("rep", "salt", "role", "class", "text")
+    asked = pairs.select("rep", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt"), F.col("member").alias("class"), F.lit(1).alias("role"), "root", "rep_root")
+    heads = asked.select("rep", "salt").distinct().select("rep", "salt", F.col("rep").alias("class"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("root"), F.lit(None).cast("binary").alias("rep_root"))
+    rows = asked.unionByName(heads).join(texts, "class").select("rep", "salt", "role", "class", "text", "root", "rep_root")
     rows = rows.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "role")
 
     def run(batches):
         import pyarrow as pa
 
+        kept: dict[bytes, np.ndarray] = {}
+        held = 0
         rep, head = None, None
         for batch in batches:
-            found = []
+            found = set()
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                for r, role, c, text in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                    own = shingle_set(normal_words(text), width)
+                texts_ = part.column(4)
+                for k, (r, role, c, root, rep_root) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 5, 6)), strict=True)):
+                    if (own := kept.get(c)) is None:
+                        own = shingle_set(normal_words(texts_[k].as_py()), width)
+                        if held + len(own) > KEPT_SHINGLES:
+                            kept, held = {}, 0
+                        kept[c] = own
+                        held += len(own)
                     if role == 0:
                         rep, head = r, own
                         continue
                     if r != rep:
                         raise ValueError("a representative's text is missing")
-                    common = len(np.intersect1d(head, own, assume_unique=True))
+                    common = common_count(head, own)
                     if 100 * common >= percent * (len(head) + len(own) - common):
-                        found.append((c, r))
+                        found.add((root, rep_root))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document: id, n_shingles, component_id, kept.
 
@@ -199,35 +216,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).mapInArrow(_of_class, "class binary, text string")
     texts = scratch.save(texts, "texts")  # an id that repeats gives its text again, and its pairs are verified again
 
-    links = scratch.save(spark.createDataFrame([], "a binary, b binary"), "links-0")
-    tested, roots, turn = None, None, 0
+    tested, steps, turn = None, [], 0
     while True:
-        reps = ROUNDS[min(turn, len(ROUNDS) - 1)]
-        picks = members.groupBy("bucket").agg(*(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("rep"), F.col("n").alias("rep_n"), F.col("root").alias("rep_root"))).alias(f"r{k}") for k in range(reps)))
-        picks = picks.select("bucket", F.array_distinct(F.transform(F.array(*(f"r{k}" for k in range(reps))), lambda r: F.struct(r["rep"].alias("rep"), r["rep_n"].alias("rep_n"), r["rep_root"].alias("rep_root")))).alias("picks"))
+        # a few members of each bucket: the first by hash of each slot
+        slots = ROUNDS[min(turn, len(ROUNDS) - 1)]
+        order = F.xxhash64("class", F.lit(turn))
+        picks = members.groupBy("bucket", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("class").alias("rep"), F.col("n").alias("rep_n"), F.col("root").alias("rep_root"))).alias("pick"))
+        picks = picks.groupBy("bucket").agg(F.collect_list(F.struct("pick.rep", "pick.rep_n", "pick.rep_root")).alias("picks"))
         met = members.join(picks, "bucket")
         pairs = met.select(F.col("class").alias("member"), "n", "root", F.inline("picks")).filter(
             (F.col("root") != F.col("rep_root")) & (100 * F.least("n", "rep_n") >= percent * F.greatest("n", "rep_n"))
         )
-        pairs = pairs.select("member", "rep").distinct()
+        # two representatives meet in both orders, and pairs of earlier rounds may meet again in another bucket
+        pairs = pairs.select("member", "rep", "root", "rep_root").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["member", "rep"], "left_anti").join(tested.select(F.col("rep").alias("member"), F.col("member").alias("rep")), ["member", "rep"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
-        found = verified(pairs, texts, width, percent)
-        links = scratch.save(links.unionByName(found), f"links-{turn + 1}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = connected_components(links, scratch, f"roots-{turn}")
-        left = met.filter(~F.exists("picks", lambda p: p["rep"] == F.col("class"))).select("bucket", "class", "n")
-        left = left.join(roots.select(F.col("node").alias("class"), F.col("root").alias("joined")), "class", "left").select("bucket", "class", "n", F.coalesce("joined", "class").alias("root"))
+        tested = pairs.select("member", "rep") if tested is None else tested.unionByName(pairs.select("member", "rep"))
+        links = scratch.save(verified(pairs, texts, width, percent), f"links-{turn}")
+        # links join roots of the round before; the classes' roots follow at the end, step by step
+        step = connected_components(links, scratch, f"roots-{turn}")
+        steps.append(step)
+        left = met.filter(~F.exists("picks", lambda p: p["rep"] == F.col("class"))).select("bucket", "class", "n", "root")
+        left = left.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("bucket", "class", "n", F.coalesce("joined", "root").alias("root"))
         open_ = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
         members = scratch.save(left.join(open_, "bucket"), f"members-{turn + 1}")
-        scratch.drop(f"members-{turn}", f"links-{turn}")
+        scratch.drop(f"members-{turn}")
         turn += 1
         if members.isEmpty():
             break
     scratch.drop("texts", *(f"pairs-{t}" for t in range(turn)))
 
-    joined = classes.select("class", "first_id").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    joined = classes.select("class", "first_id", F.col("class").alias("root"))
+    for step in steps:
+        joined = joined.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("class", "first_id", F.coalesce("joined", "root").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "root").select("class", "component_id")
     out = signed.select("id", "class", "n").join(named, "class", "left")
