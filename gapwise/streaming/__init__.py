@@ -1,0 +1,13 @@
+"""The stateless operators on streams: every column function and broadcast join here works on a streaming DataFrame.
+
+There is no stateful operator to offer; score_stream() shows the one composition that a stream of materials needs.
+"""
+
+from pyspark.sql import DataFrame
+
+from gapwise.operators.predict import predictions
+
+
+def score_stream(materials: DataFrame, bias: DataFrame) -> DataFrame:
+    """Both stand-ins for each arriving material; `bias` is a static table."""
+    return predictions(materials, bias)
