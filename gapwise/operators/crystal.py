@@ -115,7 +115,7 @@ def _cells(materials: DataFrame) -> DataFrame:
 def atoms(materials: DataFrame, elements: DataFrame) -> DataFrame:
     """material_id, role, symbol, color, radius, x, y, z, scale. Unknown symbols get a grey.
 
-    The structures' atoms (63 rows) and the elements are broadcast.
+    The structures' atoms (64 rows) and the elements are broadcast.
     """
     spark = materials.sparkSession
     met = _cells(materials).join(F.broadcast(kind_atoms(spark)), "kind")
