@@ -1,0 +1,458 @@
+"""Each operator on small hostile tables, against brute force or an exact round trip."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gapwise.llm import chat, embedding_dedup, exact_dedup, language_id, minhash, packing, pieces, pii, sharding, warc
+from gapwise.llm.components import connected_components
+from gapwise.llm.common import Scratch
+from gapwise.llm.queries import tokenizer_file
+
+# columns whose names clash with those that the operators use inside
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row long, size long, class string, bands string, near string, text_sha256 string"
+
+
+def random_words(n, seed):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+
+
+def hostile_texts():
+    base = random_words(120, 1)
+    words = base.split()
+    near = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in (3, 40, 80)]
+    texts = [None, "", " ", "\n\t ", "...", "one", "One two", "one  two", "A b C", "a B c", base, base.upper(), base, *near, random_words(30_000, 2), "é" * 500, "日本 語 😀", "x<|endoftext|>y", "0 " * 400, "a\u0085b c"]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else "fr", "s", None) for i, t in enumerate(hostile_texts())]
+    rows += [rows[10], rows[10], (None, "one", None, None, 1), (None, None, None, None, None), (3, random_words(120, 1), "en", "s", 2)]
+    return spark.createDataFrame([(*r, 1, 2, 3, "c", "b", "n", "t") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def source(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_shards(docs, empty):
+    rows = sharding.byte_shards(docs, 4).collect()
+    want = sorted((repr(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in source(docs))
+    assert sorted((repr(r.doc_id), r.size, r.text_crc32) for r in rows) == want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    assert sharding.byte_shards(empty).count() == 0
+
+
+def test_shards_are_even_and_contiguous(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 37 as int))").alias("text")).repartition(7)
+    rows = sorted(sharding.byte_shards(df, 8).collect(), key=lambda r: r.doc_id)
+    total = collections.Counter()
+    for r in rows:
+        total[r.shard] += r.size
+    assert max(total.values()) - min(total.values()) <= 2 * 38
+    assert [r.shard for r in rows] == sorted(r.shard for r in rows)
+
+
+def shingles(text, width):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def brute_components(rows, width, percent):
+    sets = [shingles(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(s), least.get(find(k)), i == least.get(find(k))) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(docs, width, percent):
+    got = minhash.near_duplicates(docs, width, percent).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_components(source(docs), width, percent)))
+
+
+def test_near_duplicate_chains(spark):
+    """Texts that each differ a little from the one before, and groups that only resemble each other."""
+    r = random.Random(5)
+    texts, words = [], random_words(100, 9).split()
+    for _ in range(40):
+        words = list(words)
+        words[r.randrange(100)] = f"new{r.random()}"
+        texts.append(" ".join(words))
+    frame = random_words(100, 10).split()
+    texts += [" ".join(frame[:85] + random_words(15, 100 + k).split()) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = minhash.near_duplicates(df, 3, 85).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(list(enumerate(texts)), 3, 85))
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_signature_estimates_similarity():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 2000, dtype=np.uint64) * np.uint64(2)
+    b = np.concatenate([a[:1600], rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2)])
+    same = (minhash.signature(np.unique(a), 400) == minhash.signature(np.unique(b), 400)).mean()
+    assert abs(same - 1600 / 2400) < 0.1
+
+
+def test_components(spark):
+    r = random.Random(3)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (None, 1)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b and None not in (a, b):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()
+    assert {x.node: x.root for x in got} == {x: find(x) for x in list(root)}
+
+
+def test_pieces(docs, empty):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    got = pieces.encode_decode(docs, tokenizer_file("piece_bpe_32k.model"), with_content=True).collect()
+    want = []
+    for i, t in source(docs):
+        ids = library.encode(t or "", add_bos=True, add_eos=True)
+        want.append((repr(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    assert pieces.encode_decode(empty, tokenizer_file("piece_bpe_32k.model")).count() == 0
+
+
+def test_pieces_on_odd_strings():
+    coder = pieces.PieceEncoder(tokenizer_file("piece_bpe_32k.model"))
+    library = coder.v.library
+    r = random.Random(8)
+    odd = ["".join(r.choice(["a", "the", " ", "  ", "▁", "\n", "é", "😀", "ing", ",", "\u0000", "1"]) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    for text, packed in zip(odd, coder.encode(odd), strict=True):
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert coder.pack(ids) == packed and library.decode(ids) == coder.decode(packed), text
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_groups(docs, empty, keep):
+    norm = [(i, exact_text(t)) for i, t in source(docs)]
+    groups = collections.defaultdict(list)
+    for i, t in norm:
+        groups[t].append(i)
+    pick = max if keep == "largest" else min
+    owner = {t: pick([i for i in ids if i is not None], default=None) for t, ids in groups.items()}
+    want = sorted(repr((i, owner[t], len(groups[t]), i == owner[t], hashlib.sha256(t.encode()).hexdigest())) for i, t in norm)
+    assert sorted(repr(tuple(r)) for r in exact_dedup.exact_groups(docs, keep=keep).collect()) == want
+    left = exact_dedup.without_copies(docs, keep=keep)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, exact_text(r.text)) for r in left.collect()))) == sorted(repr((o, t)) for t, o in owner.items())
+    assert exact_dedup.exact_groups(empty).count() == 0 == exact_dedup.without_copies(empty).count()
+
+
+def exact_text(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 2000, 300])
+def test_trie_spills(limit):
+    r = random.Random(2)
+    trie, want = exact_dedup.PatriciaOwners(exact_dedup.larger, limit), {}
+    for i in range(2000):
+        key = bytes(r.choice(b"ab") for _ in range(r.randint(0, 12)))
+        key = b"common prefix" * 3 + key if i % 7 == 0 else key
+        trie.add(key, i, 1)
+        want[key] = (i, want.get(key, (0, 0))[1] + 1)
+    assert {k: (o, n) for k, o, n in trie.items()} == want
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [(5, "http://a/ b\n", "same"), (2, None, "same"), (9, "u", None), (1, "u", ""), (7, "u", "é" * 1000), (7, "u", "é" * 1000), (None, "u", "same"), (None, "u", "lone"), (8, "u", "WARC/1.1\r\n\r\n")]
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, ordinal int, archive string").repartition(3)
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc(pages, least):
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    owner = {}
+    for i, b in rows:
+        if len(b) >= least and i is not None:
+            owner[b] = min(i, owner.get(b, i))
+    want = []
+    for i, b in rows:
+        first = owner.get(b, i) if len(b) >= least else i
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first == i else "revisit", None if first == i else first))
+    got = warc.read_archives(*warc.archive_pages(pages, least))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_warc_members_are_seekable(pages):
+    archives, folder = warc.archive_pages(pages)
+    import gzip
+    import json
+
+    for (path,) in archives.collect():
+        data = open(path, "rb").read()
+        entries = [json.loads(line) for line in open(path + warc.INDEX_SUFFIX)]
+        assert sum(e["length"] for e in entries) == len(data)
+        for e in entries:
+            assert gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]).startswith(b"WARC/1.1\r\nWARC-Type: " + e["type"].encode())
+    assert warc.read_archives(*warc.archive_pages(pages.limit(0))).count() == 0
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+@pytest.fixture(scope="module")
+def private(spark):
+    texts = [None, "", "a@b.c_d@e.f x..@y-.z", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111", "+1 (555) 010-9999. +1 2 +49 30 123456 7", "😀é x@y.zz 日本 q@w.ee", "x@y" * 50 + ".z", "0" * 3000, "1 " * 3000, "a." * 3000 + "@b.c", "@" * 2000, "a@b" + ".c" * 3000]
+    texts += ["".join(random.Random(k).choice(["a@b.co", "1.2.3.4", "+12 345 678 90", "4111 1111 1111 1111", " ", ".", "@", "9", "é", "😀", "-"]) for _ in range(40)) for k in range(60)]
+    texts += [f"filler{k} zanzibar wrote to boss@corp.com yesterday evening" for k in range(4)] + [f"evening filler{k} yesterday" for k in range(300)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_personal_spans(private):
+    want = {r.doc_id: base_spans(r.text or "") for r in private.collect()}
+    texts = {r.doc_id: r.text or "" for r in private.collect()}
+    got = pii.span_digests(private).collect()
+    assert len(got) == len(want)
+    for r in got:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), texts[r.doc_id][:200]
+        assert r.spans.startswith(base)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want[r.doc_id]) for k in pii.PATTERNS]
+        terms = [texts[r.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r.spans.split(",") if s.startswith("term")]
+        # the rare word beside an entity reveals it, the common ones don't; single occurrences prove nothing
+        assert terms == (["zanzibar", "wrote"] if "zanzibar" in texts[r.doc_id] else [])
+
+
+def test_sanitised(private, docs, empty):
+    got = {r.doc_id: r.text for r in pii.sanitised(private).collect()}
+    source_ = {r.doc_id: r.text for r in private.collect()}
+    for i, t in source_.items():
+        if t is not None and not base_spans(t):
+            assert got[i] == t
+    assert got[0] is None
+    assert next(t for i, t in got.items() if "zanzibar" in (source_[i] or "")).split()[1:5] == ["[TERM]", "[TERM]", "to", "[EMAIL]"]
+    assert pii.sanitised(docs).columns == docs.columns and pii.sanitised(docs).count() == docs.count()
+    assert pii.span_digests(empty).count() == 0 == pii.sanitised(empty).count()
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(4)
+    bits = ["<|im_start|>", "<|im_end|>", "<|im_esc|>", "\n", "\\", "|", "<", "a", "assistant", "\\n", "<\\|", "é", ""]
+    rows = [(c, t, "".join(r.choice(bits) for _ in range(2)) if r.random() < 0.3 else r.choice(["user", "assistant", "system", None]), "".join(r.choice(bits) for _ in range(r.randint(0, 7))) if r.random() < 0.9 else None) for c in range(60) for t in range(r.randint(1, 5))]
+    rows += [(99, 0, "user", "x"), (99, 0, "user", "x"), (99, None, "assistant", "y"), (None, 1, "user", "z" * 100_000)]
+    df = spark.createDataFrame([(*x, "f") for x in rows], "conv_id long, turn long, role string, text string, formatted string")
+    turns = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        turns[c].append((t is not None, t or 0, role or "", text or ""))
+    want = []
+    for c, ts in turns.items():
+        ts.sort()
+        said = "".join(f"{role}\n{text}\n" for *_, role, text in ts)
+        spoken = "".join(text for *_, role, text in ts if role == "assistant")
+        want.append((c, len(ts), hashlib.sha256(said.encode()).hexdigest(), len(spoken), hashlib.sha256(spoken.encode()).hexdigest()))
+    got = [tuple(x)[:5] for x in chat.conversation_digests(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert chat.conversation_digests(df.limit(0)).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    got = packing.pack_documents(docs.coalesce(2), tokenizer_file("byte_bpe_50k.json")).collect()
+    want = collections.Counter()
+    for i, t in source(docs):
+        want[i, len(library.encode(t or "", add_special_tokens=False).ids) + 1] += 1
+    assert collections.Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024 and at & (at - 1) == 0  # no padding
+    ids = np.array([*library.encode(hostile_texts()[16], add_special_tokens=False).ids, 0], "<u4")
+    for r in got:
+        if r.doc_id == 16:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert packing.pack_documents(empty, tokenizer_file("byte_bpe_50k.json")).count() == 0
+
+
+def test_packed_blocks():
+    r = random.Random(1)
+    for _ in range(100):
+        lengths = [r.choice([1, 5, 60, 300, 1023, 1024, 1025, 5000, r.randint(1, 3000)]) for _ in range(r.randint(0, 60))]
+        got = [[] for _ in lengths]
+        for window in packing.pack_block(lengths):
+            size = sum(n for *_, n in window)
+            assert size <= 1024 and size & (size - 1) == 0
+            for d, start, n in window:
+                got[d].append((start, n))
+        for parts, whole in zip(got, lengths, strict=True):
+            at = 0
+            for start, n in sorted(parts):
+                assert start == at and n > 0
+                at += n
+            assert at == whole
+    steps = packing.balanced_steps([1024] * 20 + [64] * 4, 8)
+    assert sorted(collections.Counter(steps).values()) == [8, 8, 8]
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    encode = packing.byte_bpe_encoder(tokenizer_file("byte_bpe_50k.json"))
+    r = random.Random(6)
+    odd = ["".join(r.choice(["a", "the", " ", "  ", "\n", "é", "😀", "ing", ",", ".", "'s", "1", "\u0085", "\x1c", "　", "<|endoftext|>", "²", "́"]) for _ in range(r.randint(0, 12))) for _ in range(600)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(odd)] == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_language_ids(spark, sf_dir, docs, empty):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in language_id.language_ids(table).collect()}
+    truth = {r.doc_id: r.lang for r in table.collect()}
+    held = [i for i in got if got[i].held_out]
+    assert set(held) == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    unique = docs.filter("doc_id <> 3 and doc_id <> 10")
+    texts = dict(source(unique))
+    for r in language_id.identify(unique, language_id.fit(table)).collect():
+        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id] or ""))
+    assert language_id.language_ids(docs).count() == docs.count()
+    assert language_id.language_ids(empty).count() == 0
+    unlabelled = language_id.language_ids(table.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in unlabelled] == ["und"]
+
+
+def test_marginals_are_exact():
+    """Forward-backward against the sum over all labellings."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    crf = language_id.Crf(["a", "b", "c"], {}, np.zeros((1, 3), np.float32), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores, word, lengths = rng.normal(size=(5, 3)), np.array([0, 1, 2, 3, 4, 1, 0, 2]), np.array([2, 5, 1])
+    got = crf.marginals(scores, word, lengths)
+    at = 0
+    for n in lengths:
+        want = np.zeros((n, 3))
+        for y in itertools.product(range(3), repeat=int(n)):
+            p = np.exp(crf.start[y[0]] + sum(scores[word[at + k], y[k]] for k in range(n)) + sum(crf.transitions[y[k], y[k + 1]] for k in range(n - 1)))
+            for k in range(n):
+                want[k, y[k]] += p
+        assert np.allclose(got[at : at + n], want / want.sum(1, keepdims=True))
+        at += n
+
+
+def test_code_switching(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang in ('en', 'fr')").collect()
+    samples = [(r.lang, language_id.words_of(r.text)) for r in rows]
+    crf = language_id.train(samples[:80])
+    en, fr = (next(w for lang, w in samples[80:] if lang == name and len(w) > 40)[:40] for name in ("en", "fr"))
+    words = list(dict.fromkeys(en + fr))
+    gamma = crf.marginals(crf.emissions(words), np.array([words.index(w) for w in en + fr]), np.array([80]))
+    assert (gamma[:38].argmax(1) == 0).mean() > 0.9 and (gamma[42:].argmax(1) == 1).mean() > 0.9
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_vectors(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "MISS", 1e-9)
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(260):
+        rows.append((k, rng.normal(size=16).tolist(), k % 3))
+    dense = rng.normal(size=16)
+    rows += [(1000 + k, (dense + rng.normal(size=16) * 0.03).tolist(), 1) for k in range(90)]
+    rows += [(2000, rows[0][1], 0), (2001, rows[0][1], 1), (2002, [2 * x for x in rows[1][1]], 1), (2003, None, 1), (2004, [0.0] * 16, 1), (2005, [float("nan")] * 16, 1), (2006, rows[0][1], None), (2007, [1.0, 2.0], 0), (2008, [1.0, 2.0], 0), (None, rows[2][1], 2), (2009, [None, 1.0], 0), (2010, [], 0), (2000, rows[0][1], 0)]
+    df = spark.createDataFrame([(*r, 1, "h") for r in rows], "vec_id long, embedding array<float>, label int, row int, head string").repartition(4)
+    links, n = collections.defaultdict(list), len(rows)
+    unit = [None if not v or None in v or not np.isfinite(v).all() or not any(v) else np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for _, v, _ in rows]
+    for a in range(n):
+        for b in range(a):
+            if rows[a][2] is not None and rows[a][2] == rows[b][2] and unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93:
+                links[a].append(b)
+                links[b].append(a)
+    want = []
+    for a in range(n):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in links[todo.pop()]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        least = min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)
+        want.append((rows[a][0], len(links[a]), least, rows[a][0] == least))
+    got = [tuple(r) for r in embedding_dedup.near_vectors(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf_dir, docs, empty):
+    import corpus_pipeline as pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        for df in (table, docs, empty):
+            assert stage(spark, df, sf_dir).columns == df.columns, name
+    kept = pipeline.exact(spark, pipeline.language(spark, table, sf_dir), sf_dir)
+    texts = [r.text for r in kept.collect()]
+    assert len({exact_text(t) for t in texts}) == len(texts)
+    final = pipeline.near(spark, kept, sf_dir).select("doc_id", "text").collect()
+    assert len(final) == len({c for _, _, c, _ in brute_components([(r.doc_id, r.text) for r in kept.collect()], 5, 80)})
+    clean = {r.doc_id: r.text for r in pipeline.private(spark, table, sf_dir).collect()}
+    assert len(clean) == table.count() and all(not base_spans(t) for t in clean.values())
+    assert pipeline.run(spark, sf_dir).count() > 0
