@@ -180,6 +180,47 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def linkable(n, lone, other_n, other_lone, percent: int):
+    """Whether sets of these sizes, with so many elements that no other candidate has, can be as similar as asked."""
+    common = F.least(n - lone, other_n - other_lone)
+    return 100 * common >= percent * (n + other_n - common)
+
+
+def without_loners(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The members that may still link in their bucket, with `lone`: how many of their shingles no other member has.
+
+    What remains to be found lies between members, so a shingle of one member alone is in no common part; a member
+    with many of them is dropped where even the smallest set of its bucket leaves it too little. This spares the
+    comparison of each much edited copy in a large group with all others. Shingles are counted where they are read,
+    before they are shuffled.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingle_set(normal_words(t), width) for t in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], names=["class", "h"])
+
+    shingles = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "text").mapInArrow(run, "class binary, h long")
+    single = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("class").alias("class")).filter("times = 1")
+    lone = single.groupBy("class").agg(F.count(F.lit(1)).alias("lone"))
+    least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    met = members.drop("lone").join(lone, "class", "left").withColumn("lone", F.coalesce("lone", F.lit(0).cast("long"))).join(least, "bucket")
+    # the other set has the common part at least
+    other = F.greatest("least_n", F.col("n") - F.col("lone"))
+    return met.filter(linkable(F.col("n"), F.col("lone"), other, F.lit(0), percent)).select("bucket", "class", "n", "lone", "root")
+
+
+def still_open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    return members.join(several, "bucket")
+
+
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
     """The size of the intersection of two sorted sets."""
     both = np.concatenate([a, b])
@@ -196,8 +237,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Texts with equal words are one class, and work goes on between classes. Buckets aren't expanded into pairs:
     each round picks a few representatives of a bucket and verifies, on whole sets, those members that no chain of
-    links joins to them yet. A member that was a representative is done with. Rounds go on until the remaining
-    members of every bucket are joined, so each pair of a bucket is either verified or in one component.
+    links joins to them yet. A member that was a representative is done with. After the first round, members that
+    hold too much that no other has are dropped. Rounds go on until the remaining members of every bucket are
+    joined, so each pair of a bucket is verified, in one component, or too different by these counts.
 
     Null or empty text, or no words: no shingles, no links. Null ids: such rows take part; a component whose ids
     are all null has none and all its rows are kept. Repeated rows are in one class. Empty table: no rows.
@@ -209,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = scratch.save(classes, "classes")
     rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = scratch.save(rows.join(shared, "bucket").withColumn("root", F.col("class")), "members-0")
+    members = scratch.save(rows.join(shared, "bucket").select("bucket", "class", "n", F.lit(0).cast("long").alias("lone"), F.col("class").alias("root")), "members-0")
 
     wanted = members.select("class").distinct().join(classes.select("class", "first_id"), "class")
     source = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
@@ -221,11 +263,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # a few members of each bucket: the first by hash of each slot
         slots = ROUNDS[min(turn, len(ROUNDS) - 1)]
         order = F.xxhash64("class", F.lit(turn))
-        picks = members.groupBy("bucket", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("class").alias("rep"), F.col("n").alias("rep_n"), F.col("root").alias("rep_root"))).alias("pick"))
-        picks = picks.groupBy("bucket").agg(F.collect_list(F.struct("pick.rep", "pick.rep_n", "pick.rep_root")).alias("picks"))
+        picks = members.groupBy("bucket", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("class").alias("rep"), F.col("n").alias("rep_n"), F.col("lone").alias("rep_lone"), F.col("root").alias("rep_root"))).alias("pick"))
+        picks = picks.groupBy("bucket").agg(F.collect_list(F.struct("pick.rep", "pick.rep_n", "pick.rep_lone", "pick.rep_root")).alias("picks"))
         met = members.join(picks, "bucket")
-        pairs = met.select(F.col("class").alias("member"), "n", "root", F.inline("picks")).filter(
-            (F.col("root") != F.col("rep_root")) & (100 * F.least("n", "rep_n") >= percent * F.greatest("n", "rep_n"))
+        pairs = met.select(F.col("class").alias("member"), "n", "lone", "root", F.inline("picks")).filter(
+            (F.col("root") != F.col("rep_root")) & linkable(F.col("n"), F.col("lone"), F.col("rep_n"), F.col("rep_lone"), percent)
         )
         # two representatives meet in both orders, and pairs of earlier rounds may meet again in another bucket
         pairs = pairs.select("member", "rep", "root", "rep_root").distinct()
@@ -237,11 +279,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # links join roots of the round before; the classes' roots follow at the end, step by step
         step = connected_components(links, scratch, f"roots-{turn}")
         steps.append(step)
-        left = met.filter(~F.exists("picks", lambda p: p["rep"] == F.col("class"))).select("bucket", "class", "n", "root")
-        left = left.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("bucket", "class", "n", F.coalesce("joined", "root").alias("root"))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-        members = scratch.save(left.join(open_, "bucket"), f"members-{turn + 1}")
+        left = met.filter(~F.exists("picks", lambda p: p["rep"] == F.col("class"))).select("bucket", "class", "n", "lone", "root")
+        left = left.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("bucket", "class", "n", "lone", F.coalesce("joined", "root").alias("root"))
+        members = scratch.save(still_open(left), f"members-{turn + 1}")
         scratch.drop(f"members-{turn}")
+        if turn == 0:
+            members = scratch.save(still_open(without_loners(members, texts, width, percent)), "members-left")
         turn += 1
         if members.isEmpty():
             break
