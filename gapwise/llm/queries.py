@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .pii import span_digests
 from .pieces import encode_decode
 from .sharding import byte_shards
+from .sql import OP2_SQL, OP10_SQL
 from .warc import archive_pages, read_archives
 
 
@@ -107,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op2_minhash": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op10_embedding_dedup": OP10_SQL}
