@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).mapInArrow(_of_class, "class binary, text string")
     texts = scratch.save(texts, "texts")  # an id that repeats gives its text again, and its pairs are verified again
 
+    scratch.release()
     tested, steps, turn = None, [], 0
     while True:
         # a few members of each bucket: the first by hash of each slot
@@ -285,6 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         scratch.drop(f"members-{turn}")
         if turn == 0:
             members = scratch.save(still_open(without_loners(members, texts, width, percent)), "members-left")
+        scratch.release()
         turn += 1
         if members.isEmpty():
             break
