@@ -162,10 +162,14 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Whole rows meet the groups by hash and id, so a group of copies is spread by its ids.
     """
     _, groups = _owned(docs, id_col, text_col, keep)
-    keyed = docs.withColumn("__hash", F.sha2(_normal(docs, text_col), 256)).withColumn("__id", column_or_null(docs, id_col, "long"))
-    wanted = groups.select(F.col("text_sha256").alias("__hash"), F.col("keep_id").alias("__keep"))
-    met = keyed.join(wanted, (keyed["__hash"] == wanted["__hash"]) & keyed["__id"].eqNullSafe(wanted["__keep"]), "left_semi")
-    return met.dropDuplicates(["__hash", "__id"]).select(*(f"`{c}`" for c in docs.columns))
+
+    def key(text_hash, id_):
+        # one string, so that the join and the removal of repeats share an exchange
+        return F.concat_ws(":", text_hash, F.coalesce(id_.cast("string"), F.lit("null")))
+
+    keyed = docs.withColumn("__key", key(F.sha2(_normal(docs, text_col), 256), column_or_null(docs, id_col, "long")))
+    wanted = groups.select(key(F.col("text_sha256"), F.col("keep_id")).alias("__key"))
+    return keyed.join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _normal(docs: DataFrame, text_col: str):
@@ -205,4 +209,6 @@ def _owned(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[Data
     part = rows.mapInArrow(lambda b: collapse(b, True), "bytes long, hash binary, key binary, owner long, n long")
     groups = part.repartition("bytes", "hash").mapInArrow(lambda b: collapse(b, False), "hash binary, keep_id long, group_size long")
     groups = scratch.save(groups, "groups")
+    del part
+    scratch.release()
     return rows, groups.select(F.lower(F.hex("hash")).alias("text_sha256"), "keep_id", "group_size")
