@@ -253,6 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = scratch.save(rows.join(shared, "bucket").select("bucket", "class", "n", F.lit(0).cast("long").alias("lone"), F.col("class").alias("root")), "members-0")
 
+    scratch.release()
     wanted = members.select("class").distinct().join(classes.select("class", "first_id"), "class")
     source = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
     texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).mapInArrow(_of_class, "class binary, text string")
