@@ -29,12 +29,14 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set and Spark runs in one process (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(sc, "_gapwise_shared", None)
         if base is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = sc._gapwise_shared = "file://" + tempfile.mkdtemp(prefix="gapwise-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")
