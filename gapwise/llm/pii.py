@@ -18,11 +18,12 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: A term is a word of at least TERM_LETTERS letters within WINDOW characters of an entity.
-TERM, WINDOW = r"\p{L}{4,}", 80
-#: A term is withheld if its information about the entity reaches this share of the entity's own information
-#: content, and they meet in at least this many documents.
-DISCLOSURE, SUPPORT = 0.8, 3
+#: A term is a word of at least four letters, anywhere in a document that holds an entity.
+TERM = r"\p{L}{4,}"
+#: A term is withheld if its information about the entity reaches this share of the entity's own information content.
+#: PRIOR documents that hold the entity no more often than the corpus does are added to the term's own, so that few
+#: documents prove little in a small corpus.
+DISCLOSURE, PRIOR = 0.8, 1.0
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -105,43 +106,80 @@ def with_base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*rows.columns, *(F.filter(k, _validity(k)).alias(k) for k in PATTERNS))
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """Terms around each entity: array<struct<entity, term, start, end>>; those that touch a base span are left out.
+def without_spans(text: Column, base: Column) -> Column:
+    """The text with each character of the base spans made a zero: places stay, and no word holds any of a span."""
+    return F.aggregate(
+        F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.repeat(F.lit("0"), s["end"] - F.greatest(a["at"], s["start"]))).alias("out"),
+        ),
+        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
+    )
 
-    A window is cut from the text with one character more at its outer end, so that cut words can be told.
-    """
 
-    def side(s: Column, after: bool) -> Column:
-        low = s["end"] if after else F.greatest(s["start"] - WINDOW - 1, F.lit(0))
-        high = F.least(s["end"] + WINDOW + 1, F.length(text)) if after else s["start"]
-        piece = F.substr(text, low + 1, high - low)
-        # at the very ends of the text nothing is cut; a space there says so
-        piece = F.when(high == F.length(text), F.concat(piece, F.lit(" "))).otherwise(piece) if after else F.when(low == 0, F.concat(F.lit(" "), piece)).otherwise(piece)
-        shift = low if after else F.when(low == 0, -1).otherwise(low)
-        pattern = rf"{TERM}(?=\P{{L}})" if after else rf"(?<=\P{{L}}){TERM}"
+def occurrences(text: Column, terms: Column) -> Column:
+    """array<struct<start, end>>: every word of the text that is one of the terms once it is lower-cased, in order."""
 
-        def terms(v: Column) -> Column:
-            found = spans_of(F.split(v["piece"], pattern, -1), F.regexp_extract_all(v["piece"], F.lit(pattern), F.lit(0)))
-            return F.transform(found, lambda t: F.struct(v["entity"].alias("entity"), F.lower(t["match"]).alias("term"), (t["start"] + v["shift"]).alias("start"), (t["end"] + v["shift"]).alias("end")))
+    def spans(v: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(v["m"]) - 1),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
+            lambda a, k: let(
+                F.struct((a["at"] + F.length(F.get(v["g"], k))).alias("start"), F.get(v["m"], k).alias("word"), a["found"].alias("found")),
+                lambda w: let(
+                    F.struct(w["start"].alias("start"), (w["start"] + F.length(w["word"])).alias("end")),
+                    lambda s: F.struct(s["end"].alias("at"), F.when(F.array_contains(v["terms"], F.lower(w["word"])), F.concat(w["found"], F.array(s))).otherwise(w["found"]).alias("found")),
+                ),
+            ),
+            lambda a: a["found"],
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    parts = F.struct(F.split(text, TERM, -1).alias("g"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), terms.alias("terms"))
+    return let(parts, lambda v: F.when(F.size(v["m"]) > 0, spans(v)).otherwise(none))
 
-        return let(F.struct(piece.alias("piece"), shift.alias("shift"), F.xxhash64(F.lower(s["match"])).alias("entity")), terms)
 
-    near = F.flatten(F.transform(base, lambda s: F.concat(side(s, False), side(s, True))))
-    return F.array_distinct(F.filter(near, lambda t: ~F.exists(base, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
+def most_documents(both: Column, entity: Column, total: int) -> Column:
+    """How many documents a term may be in and still reveal an entity that is in `entity` of `total`, if both meet in `both`.
+
+    log2(p(entity | term) / p) >= DISCLOSURE * log2(1 / p) for p = entity / total and
+    p(entity | term) = (both + PRIOR * p) / (term + PRIOR). An entity that is everywhere has nothing to reveal: -1.
+    """
+    p = entity / F.lit(float(max(1, total)))
+    return F.when(p < 1, (both + PRIOR * p) / F.pow(p, F.lit(1 - DISCLOSURE)) - PRIOR + 1e-9).otherwise(-1.0)
 
 
-def disclosing_terms(found: DataFrame, words: DataFrame, total: int) -> DataFrame:
-    """(entity, term) pairs whose term reveals the entity.
+def disclosing_terms(marked: DataFrame, words: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """(row, term): the terms of each row that reveal one of its entities, counts being of documents.
 
-    found: row, entity, term. words: term, documents - counts over the whole corpus. A pair qualifies if
-    log2(N * both / (term * entity)) >= DISCLOSURE * log2(N / entity) and both >= SUPPORT, counts being of documents.
+    marked: row, entities, rest (the text without its base spans). words: term, documents - over the whole corpus.
+
+    A row's term that would reveal an entity if they met in this row alone is settled by its own count, whatever the
+    number of entities. Others are counted against the entities that they could reveal if they met as often as their
+    counts allow; entities that are in the same documents are counted as one.
     """
-    both = found.groupBy("entity", "term").agg(F.countDistinct("row").alias("both")).filter(F.col("both") >= SUPPORT)
-    alone = found.groupBy("entity").agg(F.countDistinct("row").alias("entity_docs"))
-    n = F.lit(float(max(1, total)))
-    met = both.join(alone, "entity").join(words, "term")
-    information = F.log2(n * F.col("both") / (F.col("documents") * F.col("entity_docs")))
-    return met.filter((information > 0) & (information >= DISCLOSURE * F.log2(n / F.col("entity_docs")))).select("entity", "term")
+    held = marked.select("row", F.explode("entities").alias("entity"))
+    alike = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    classes = held.join(alike, "entity").select("row", F.struct("n", "x", "y").alias("class"))
+    by_row = classes.groupBy("row").agg(F.max(most_documents(F.lit(1), F.col("class.n"), total)).alias("sure"), F.collect_set(F.when(F.col("class.n") > 1, F.col("class"))).alias("classes"))
+    by_row = scratch.save(by_row, "by_row")
+    most = by_row.agg(F.max("sure"), F.max(F.array_max(F.transform("classes", lambda c: most_documents(c["n"], c["n"], total))))).first()
+    cap = max((m for m in most if m is not None), default=-1.0)
+
+    terms = marked.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(TERM), F.lit(0)))).alias("term"))
+    rare = terms.join(words.filter(F.col("documents") <= cap), "term").join(by_row, "row")
+    could = F.filter("classes", lambda c: F.col("documents") <= most_documents(F.least(c["n"], F.col("documents")), c["n"], total))
+    rare = rare.select("row", "term", "documents", (F.col("documents") <= F.col("sure")).alias("settled"), could.alias("open"))
+    rare = scratch.save(rare.filter(F.col("settled") | (F.size("open") > 0)), "rare")
+
+    # a settled term counts for other rows, in which no entity is rare enough to settle it
+    pairs = rare.select("row", "term", "documents", "settled", F.explode("open").alias("class"))
+    met = pairs.groupBy("class", "term").agg(F.count(F.lit(1)).alias("both"), F.max("documents").alias("documents"))
+    met = met.filter(F.col("documents") <= most_documents(F.least("both", "documents"), F.col("class.n"), total)).select("class", "term")
+    counted = pairs.filter(~F.col("settled")).join(met, ["class", "term"]).select("row", "term")
+    return rare.filter("settled").select("row", "term").unionByName(counted)
 
 
 def word_documents(docs: DataFrame, text: Column) -> DataFrame:
@@ -154,8 +192,9 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """For each document: row, id, the columns in `keep`, base and terms (arrays of spans).
 
     base is array<struct<kind, start, end>> of emails, ip addresses, cards and phones, each kind by itself, sorted by
-    kind as listed and start. terms is array<struct<start, end>>: words near an entity that reveal it, by how often
-    both occur in documents of the whole corpus. Counts are of documents, repeated ones included.
+    kind as listed and start. terms is array<struct<start, end>>: all places outside base of the words that reveal an
+    entity of the document, by how often both occur in documents of the whole corpus, wherever in them. Counts are of
+    documents, repeated ones included. Documents without base spans have no terms.
 
     Null text: empty, no spans. Null and repeated ids: each row gives a row. Empty table: no rows.
     """
@@ -164,18 +203,21 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column_or_null(docs, id_col, "long").alias("id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     marked = with_base_spans(rows)
     every = F.concat(*(F.transform(k, _named(k)) for k in PATTERNS))
-    marked = marked.select("row", "id", "text", *(f"kept_{c}" for c in keep), every.alias("base"))
-    near = F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base")))
-    marked = marked.select("row", "id", *(f"kept_{c}" for c in keep), F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), near.alias("near"))
+    columns = ["row", "id", *(f"kept_{c}" for c in keep), "base"]
+    marked = marked.select(*columns[:-1], "text", every.alias("base"))
+    some = F.size("base") > 0
+    spans = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(F.lower(s["match"]))))
+    marked = marked.select(*columns[:-1], spans.alias("base"), F.when(some, entities).alias("entities"), F.when(some, without_spans(F.col("text"), F.col("base"))).alias("rest"))
     marked = scratch.save(marked, "marked")
 
-    found = marked.filter(F.size("near") > 0).select("row", F.inline("near"))
-    pairs = disclosing_terms(found, word_documents(docs, text), marked.count())
-    hits = found.join(pairs, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    columns = ["row", "id", *(f"kept_{c}" for c in keep), "base"]
+    private = marked.filter(F.size("base") > 0)
+    revealing = disclosing_terms(private.select("row", "entities", "rest"), word_documents(docs, text), marked.count(), scratch)
+    hits = revealing.groupBy("row").agg(F.collect_set("term").alias("hits"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    with_terms = marked.filter(F.size("near") > 0).select(*columns).join(hits, "row", "left").withColumn("terms", F.coalesce("terms", none))
-    without = marked.filter(F.col("near").isNull() | (F.size("near") <= 0)).select(*columns, none.alias("terms"))
+    found = F.when(F.col("hits").isNotNull(), occurrences(F.col("rest"), F.col("hits"))).otherwise(none)
+    with_terms = private.select(*columns, "rest").join(hits, "row", "left").select(*columns, found.alias("terms"))
+    without = marked.filter(F.size("base") == 0).select(*columns, none.alias("terms"))
     out = with_terms.unionByName(without)
     return out.select(F.col("row"), F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "base", "terms")
 

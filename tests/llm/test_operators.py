@@ -285,6 +285,46 @@ def test_sanitised(private, docs, empty):
     assert pii.span_digests(empty).count() == 0 == pii.sanitised(empty).count()
 
 
+def brute_terms(texts):
+    """The words that reveal an entity of each text, from plain counts of documents."""
+    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
+    spans = [base_spans(t) for t in texts]
+    held = [{t[a:b].lower() for _, a, b in s} for t, s in zip(texts, spans, strict=True)]
+    rest = [set(re.findall(r"[^\W\d_]{4,}", "".join("0" if any(a <= k < b for _, a, b in s) else c for k, c in enumerate(t)).lower())) for t, s in zip(texts, spans, strict=True)]
+    alone, entity, both = (collections.Counter() for _ in range(3))
+    for w, h, r in zip(words, held, rest, strict=True):
+        alone.update(w)
+        entity.update(h)
+        both.update((e, t) for e in h for t in r)
+    out = []
+    for h, r in zip(held, rest, strict=True):
+        share = {e: entity[e] / len(texts) for e in h}
+        out.append({t for t in r if any(p < 1 and (both[e, t] + p) / (alone[t] + 1) >= p**0.2 * (1 - 1e-9) for e, p in share.items())})
+    return out
+
+
+def test_terms_of_rare_entities(spark):
+    """Entities in one and two documents, terms far from them and repeated; shared entities and common words."""
+    r = random.Random(12)
+    common = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(r.choices(common, k=40)) for _ in range(500)]
+    far = " ".join(r.choices(common, k=60))
+    texts += [f"Quixote {far} lone@one.org {far} quixote, QUIXOTE", f"umbrage {far} pair@two.org", f"pair@two.org and umbrage {far}"]
+    texts += [f"{far} desk@many.org" + " lantern" * (k % 3 > 0) + " harbour" * (k < 2) + f" own{'xyz'[k % 3]}{'abcdefgh'[k % 8]}{'ijkl'[k % 4]}" for k in range(24)]
+    texts += [f"lantern harbour {far}" for _ in range(6)]
+    for _ in range(40):
+        texts.append(" ".join([*r.choices(common, k=10), *(f"p{r.randrange(12)}@mix.org" for _ in range(3)), *(f"name{r.choice('abcdefghijkl')}{r.choice('mn')}" for _ in range(4))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_terms(texts)
+    for row in pii.personal_spans(df).collect():
+        text = texts[row.doc_id]
+        assert {text[s.start : s.end].lower() for s in row.terms} == want[row.doc_id]
+        assert len(row.terms) == sum(m[0].lower() in want[row.doc_id] for m in re.finditer(r"[^\W\d_]{4,}", text))
+    assert want[500] == {"quixote"} and want[501] == want[502] == {"umbrage"}
+    clean = {x.doc_id: x.text for x in pii.sanitised(df).collect()}
+    assert clean[500] == f"[TERM] {far} [EMAIL] {far} [TERM], [TERM]"
+
+
 def test_chat_round_trip(spark):
     r = random.Random(4)
     bits = ["<|im_start|>", "<|im_end|>", "<|im_esc|>", "\n", "\\", "|", "<", "a", "assistant", "\\n", "<\\|", "é", ""]
