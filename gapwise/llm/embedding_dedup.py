@@ -13,22 +13,14 @@ from .common import Scratch, column_or_null
 from .components import connected_components
 
 #: Bits of the concatenated hashes that order a pass, vectors of a block, and the chance that a pair at the
-#: threshold meets in no pass.
+#: threshold meets in no pass, above which a vector is compared with all others of its label.
 CODE_BITS, BLOCK, MISS = 48, 512, 1e-4
 #: Passes that are sorted in one exchange.
 PASSES_AT_ONCE = 4
-MOST_PASSES = 64
-
-
-def passes_for(rows: int, least_cosine: float) -> int:
-    """How many passes the largest label needs.
-
-    Two vectors at the threshold agree in a hash bit with chance 1 - angle / pi. In a pass they meet if they agree
-    in the first bits, as many as leave about a block of rows.
-    """
-    same = 1 - math.acos(least_cosine) / math.pi
-    bits = max(0.0, math.log2(max(1, rows) / BLOCK)) + 1
-    return min(MOST_PASSES, max(2, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))))
+#: Blocks that are taken as one where vectors are compared with all of their label.
+BLOCKS_AT_ONCE = 4
+#: A sixteenth of a bit of information is the unit in which chances are kept; the largest number stands for none.
+UNIT, NEVER = 16, 255
 
 
 def projections(turn: int, dimension: int) -> np.ndarray:
@@ -42,6 +34,26 @@ def codes(vectors: np.ndarray, turn: int) -> np.ndarray:
     return bits @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
 
 
+def normal_share(z: np.ndarray) -> np.ndarray:
+    """The standard normal distribution function, within 1e-7 (Abramowitz and Stegun 7.1.26)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x) / 2
+    return np.where(z >= 0, 1 - tail, tail)
+
+
+def agreements(vectors: np.ndarray, turn: int, least_cosine: float) -> np.ndarray:
+    """For each vector and each number of first bits, the chance that a partner at the threshold has the same bits.
+
+    Given the hyperplanes and the vector, over all directions of the partner. As -log2, in units, rounded up.
+    """
+    planes = projections(turn, vectors.shape[1])
+    margin = np.minimum(np.abs(vectors @ planes) / np.sqrt((planes * planes).sum(axis=0)), 1.0)
+    spread = math.sqrt(max(0.0, 1 - least_cosine**2)) * np.sqrt((1 - margin * margin) / max(1, vectors.shape[1] - 1))
+    share = normal_share(least_cosine * margin / np.maximum(spread, 1e-12))
+    return np.minimum(np.ceil(-UNIT * np.cumsum(np.log2(np.maximum(share, 1e-300)), axis=1)), NEVER).astype(np.uint8)
+
+
 def rows_of(column) -> tuple[np.ndarray, np.ndarray] | None:
     """(positions, matrix) where all lists have one length and no null; None otherwise."""
     if column.null_count or not len(column):
@@ -79,6 +91,29 @@ def linked(here: np.ndarray, there: np.ndarray, least_cosine: float) -> tuple[np
     return a[exact], b[exact]
 
 
+def met_before(column) -> np.ndarray:
+    """The block numbers of earlier passes, a row for each vector."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), len(values) // len(column))
+
+
+def forest(row: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """(row, n, head) of the links between the places a and b: their number, and the least row that they lead to."""
+    import pyarrow as pa
+
+    n = np.bincount(a, minlength=len(row)) + np.bincount(b, minlength=len(row))
+    head = row.copy()
+    while True:
+        new = head.copy()
+        np.minimum.at(new, a, head[b])
+        np.minimum.at(new, b, head[a])
+        if (new == head).all():
+            break
+        head = new
+    some = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.array(head[some])], names=["row", "n", "head"])
+
+
 def grouped(batches, keys: int):
     """Runs of equal values of the first `keys` columns, which the batches are sorted by: (key, table)."""
     import pyarrow as pa
@@ -111,8 +146,11 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
        comes from the rows counted in each partition, and cuts the order into blocks.
     2. A task compares a block with itself and the next one, so each vector meets its neighbours on either side.
        A pair counts in the first pass in which it meets, which the block numbers of earlier passes tell. A task
-       returns counts and a spanning forest of its links, not the pairs.
-    3. The forests of all passes are united. The number of passes follows from the largest label's size.
+       returns counts and a spanning forest of its links, not the pairs. The bits that set a vector's two
+       neighbouring blocks apart from the rest of its label are measured in each pass, and with them the chance
+       that it misses a partner at the threshold.
+    3. Passes go on until comparing the vectors whose chance is still above MISS with all others of their label,
+       which is exact, costs no more than the passes. So it is done. All forests are united.
     4. A component some of whose vectors link with half a block or more may be wider than a window; there the
        links are counted again, over all pairs of blocks of the component, which holds all its vectors' links.
 
@@ -125,21 +163,27 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), column_or_null(vectors, id_col, "long").alias("id"), column_or_null(vectors, label_col, "string").alias("label"), F.col(f"`{vector_col}`").alias("vector"))
     rows = scratch.save(rows, "rows")
     usable = rows.filter(F.col("label").isNotNull() & (F.size("vector") > 0)).select("row", "label", "vector")
-    largest = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    total = passes_for(largest or 0, least_cosine)
-
-    placed = usable.withColumn("seen", F.array().cast("array<long>"))
-    found, stored = None, None
-    for first in range(0, total, PASSES_AT_ONCE):
-        turns = list(range(first, min(total, first + PASSES_AT_ONCE)))
-        wide = _blocks(usable, turns).groupBy("row").agg(*(F.max(F.when(F.col("turn") == t, F.col("block"))).alias(f"b{t}") for t in turns))
-        placed = placed.join(wide, "row").select("row", "label", "vector", F.concat("seen", F.array(*(f"b{t}" for t in turns))).alias("seen"))
+    sizes = scratch.save(usable.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    number = sizes.agg(F.sum("size")).first()[0] or 0
+
+    placed = usable.select("*", F.array().cast("array<long>").alias("seen"), F.lit(0.0).alias("log_miss"))
+    found, stored, first = None, None, 0
+    while True:
+        unsettled = placed.filter(F.col("log_miss") > math.log(MISS)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        rest = unsettled.join(sizes, "label").agg(F.sum(F.col("n").cast("double") * F.col("size"))).first()[0] or 0
+        if rest <= number * 2 * BLOCK * (first + PASSES_AT_ONCE):
+            break
+        turns = list(range(first, first + PASSES_AT_ONCE))
+        wide = _blocks(usable, turns, least_cosine).groupBy("row").agg(F.sum("log_miss").alias("more"), *(F.max(F.when(F.col("turn") == t, F.col("block"))).alias(f"b{t}") for t in turns))
+        placed = placed.join(wide, "row").select("row", "label", "vector", F.concat("seen", F.array(*(f"b{t}" for t in turns))).alias("seen"), (F.col("log_miss") + F.col("more")).alias("log_miss"))
         placed = scratch.save(placed, f"placed-{first}")
-        met = scratch.save(_compared(placed, turns, least_cosine), f"met-{first}")
+        met = scratch.save(_compared(placed.select("row", "label", "vector", "seen"), turns, least_cosine), f"met-{first}")
         found = met if found is None else found.unionByName(met)
         if stored:
             scratch.drop(stored)
-        stored = f"placed-{first}"
+        stored, first = f"placed-{first}", first + PASSES_AT_ONCE
+    met = scratch.save(_all_compared(placed, least_cosine), "met-all")
+    found = met if found is None else found.unionByName(met)
     roots = connected_components(found.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "roots")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     linked_rows = scratch.save(roots.select(F.col("node").alias("row"), "root").join(counts, "row"), "linked")
@@ -168,8 +212,8 @@ def _positioned(ordered: DataFrame, key: str) -> tuple[DataFrame, dict[tuple[int
     return stored, before
 
 
-def _numbered(stored: DataFrame, before: dict, key: str) -> DataFrame:
-    """(key, row, block): blocks of BLOCK consecutive rows of each key."""
+def _numbered(stored: DataFrame, before: dict, key: str, size: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, row, block) and the columns in `more`: blocks of `size` consecutive rows of each key."""
 
     def run(batches):
         import pyarrow as pa
@@ -183,13 +227,16 @@ def _numbered(stored: DataFrame, before: dict, key: str) -> DataFrame:
                 start = seen.get(int(k), before.get((part, int(k)), 0))
                 position[at] = start + np.arange(len(at))
                 seen[int(k)] = start + len(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(position // BLOCK)], names=[key, "row", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(position // size), *batch.columns[2:]], names=[key, "row", "block", *more])
 
-    return stored.select(key, "row").mapInArrow(run, f"{key} int, row long, block long")
+    thin = stored.select(key, "row", *more)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in thin.schema[2:])
+    return thin.mapInArrow(run, f"{key} int, row long, block long{kinds}")
 
 
-def _blocks(usable: DataFrame, turns: list[int]) -> DataFrame:
-    """(turn, row, block): the block of each usable vector in each pass."""
+def _blocks(usable: DataFrame, turns: list[int], least_cosine: float) -> DataFrame:
+    """(turn, row, block, log_miss): the block of each usable vector in each pass, and the logarithm of the chance
+    that a partner at the threshold lies beyond the neighbouring blocks."""
 
     def coded(batches):
         import pyarrow as pa
@@ -199,13 +246,31 @@ def _blocks(usable: DataFrame, turns: list[int]) -> DataFrame:
             for at, unit in matrix(batch.column(2)):
                 for turn in turns:
                     n = len(at)
+                    agree = pa.array([a.tobytes() for a in agreements(unit, turn, least_cosine)], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([turn] * n, pa.int32()), label.take(pa.array(at)), pa.array([unit.shape[1]] * n, pa.int32()), pa.array(codes(unit, turn)), pa.array(row[at])], names=["turn", "label", "dimension", "code", "row"]
+                        [pa.array([turn] * n, pa.int32()), label.take(pa.array(at)), pa.array([unit.shape[1]] * n, pa.int32()), pa.array(codes(unit, turn)), pa.array(row[at]), agree], names=["turn", "label", "dimension", "code", "row", "agree"]
                     )
 
-    thin = usable.mapInArrow(coded, "turn int, label string, dimension int, code long, row long")
+    thin = usable.mapInArrow(coded, "turn int, label string, dimension int, code long, row long, agree binary")
     order = ["turn", "label", "dimension", "code", "row"]
-    return _numbered(*_positioned(thin.repartitionByRange(*order).sortWithinPartitions(*order), "turn"), "turn")
+    numbered = _numbered(*_positioned(thin.repartitionByRange(*order).sortWithinPartitions(*order), "turn"), "turn", BLOCK, ("label", "dimension", "code", "agree"))
+    place = F.struct("label", "dimension", "code")
+    ends = numbered.groupBy("turn", "block").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    below = ends.select("turn", (F.col("block") + 2).alias("block"), F.col("high").alias("below"))
+    above = ends.select("turn", (F.col("block") - 2).alias("block"), F.col("low").alias("above"))
+
+    def shared(other: str):
+        """First bits that the row has in common with a place out of reach; -1 where there is none in its label."""
+        apart = F.col("code").bitwiseXOR(F.col(f"{other}.code"))
+        same = (F.col(f"{other}.label") == F.col("label")) & (F.col(f"{other}.dimension") == F.col("dimension"))
+        return F.when(same, F.when(apart == 0, CODE_BITS).otherwise(CODE_BITS - F.length(F.bin(apart)))).otherwise(-1)
+
+    met = numbered.join(below, ["turn", "block"], "left").join(above, ["turn", "block"], "left").withColumn("bits", F.greatest(shared("below"), shared("above")) + 1)
+    # one byte for each number of bits
+    units = F.conv(F.hex(F.expr("substring(agree, bits, 1)")), 16, 10).cast("int")
+    met = met.select("turn", "row", "block", F.when(F.col("bits") == 0, 0).when(F.col("bits") > CODE_BITS, NEVER).otherwise(units).alias("units"))
+    chance = F.pow(F.lit(2.0), -F.col("units") / UNIT)
+    return met.select("turn", "row", "block", F.when(F.col("units") == NEVER, 0.0).when(F.col("units") == 0, -1e9).otherwise(F.log1p(-chance)).alias("log_miss"))
 
 
 def _compared(placed: DataFrame, turns: list[int], least_cosine: float) -> DataFrame:
@@ -219,12 +284,10 @@ def _compared(placed: DataFrame, turns: list[int], least_cosine: float) -> DataF
     spread = spread.select("turn", "g.group", "g.next", "row", "label", "vector", "seen")
 
     def run(batches):
-        import pyarrow as pa
-
         for (turn, _), rows in grouped(batches, 2):
             nxt, row = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             label = np.array(rows.column(4).to_pylist(), dtype=object)
-            _, seen = rows_of(rows.column(6))
+            seen = met_before(rows.column(6))
             left, right = [], []
             for at, unit in matrix(rows.column(5)):
                 mine = np.flatnonzero(nxt[at] == 0)
@@ -239,29 +302,57 @@ def _compared(placed: DataFrame, turns: list[int], least_cosine: float) -> DataF
                 right.append(b[good])
             if not left or not sum(map(len, left)):
                 continue
-            a, b = np.concatenate(left), np.concatenate(right)
-            n = np.bincount(a, minlength=len(row)) + np.bincount(b, minlength=len(row))
-            head = row.copy()
-            while True:  # the least row of each group of linked rows
-                new = head.copy()
-                np.minimum.at(new, a, head[b])
-                np.minimum.at(new, b, head[a])
-                if (new == head).all():
-                    break
-                head = new
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.array(head[some])], names=["row", "n", "head"])
+            yield forest(row, np.concatenate(left), np.concatenate(right))
 
     return spread.repartition("turn", "group").sortWithinPartitions("turn", "group").mapInArrow(run, "row long, n long, head long")
 
 
+def _all_compared(placed: DataFrame, least_cosine: float) -> DataFrame:
+    """(row, n, head): the links that no pass has met, of the vectors whose passes don't settle them.
+
+    Within a label such vectors come first, and the blocks that hold them are compared with all blocks of the label.
+    """
+    log_miss = F.col("log_miss") > math.log(MISS)
+    rows = placed.select("row", "label", "vector", "seen", log_miss.alias("open"))
+    rows = rows.join(rows.filter("open").select("label").distinct(), "label", "left_semi")
+    thin = rows.select(F.lit(0).alias("all"), "label", (~F.col("open")).alias("settled"), "row").repartitionByRange("label", "settled", "row").sortWithinPartitions("label", "settled", "row")
+    numbered = _numbered(*_positioned(thin, "all"), "all", BLOCK * BLOCKS_AT_ONCE).select("row", "block")
+    rows = rows.join(numbered, "row")
+    ranges = rows.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.max(F.when(F.col("open"), F.col("block"))).alias("last"))
+    met = rows.join(ranges, "label").withColumn("other", F.explode(F.sequence("low", "high"))).filter(F.least("block", "other") <= F.col("last"))
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "label", "vector", "seen")
+
+    def run(batches):
+        for (i, j), part in grouped(batches, 2):
+            side, row = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            label = np.array(part.column(4).to_pylist(), dtype=object)
+            seen = met_before(part.column(6))
+            left, right = [], []
+            for at, unit in matrix(part.column(5)):
+                mine = np.flatnonzero(side[at] == 0)
+                other = mine if i == j else np.flatnonzero(side[at] == 1)
+                if not len(mine) or not len(other):
+                    continue
+                a, b = linked(unit[mine], unit[other], least_cosine)
+                a, b = at[mine[a]], at[other[b]]
+                good = (label[a] == label[b]) & ((a < b) | (i != j))
+                for t in range(seen.shape[1]):
+                    good &= np.abs(seen[a, t] - seen[b, t]) > 1
+                left.append(a[good])
+                right.append(b[good])
+            if left and sum(map(len, left)):
+                yield forest(row, np.concatenate(left), np.concatenate(right))
+
+    return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "row long, n long, head long")
+
+
 def _recounted(members: DataFrame, least_cosine: float) -> DataFrame:
     """(row, recount): the links of each member of broad components, over all pairs of blocks of a component.
 
     members: row, root, vector. The work grows with the number of links there are to count; no pair is returned.
     """
     thin = members.select(F.lit(0).alias("all"), "root", "row").repartitionByRange("root", "row").sortWithinPartitions("root", "row")
-    placed = _numbered(*_positioned(thin, "all"), "all").select("row", "block")
+    placed = _numbered(*_positioned(thin, "all"), "all", BLOCK).select("row", "block")
     placed = members.join(placed, "row")
     ranges = placed.groupBy("root").agg(F.min("block").alias("low"), F.max("block").alias("high"))
     met = placed.join(ranges, "root").select("row", "root", "vector", "block", F.explode(F.sequence("low", "high")).alias("other"))

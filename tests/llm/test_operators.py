@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -481,6 +482,26 @@ def test_near_vectors(spark, block, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_a_cone(spark, monkeypatch):
+    """Background vectors of cosine 0.8 with each other, which few hyperplanes part."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    axis = np.eye(64)[0]
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    aside = unit(np.concatenate([np.zeros((1200, 1)), rng.normal(size=(1200, 63))], axis=1))
+    cone = math.sqrt(0.8) * axis + math.sqrt(0.2) * aside
+    turned = rng.normal(size=(400, 64))
+    turned = unit(turned - (turned * cone[:400]).sum(axis=1, keepdims=True) * cone[:400])
+    rows = np.concatenate([cone, 0.935 * cone[:400] + math.sqrt(1 - 0.935**2) * turned])
+    want = ((rows @ rows.T) >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want.tolist()
+
+
 def test_pipeline(spark, sf_dir, docs, empty):
     import corpus_pipeline as pipeline
 
