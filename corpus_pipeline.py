@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 
 from gapwise.llm.common import Scratch
 from gapwise.llm.exact_dedup import without_copies
-from gapwise.llm.language_id import UNDETERMINED, fit, identify
+from gapwise.llm.language_id import fit, identify
 from gapwise.llm.minhash import near_duplicates
 from gapwise.llm.packing import pack_documents
 from gapwise.llm.pii import sanitised
 from gapwise.llm.queries import tokenizer_file
 
-#: A document whose words' mean posterior for the best language is lower is rejected.
+#: A document is rejected if the mean of its words' largest posteriors, each for the word's own best language, is lower.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters or without a leading language go."""
-    tagged = identify(docs, fit(docs), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    kept = tagged.toDF("doc_id", *(c for c in docs.columns if c != "doc_id"), "__lang", "__score", "__words")
-    return kept.filter((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents with letters whose words' languages can be told, mixed ones too; with no model, all that have letters."""
+    model, others = fit(docs), tuple(c for c in docs.columns if c != "doc_id")
+    kept = identify(docs, model, keep=others).toDF("doc_id", *others, "__lang", "__score", "__words", "__certainty").filter(F.col("__words") > 0)
+    return (kept if model is None else kept.filter(F.col("__certainty") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

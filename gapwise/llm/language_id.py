@@ -224,10 +224,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Adds to each row's id (and the columns in `keep`) lang_pred, score and n_words.
+    """Adds to each row's id (and the columns in `keep`) lang_pred, score, n_words and certainty.
 
     Every word of the whole text gets the model's posterior over languages. The prediction is the language with
-    the largest mean posterior, the score that mean. Null text, a text without letters, or no model: "und", 0.
+    the largest mean posterior, the score that mean. The certainty is the mean of each word's own largest posterior,
+    which a mixed text can have as high as any. Null text, a text without letters, or no model: "und", 0.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -237,7 +238,7 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
         found = [words_of(t) if t else [] for t in texts]
         lengths = np.array([len(w) for w in found], dtype=np.int64)
         pred: list[str] = [UNDETERMINED] * len(texts)
-        score = np.zeros(len(texts))
+        score, certainty = np.zeros(len(texts)), np.zeros(len(texts))
         full = np.flatnonzero(lengths)
         if crf is not None and len(full):
             flat = [w for words in found for w in words]
@@ -245,12 +246,14 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
             word = np.fromiter(map(vocabulary.__getitem__, flat), np.int64, len(flat))
             size = lengths[full]
             gamma = crf.marginals(crf.emissions(list(vocabulary)), word, size)
-            share = np.add.reduceat(gamma, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+            begins = np.concatenate([[0], np.cumsum(size)[:-1]])
+            share = np.add.reduceat(gamma, begins, axis=0) / size[:, None]
+            certainty[full] = np.minimum(1.0, np.add.reduceat(gamma.max(axis=1), begins) / size)
             best = share.argmax(1)
             for k, b, s in zip(full, best, share.max(1), strict=True):
                 pred[k] = crf.langs[b]
                 score[k] = min(1.0, s)
-        return pred, score, lengths
+        return pred, score, lengths, certainty
 
     def run(batches):
         import pyarrow as pa
@@ -258,9 +261,9 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
 
         def done(parts):
             whole = pa.Table.from_batches(parts).combine_chunks()
-            pred, score, lengths = tag(whole.column("text").to_pylist())
+            pred, score, lengths, certainty = tag(whole.column("text").to_pylist())
             whole = whole.drop_columns(["text"])
-            for name, values in (("lang_pred", pa.array(pred, pa.string())), ("score", pa.array(score)), ("n_words", pa.array(lengths))):
+            for name, values in (("lang_pred", pa.array(pred, pa.string())), ("score", pa.array(score)), ("n_words", pa.array(lengths)), ("certainty", pa.array(certainty))):
                 whole = whole.append_column(name, values)
             yield from whole.to_batches()
 
@@ -278,8 +281,8 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema if f.name != "text")
-    out = thin.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_words long")
-    return out.select(F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "lang_pred", "score", "n_words")
+    out = thin.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_words long, certainty double")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "lang_pred", "score", "n_words", "certainty")
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

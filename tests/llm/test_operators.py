@@ -517,3 +517,19 @@ def test_pipeline(spark, sf_dir, docs, empty):
     clean = {r.doc_id: r.text for r in pipeline.private(spark, table, sf_dir).collect()}
     assert len(clean) == table.count() and all(not base_spans(t) for t in clean.values())
     assert pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_keeps_mixed_and_unlabelled_texts(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = {}
+    for r in table.filter("n_chars > 1000").orderBy("doc_id").collect():
+        words.setdefault(r.lang, []).extend(language_id.words_of(r.text))
+    a, b, c = (words[k] for k in sorted(words)[:3])
+    mixed = {-1: a[:80] + b[:60] + c[:60], -2: a[100:149] + b[100:149] + c[100:102], -3: c[200:240] + a[200:230] + b[200:230]}
+    more = spark.createDataFrame([(k, " ".join(w), "zz", None, None) for k, w in mixed.items()], "doc_id long, text string, lang string, source string, n_chars long").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in pipeline.language(spark, table.unionByName(more.select(*table.columns)), sf_dir).select("doc_id").collect()}
+    assert set(mixed) <= kept
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language(spark, unlabelled, sf_dir).count() == sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in table.collect())
