@@ -21,6 +21,8 @@ BLOCK_TOKENS = 4_000_000
 #: Sequences of one step; each step gets near-equal tokens.
 STEP_SEQUENCES = 8
 CACHED_WORDS = 900_000
+#: Pieces, of at most CONTEXT tokens each, that leave a task together.
+BATCH_PIECES = 4_000
 
 
 #: How byte-level vocabularies split text before merging (fixed value, public pattern of these vocabularies).
@@ -182,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
     33 bits, count within the partition below. They depend on the input's partitions, not on when a task runs.
 
     Returns a row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (the
-    sequence's size), step_group.
+    sequence's size), step_group, ids (the piece's tokens). A sequence is the ids of its pieces by offset.
 
     Null or empty text: the end id alone. Null or repeated ids: each row is a document. Empty table: no rows.
     """
@@ -203,19 +205,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
             windows = pack_block([len(p) // 4 for p in packed])
             sizes = [sum(n for _, _, n in w) for w in windows]
             steps = balanced_steps(sizes)
-            rows = []
+            rows, tokens = [], []
             for k, (window, size) in enumerate(zip(windows, sizes, strict=True)):
                 at = 0
                 for d, start, n in window:
-                    rows.append((ids[d], start, n, zlib.crc32(memoryview(packed[d])[4 * start : 4 * (start + n)]), len(packed[d]) // 4, base + sequence + k, at, size, base + step + steps[k]))
+                    tokens.append(memoryview(packed[d])[4 * start : 4 * (start + n)])
+                    rows.append((ids[d], start, n, zlib.crc32(tokens[-1]), len(packed[d]) // 4, base + sequence + k, at, size, base + step + steps[k]))
                     at += n
             sequence += len(windows)
             step += max(steps, default=-1) + 1
             ids, packed, held = [], [], 0
-            for at in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 50_000], strict=True)], names=names)
+            for at in range(0, len(rows), BATCH_PIECES):
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows[at : at + BATCH_PIECES], strict=True)]
+                offsets = np.concatenate([[0], np.cumsum(columns[2].to_numpy())]).astype(np.int32)
+                content = np.frombuffer(b"".join(tokens[at : at + BATCH_PIECES]), "<i4")
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(content))], names=names)
 
-        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -229,7 +235,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
             yield from flush()
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
-    kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
+    kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids array<int>"
     return thin.mapInArrow(pack, kinds).withColumnRenamed("id", id_col)
 
 

@@ -371,6 +371,21 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_ids(docs, monkeypatch):
+    """Documents can be put together again from the ids of their pieces."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BATCH_PIECES", 7)
+    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    unique = docs.filter("doc_id is not null and doc_id not in (3, 10)")
+    pieces_of = collections.defaultdict(list)
+    for r in packing.pack_documents(unique, tokenizer_file("byte_bpe_50k.json")).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        pieces_of[r.doc_id].append((r.start, r.ids))
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in source(unique)}
+    assert {i: [x for _, ids in sorted(parts) for x in ids] for i, parts in pieces_of.items()} == want
+
+
 def test_packed_blocks():
     r = random.Random(1)
     for _ in range(100):
