@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from itertools import islice
@@ -83,3 +84,17 @@ class WordCache(dict):
             kept = list(islice(self.items(), self.limit // 2))
             self.clear()
             self.update(kept)
+
+
+class WordHashes(dict):
+    """64 bits of the BLAKE2 hash of each word that is looked up; the first `limit` words are remembered."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        number = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < self.limit:
+            self[word] = number
+        return number

@@ -7,21 +7,23 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_or_null
+from .common import Scratch, WordHashes, column_or_null
 from .components import connected_components
 
 #: The universe of the two permutations.
 UNIVERSE_BITS = 21
 #: Coordinates of a band, and the chance that a pair at the threshold shares none.
 BAND_ROWS, MISS = 5, 1e-6
-#: Groups that the members of one representative are dealt to for verification.
-SALTS = 256
-#: Most representatives of a bucket in each round; the last goes on until nothing is open.
-ROUNDS = (2, 16, 256)
-#: Shingles of the sets that a verifying task keeps at hand.
+#: Members of a representative that are compared with it in one group.
+GROUP = 256
+#: Representatives that the open members of a group are compared with, one after the other, before the rest are
+#: matched by the elements in which they differ from the last of them.
+LEVELS = 3
+#: Shingles of the sets that a comparing task keeps at hand.
 KEPT_SHINGLES = 4_000_000
 CHUNK = 1 << 20
 
@@ -40,19 +42,6 @@ def permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     return sigma, np.concatenate([pi, pi[:coordinates]])
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -64,21 +53,17 @@ def normal_words(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split())
 
 
+_hashes = WordHashes(400_000)
+
+
 def word_hashes(normal: bytes) -> np.ndarray:
-    """A hash of each word, from differences of one running sum; long texts in chunks."""
-    if not normal:
-        return np.empty(0, np.uint64)
-    out, at = [], 0
+    """64 bits of the BLAKE2 hash of each word; long texts in chunks."""
+    out, at = [np.empty(0, np.uint64)], 0
     while at < len(normal):
         end = len(normal) if len(normal) - at <= CHUNK else normal.find(b" ", at + CHUNK)
         end = len(normal) if end < 0 else end
-        data = np.frombuffer(normal, np.uint8, end - at, at)
-        power, inverse = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-        gaps = np.flatnonzero(data == 32)
-        first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
-        out.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        words = normal[at:end].split(b" ")
+        out.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
         at = end + 1
     return np.concatenate(out)
 
@@ -95,6 +80,15 @@ def shingle_set(normal: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def whole_shingles(normal: bytes, width: int, number: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles themselves, each as the numbers of its words in the dictionary, which grows."""
+    words = normal.split(b" ")
+    ids = np.array([number.setdefault(w, len(number)) for w in words], np.int32)
+    size = min(width, len(ids))
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, size))
+    return np.unique(rows.view(np.dtype((np.void, 4 * size))).ravel())
+
+
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Coordinate k is the least pi(sigma(x) + k) over the set: slices of pi, minimised element by element."""
     sigma, pi = permutations(coordinates)
@@ -115,12 +109,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, class, n, bands): class is a 128-bit hash of the words, null without any."""
+    """(row, id, class, n, bands, text): class is a 128-bit hash of the words, null without any; row is unique."""
     coordinates = band_count(percent) * BAND_ROWS
 
     def run(batches):
         import pyarrow as pa
 
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -131,101 +126,177 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                     sizes.append(len(shingles))
                     classes.append(hashlib.blake2b(normal, digest_size=16).digest() if normal else None)
                     bands.append(band_keys(signature(shingles, coordinates)) if normal else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "class", "n", "bands"])
+                rows = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), part.column(1)], names=["row", "id", "class", "n", "bands", "text"])
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
-    return thin.mapInArrow(run, "id long, class binary, n long, bands array<long>")
+    return thin.mapInArrow(run, "row long, id long, class binary, n long, bands array<long>, text string")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (a, b), roots of member and rep, of those pairs with 100 * common >= percent * union on whole sets.
+def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str) -> DataFrame:
+    """What found(head, own) gives for each pair (g, m), as columns of `kinds` after those of `pairs`.
 
-    The members of a representative are dealt to SALTS groups; each group gets the representative's text once,
-    ahead of its members', and a task streams through its groups. Sets that recur are kept, up to a bound.
+    The members of a representative g are dealt to groups of about GROUP; each gets the representative's text once,
+    ahead of its members', and a task streams through its groups. head and own are Texts. Sets that recur are kept,
+    up to a bound. found() may give None for no row.
     """
-    asked = pairs.select("rep", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt"), F.col("member").alias("class"), F.lit(1).alias("role"), "root", "rep_root")
-    heads = asked.select("rep", "salt").distinct().select("rep", "salt", F.col("rep").alias("class"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("root"), F.lit(None).cast("binary").alias("rep_root"))
-    rows = asked.unionByName(heads).join(texts, "class").select("rep", "salt", "role", "class", "text", "root", "rep_root")
-    rows = rows.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "role")
+    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    salt = F.pmod(F.xxhash64("m"), F.ceil(F.col("members") / GROUP)).cast("int").alias("salt")
+    asked = pairs.join(sizes, "g").select("g", salt, F.lit(1).alias("role"), F.col("m").alias("row"), F.struct(*pairs.columns).alias("pair"))
+    heads = asked.select("g", "salt").distinct().select("g", "salt", F.lit(0).alias("role"), F.col("g").alias("row"), F.lit(None).cast(asked.schema["pair"].dataType).alias("pair"))
+    rows = asked.unionByName(heads).join(texts, "row").select("g", "salt", "role", "row", "text", "pair")
+    rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role")
 
     def run(batches):
         import pyarrow as pa
 
-        kept: dict[bytes, np.ndarray] = {}
+        kept: dict[int, np.ndarray] = {}
         held = 0
-        rep, head = None, None
+        g, head = None, None
         for batch in batches:
-            found = set()
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts_ = part.column(4)
-                for k, (r, role, c, root, rep_root) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 5, 6)), strict=True)):
-                    if (own := kept.get(c)) is None:
-                        own = shingle_set(normal_words(texts_[k].as_py()), width)
-                        if held + len(own) > KEPT_SHINGLES:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts_, taken, out = part.column(4), [], []
+                for k, (h, role, row) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3)), strict=True)):
+                    own = Text(texts_[k].as_py(), width, kept.get(row))
+                    if row not in kept:
+                        if held + len(own.shingles) > KEPT_SHINGLES:
                             kept, held = {}, 0
-                        kept[c] = own
-                        held += len(own)
+                        kept[row] = own.shingles
+                        held += len(own.shingles)
                     if role == 0:
-                        rep, head = r, own
+                        g, head = h, own
                         continue
-                    if r != rep:
+                    if h != g:
                         raise ValueError("a representative's text is missing")
-                    common = common_count(head, own)
-                    if 100 * common >= percent * (len(head) + len(own) - common):
-                        found.add((root, rep_root))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
+                    if (value := found(head, own)) is not None:
+                        taken.append(k)
+                        out.append(value)
+                if taken:
+                    pair = part.column(5).take(pa.array(taken))
+                    values = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), arrow_kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*pair.flatten(), *values], names=names)
+
+    schema = F.struct(*pairs.columns)
+    given = pairs.select(schema.alias("pair")).schema["pair"].dataType.fields
+    more = [part.strip().split(" ", 1) for part in kinds.split(",")]
+    names = [f.name for f in given] + [n for n, _ in more]
+    import pyarrow as pa
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    of = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    arrow_kinds = [of[t] for _, t in more]
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", " + kinds)
 
 
-def linkable(n, lone, other_n, other_lone, percent: int):
-    """Whether sets of these sizes, with so many elements that no other candidate has, can be as similar as asked."""
-    common = F.least(n - lone, other_n - other_lone)
-    return 100 * common >= percent * (n + other_n - common)
+class Text:
+    """A text's shingle set, and on demand the shingles themselves in numbers of a representative's dictionary."""
+
+    def __init__(self, text: str, width: int, shingles: np.ndarray | None):
+        self.normal, self.width = normal_words(text), width
+        self.shingles = shingle_set(self.normal, width) if shingles is None else shingles
+        self.number: dict[bytes, int] = {}
+        self.whole = None
+
+    def common_with(self, other: Text) -> int:
+        """The size of the intersection, by the words themselves."""
+        if self.whole is None:
+            self.whole = whole_shingles(self.normal, self.width, self.number)
+        theirs = whole_shingles(other.normal, self.width, self.number)
+        if self.whole.dtype != theirs.dtype:
+            return 0
+        return len(self.whole) + len(theirs) - len(np.unique(np.concatenate([self.whole, theirs])))
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def without_loners(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The members that may still link in their bucket, with `lone`: how many of their shingles no other member has.
+def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(g, m, apart, linked) for each pair: how many shingles are in one set alone, and whether they link.
 
-    What remains to be found lies between members, so a shingle of one member alone is in no common part; a member
-    with many of them is dropped where even the smallest set of its bucket leaves it too little. This spares the
-    comparison of each much edited copy in a large group with all others. Shingles are counted where they are read,
-    before they are shuffled.
+    A link has 100 * common >= percent * union. Hashes rule pairs out; those that they don't are confirmed on the
+    shingles' words, so a collision of hashes makes no link.
     """
 
-    def run(batches):
-        import pyarrow as pa
+    def found(head: Text, own: Text):
+        n = len(head.shingles) + len(own.shingles)
+        common = common_count(head.shingles, own.shingles)
+        linked = 100 * common >= percent * (n - common)
+        if linked:
+            common = head.common_with(own)
+            linked = 100 * common >= percent * (n - common)
+        return n - 2 * common, linked
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sets = [shingle_set(normal_words(t), width) for t in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], names=["class", "h"])
+    return beside(pairs.select("g", "m"), texts, width, found, "apart long, linked boolean")
 
-    shingles = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "text").mapInArrow(run, "class binary, h long")
-    single = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("class").alias("class")).filter("times = 1")
-    lone = single.groupBy("class").agg(F.count(F.lit(1)).alias("lone"))
-    least = members.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    met = members.drop("lone").join(lone, "class", "left").withColumn("lone", F.coalesce("lone", F.lit(0).cast("long"))).join(least, "bucket")
-    # the other set has the common part at least
-    other = F.greatest("least_n", F.col("n") - F.col("lone"))
-    return met.filter(linkable(F.col("n"), F.col("lone"), other, F.lit(0), percent)).select("bucket", "class", "n", "lone", "root")
 
+def most_apart(total, percent: int):
+    """How many shingles may be in one of two linked sets alone, if their sizes add up to this."""
+    return F.floor(total * (100 - percent) / (100 + percent))
 
-def still_open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    several = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    return members.join(several, "bucket")
 
+def differences(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The members (g, m, n, apart and more) with `added`, the shingles that g lacks, and `lacking`, as many of those
+    of g that m lacks as a prefix may need, by number."""
 
-def common_count(a: np.ndarray, b: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int(np.count_nonzero(both[1:] == both[:-1]))
+    def found(head: Text, own: Text):
+        n = len(own.shingles)
+        most = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+        added = np.setdiff1d(own.shingles, head.shingles, assume_unique=True)
+        lacking = np.setdiff1d(head.shingles, own.shingles, assume_unique=True)
+        return added.view(np.int64), lacking[: max(0, most + 1 - len(added))].view(np.int64)
+
+    return beside(members, texts, width, found, "added array<long>, lacking array<long>")
+
+
+def candidates(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (g, m) among the members of each representative that may link, without listing all pairs.
+
+    members: g, m, n (set size), apart (shingles in the set of g or m alone), root, inner (root is that of g), last.
+    Wanted are pairs of different roots, one of them inner or both last. The other, or both, don't link with g.
+
+    With E(x) the elements in which x differs from g, x and y differ in |E(x)| + |E(y)| - 2 |E(x) & E(y)| elements.
+    So they link only if E(x) and E(y) share o = (|E(x)| + |E(y)| - most_apart) / 2 or more; if one of them doesn't
+    link with g, o is above percent / (100 + percent) times either size, and positive. Hence they share one of the
+    first |E| - o + 1 elements of each, in any order that both keep: here what g lacks by how few have it, then what
+    g has. Copies of one text share most of it but few of their edits, so lists of edits are short where lists of
+    shingles are not.
+    """
+    e = differences(members, texts, width, percent)
+    e = scratch.save(e, "differences")
+    added = e.select("g", "m", F.explode("added").alias("el"))
+    times = added.groupBy("g", "el").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # elements that one member alone has come first and match nothing, so they only count
+    met = added.join(times, ["g", "el"]).groupBy("g", "m").agg(F.array_sort(F.collect_list(F.struct("times", "el"))).alias("shared"))
+    whole = e.join(met, ["g", "m"], "left")
+    alone = F.size("added") - F.coalesce(F.size("shared"), F.lit(0))
+    whole = whole.select("g", "m", "n", "apart", "root", "inner", "last", alone.alias("alone"), F.concat(F.coalesce(F.transform("shared", lambda s: s["el"]), F.array().cast("array<long>")), "lacking").alias("els"))
+    limit = most_apart(F.col("n") + F.floor(100 * F.col("n") / percent), percent)
+    # against one that doesn't link with g, and against one that does
+    to_outer = F.col("apart") - F.greatest(F.floor(F.col("apart") * percent / (100 + percent)) + 1, F.col("apart") - limit) + 1
+    to_inner = F.least("apart", limit + 1)
+    listed = whole.select("g", "m", "n", "apart", "root", "inner", "last", "alone", to_outer.alias("to_outer"), to_inner.alias("to_inner"), F.posexplode("els").alias("at", "el"))
+    listed = listed.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+    listed = scratch.save(listed.filter(F.col("at") < F.when(F.col("inner"), F.col("to_outer")).otherwise(F.col("to_inner"))), "listed")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select("g", "el", *(F.col(c).alias(f"{name}_{c}") for c in ("m", "n", "apart", "root", "at")))
+
+    apart = most_apart(F.col("x_n") + F.col("y_n"), percent)
+    need = F.ceil((F.col("x_apart") + F.col("y_apart") - apart) / 2)
+    # the first shared element leaves enough behind it
+    enough = 1 + F.least(F.col("x_apart") - F.col("x_at"), F.col("y_apart") - F.col("y_at")) - 1 >= need
+    sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
+    outer, inner = listed.filter("not inner"), listed.filter("inner")
+    last = outer.filter(F.col("last") & (F.col("at") < F.col("to_outer")))
+    mixed = side("x", outer).join(side("y", inner), ["g", "el"]).filter((F.col("x_root") != F.col("y_root")) & enough & sizes)
+    among = side("x", last).join(side("y", last), ["g", "el"]).filter((F.col("x_m") < F.col("y_m")) & (F.col("x_root") != F.col("y_root")) & enough & sizes)
+    pairs = mixed.unionByName(among).select(F.least("x_m", "y_m").alias("g"), F.greatest("x_m", "y_m").alias("m"))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,66 +307,67 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signature; bands of BAND_ROWS of them put a pair at the threshold into a common bucket but with chance MISS.
 
     Texts with equal words are one class, and work goes on between classes. Buckets aren't expanded into pairs:
-    each round picks a few representatives of a bucket and verifies, on whole sets, those members that no chain of
-    links joins to them yet. A member that was a representative is done with. After the first round, members that
-    hold too much that no other has are dropped. Rounds go on until the remaining members of every bucket are
-    joined, so each pair of a bucket is verified, in one component, or too different by these counts.
+    1. The member of a bucket that meets most others in its buckets represents it. Each member is compared with its
+       representatives on whole sets. Those that links don't join to a representative are compared with one of
+       themselves in the same way, LEVELS times in all.
+    2. What may still link are members of one representative that are in different components. candidates() finds
+       those by the few elements in which they differ from it, and they are compared on whole sets.
+    So every pair of a bucket is compared, in one component already, or ruled out by counts of differing elements.
 
     Null or empty text, or no words: no shingles, no links. Null ids: such rows take part; a component whose ids
-    are all null has none and all its rows are kept. Repeated rows are in one class. Empty table: no rows.
+    are all null has none and all its rows are kept. Repeated rows are in one class. Long texts count whole; sets
+    near the size of the permutations' universe (2 million) share buckets more often, which costs comparisons, not
+    links. Empty table: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(signatures(docs, width, percent, id_col, text_col), "signed")
-    classes = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
-    rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = scratch.save(rows.join(shared, "bucket").select("bucket", "class", "n", F.lit(0).cast("long").alias("lone"), F.col("class").alias("root")), "members-0")
-
-    scratch.release()
-    wanted = members.select("class").distinct().join(classes.select("class", "first_id"), "class")
-    source = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).mapInArrow(_of_class, "class binary, text string")
-    texts = scratch.save(texts, "texts")  # an id that repeats gives its text again, and its pairs are verified again
-
-    scratch.release()
-    tested, steps, turn = None, [], 0
+    rows = classes.select("row", F.explode("bands").alias("bucket"))
+    buckets = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    shared = scratch.save(rows.join(buckets, "bucket").select("bucket", "row", "size"), "shared")
+    central = scratch.save(shared.groupBy("row").agg(F.sum("size").alias("score")), "central")
+    texts = scratch.save(signed.select("row", "text").join(central.select("row"), "row", "left_semi"), "texts")
+    first = F.max(F.struct("score", "row"))["row"].alias("g")
+    picks = scratch.save(shared.join(central, "row").groupBy("bucket").agg(first), "picks")
+    asked = scratch.save(shared.join(picks, "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
+
+    roots, groups, level = None, None, 0
     while True:
-        # a few members of each bucket: the first by hash of each slot
-        slots = ROUNDS[min(turn, len(ROUNDS) - 1)]
-        order = F.xxhash64("class", F.lit(turn))
-        picks = members.groupBy("bucket", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min(F.struct(order.alias("h"), F.col("class").alias("rep"), F.col("n").alias("rep_n"), F.col("lone").alias("rep_lone"), F.col("root").alias("rep_root"))).alias("pick"))
-        picks = picks.groupBy("bucket").agg(F.collect_list(F.struct("pick.rep", "pick.rep_n", "pick.rep_lone", "pick.rep_root")).alias("picks"))
-        met = members.join(picks, "bucket")
-        pairs = met.select(F.col("class").alias("member"), "n", "lone", "root", F.inline("picks")).filter(
-            (F.col("root") != F.col("rep_root")) & linkable(F.col("n"), F.col("lone"), F.col("rep_n"), F.col("rep_lone"), percent)
-        )
-        # two representatives meet in both orders, and pairs of earlier rounds may meet again in another bucket
-        pairs = pairs.select("member", "rep", "root", "rep_root").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["member", "rep"], "left_anti").join(tested.select(F.col("rep").alias("member"), F.col("member").alias("rep")), ["member", "rep"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        tested = pairs.select("member", "rep") if tested is None else tested.unionByName(pairs.select("member", "rep"))
-        links = scratch.save(verified(pairs, texts, width, percent), f"links-{turn}")
-        # links join roots of the round before; the classes' roots follow at the end, step by step
-        step = connected_components(links, scratch, f"roots-{turn}")
-        steps.append(step)
-        left = met.filter(~F.exists("picks", lambda p: p["rep"] == F.col("class"))).select("bucket", "class", "n", "lone", "root")
-        left = left.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("bucket", "class", "n", "lone", F.coalesce("joined", "root").alias("root"))
-        members = scratch.save(still_open(left), f"members-{turn + 1}")
-        scratch.drop(f"members-{turn}")
-        if turn == 0:
-            members = scratch.save(still_open(without_loners(members, texts, width, percent)), "members-left")
-        scratch.release()
-        turn += 1
-        if members.isEmpty():
+        tested = scratch.save(compared(asked, texts, width, percent), f"tested-{level}")
+        roots = _united(roots, tested.filter("linked"), scratch, f"roots-{level}")
+        level += 1
+        groups = tested.select("g", "m", "apart") if groups is None else groups.unionByName(tested.select("g", "m", "apart"))
+        outer = _rooted(tested.select("g", "m"), roots).filter("root != g_root")
+        open_ = outer.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("g")
+        outer = scratch.save(outer.join(open_, "g").select("g", "m", "root"), f"outer-{level}")
+        if level == LEVELS or outer.isEmpty():
             break
-    scratch.drop("texts", *(f"pairs-{t}" for t in range(turn)))
-
-    joined = classes.select("class", "first_id", F.col("class").alias("root"))
-    for step in steps:
-        joined = joined.join(step.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left").select("class", "first_id", F.coalesce("joined", "root").alias("root"))
+        heads = outer.join(central, F.col("m") == F.col("row")).groupBy("g").agg(F.max(F.struct("score", "m"))["m"].alias("head"))
+        asked = scratch.save(outer.join(heads, "g").filter("m != head").select(F.col("head").alias("g"), "m").distinct(), f"asked-{level}")
+
+    last = outer.select("g", "m", F.lit(True).alias("last")).distinct()
+    sets = classes.select(F.col("row").alias("m"), "n")
+    every = _rooted(groups.distinct().join(last, ["g", "m"], "left").join(sets, "m"), roots)
+    every = every.select("g", "m", "n", "apart", "root", (F.col("root") == F.col("g_root")).alias("inner"), F.coalesce("last", F.lit(False)).alias("last"))
+    every = scratch.save(every, "groups")
+    # an inner and an outer member can link only if their distances from g are no further apart than their sets may be
+    limit = most_apart(F.col("n") + F.floor(100 * F.col("n") / percent), percent)
+    reach = every.groupBy("g").agg(
+        F.max(F.when(F.col("inner"), F.col("apart"))).alias("inner_high"), F.min(F.when(F.col("inner"), F.col("apart"))).alias("inner_low"),
+        F.max(F.when(~F.col("inner"), F.col("apart"))).alias("outer_high"), F.min(F.when(~F.col("inner"), F.col("apart"))).alias("outer_low"),
+    ).filter("outer_low is not null")
+    near = F.when(F.col("inner"), F.col("apart").between(F.col("outer_low") - limit, F.col("outer_high") + limit)).otherwise(F.col("apart").between(F.col("inner_low") - limit, F.col("inner_high") + limit))
+    members = every.join(reach, "g").filter(F.coalesce(near, F.lit(False)) | F.col("last")).select(*every.columns)
+    members = scratch.save(members, "members")
+    if not members.isEmpty():
+        pairs = scratch.save(candidates(members, texts, width, percent, scratch), "pairs")
+        links = scratch.save(compared(pairs, texts, width, percent).filter("linked"), "links")
+        roots = _united(roots, links, scratch, "roots")
+    scratch.drop("texts", "shared", "buckets", "picks", "groups", "differences", "listed", "members")
+
+    joined = classes.select("class", "first_id", "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("class", "first_id", F.coalesce("root", "row").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "root").select("class", "component_id")
     out = signed.select("id", "class", "n").join(named, "class", "left")
@@ -303,14 +375,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _of_class(batches):
-    """Keeps the texts whose words make the class that was asked for: an id may stand for several texts."""
-    import pyarrow as pa
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds root, that of m, and g_root; a node without links is its own."""
+    out = pairs.join(roots.select(F.col("node").alias("m"), "root"), "m", "left").join(roots.select(F.col("node").alias("g"), F.col("root").alias("g_root")), "g", "left")
+    return out.withColumn("root", F.coalesce("root", "m")).withColumn("g_root", F.coalesce("g_root", "g"))
+
 
-    for batch in batches:
-        at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            rows = [(c, t) for c, t in zip(part.column(at["class"]).to_pylist(), part.column(at["text"]).to_pylist(), strict=True) if hashlib.blake2b(normal_words(t), digest_size=16).digest() == c]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), (pa.binary(), pa.string()), strict=True)], names=["class", "text"])
+def _united(roots: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) after the links (g, m) as well; the new links join roots of before."""
+    if roots is None:
+        return scratch.save(connected_components(links.select(F.col("g").alias("a"), F.col("m").alias("b")), scratch, f"{name}-c"), name)
+    step = connected_components(_rooted(links.select("g", "m"), roots).select(F.col("root").alias("a"), F.col("g_root").alias("b")), scratch, f"{name}-c")
+    step = scratch.save(step, f"{name}-step")
+    moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = step.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return scratch.save(moved.unionByName(new), name)

@@ -120,6 +120,45 @@ def test_near_duplicate_chains(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(list(enumerate(texts)), 3, 85))
 
 
+@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 85, 1), (5, 80, 2)])
+def test_near_duplicates_in_a_dense_group(spark, width, percent, seed):
+    """Copies of one text with edits from few words, similar to each other by 0.4 to 1, and families within it."""
+    r = random.Random(seed)
+    base, texts = random_words(110, 20 + seed).split(), []
+    families = [base, base[:60] + random_words(50, 40).split(), random_words(40, 41).split() + base[40:]]
+    for _ in range(260):
+        words = list(r.choice(families))
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(len(words))] = r.choice(["a", "b", "c", "of", "the"])
+        if r.random() < 0.2:
+            del words[r.randrange(len(words)) :][: r.randint(1, 30)]
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = minhash.near_duplicates(df, width, percent).collect()
+    want = brute_components(list(enumerate(texts)), width, percent)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert 20 < len({w[2] for w in want}) < 250
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without ids are compared once for each text, not with each other's texts."""
+    texts = [random_words(30, k // 2) + (" x" if k % 2 else "") for k in range(300)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    rows = minhash.near_duplicates(df, 3, 85).collect()
+    assert len(rows) == 300 and all(r.component_id is None and r.kept for r in rows)
+
+
+def test_words_that_polynomial_hashes_confuse():
+    """Complementary Thue-Morse words are equal to any polynomial hash modulo 2**64."""
+    word = b"a"
+    while len(word) < 1024:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    assert not set(minhash.shingle_set(b"x " + word + b" y", 3)) & set(minhash.shingle_set(b"x " + other + b" y", 3))
+    one, two = (minhash.Text(f"p q r s {w.decode()} t u v w", 3, None) for w in (word, other))
+    assert one.common_with(two) == 4 == minhash.common_count(one.shingles, two.shingles)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
