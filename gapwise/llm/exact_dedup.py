@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, column_or_null, lower_ascii
 
-#: Bytes of texts that a trie holds in memory before it writes its largest subtree to disk.
-TRIE_BYTES = 48 << 20
+#: Bytes of texts that a trie holds in memory before it writes subtrees to disk, and what a node counts for.
+TRIE_BYTES, NODE_BYTES = 48 << 20, 200
 
 
 class Node:
-    """`label` is the bytes on the edge to this node; `value` is set on terminals alone."""
+    """`label` is the bytes on the edge to this node; `value` is set on terminals alone, `file` where the subtree is on disk."""
 
-    __slots__ = ("label", "children", "value")
+    __slots__ = ("label", "children", "value", "file")
 
-    def __init__(self, label: bytes, value=None):
-        self.label, self.children, self.value = label, {}, value
+    def __init__(self, label: bytes, value=None, file=None):
+        self.label, self.children, self.value, self.file = label, {}, value, file
 
 
 def shared_prefix(a: bytes, b: bytes, start: int) -> int:
@@ -45,37 +45,34 @@ def shared_prefix(a: bytes, b: bytes, start: int) -> int:
 class PatriciaOwners:
     """A compressed radix trie over byte strings; a terminal holds (owner id, row count) of its string.
 
-    add() merges: counts add up and the owner is the one that `better` picks. When the labels exceed `limit` bytes,
-    the subtree below the root that holds most of them goes to a file; later strings with its first byte are
-    appended there, and items() builds a trie for each file in turn (by the byte at the next depth, where a file
-    alone exceeds the limit). A string of a single repeated subtree is thus still compared in full.
+    add() merges: counts add up and the owner is the one that `better` picks. When the trie exceeds `limit` bytes,
+    subtrees go to files until half is left. They are taken along the heaviest edges, from where a subtree weighs
+    half the limit at most, so a prefix that many strings share stays above them, however long it is. Later strings
+    that lead to such a place are appended to its file, and items() builds a trie for each file in turn. A file that
+    is too large alone spills again, further down.
     """
 
-    def __init__(self, better, limit: int = TRIE_BYTES, depth: int = 0):
-        self.better, self.limit, self.depth = better, limit, depth
-        self.root, self.held, self.total = Node(b""), {}, 0
-        self.spilled: dict[int, tempfile._TemporaryFileWrapper] = {}
+    def __init__(self, better, limit: int = TRIE_BYTES):
+        self.better, self.limit = better, limit
+        self.root, self.total, self.most = Node(b""), 0, limit
 
     def add(self, key: bytes, owner, count: int) -> None:
-        """The first `depth` bytes of all keys of a trie are equal; they stay out of the labels."""
-        branch = key[self.depth] if len(key) > self.depth else -1
-        if branch in self.spilled:
-            self._write(branch, key, owner, count)
-            return
-        grown = self._insert(key, owner, count)
-        self.held[branch] = self.held.get(branch, 0) + grown
-        self.total += grown
-        while self.total > self.limit and (branch := max(self.held, key=self.held.get)) >= 0:
-            self._spill(branch)
+        self.total += self._insert(key, owner, count)
+        if self.total > self.most:
+            self._spill()
+            self.most = max(self.limit, self.total + self.limit // 2)
 
     def _insert(self, key: bytes, owner, count: int) -> int:
         """Bytes that the trie has grown by."""
-        node, at = self.root, self.depth
+        node, at = self.root, 0
         while at < len(key):
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], (owner, count))
-                return len(key) - at + 200
+                return len(key) - at + NODE_BYTES
+            if child.file is not None:
+                self._write(child.file, key, owner, count)
+                return 0
             n = shared_prefix(child.label, key, at)
             if n < len(child.label):  # split the edge
                 middle = Node(child.label[:n])
@@ -86,45 +83,83 @@ class PatriciaOwners:
             node, at = child, at + n
         old = node.value
         node.value = (owner, count) if old is None else (self.better(old[0], owner), old[1] + count)
-        return 200 if old is None else 0
+        return NODE_BYTES if old is None else 0
 
-    def _walk(self, node: Node, prefix: bytes) -> Iterator[tuple[bytes, tuple]]:
+    @staticmethod
+    def _below(node: Node, prefix: bytes) -> Iterator[tuple[bytes, Node]]:
+        """The nodes of a subtree with their whole strings; prefix is what stands above the subtree."""
         stack = [(node, prefix)]
         while stack:
             node, prefix = stack.pop()
             whole = prefix + node.label
-            if node.value is not None:
-                yield whole, node.value
+            yield whole, node
             stack += [(child, whole) for child in node.children.values()]
 
-    def _write(self, branch: int, key: bytes, owner, count: int) -> None:
+    @staticmethod
+    def _write(file, key: bytes, owner, count: int) -> None:
         data = pickle.dumps((key, owner, count), protocol=5)
-        self.spilled[branch].write(struct.pack("<I", len(data)) + data)
-
-    def _spill(self, branch: int) -> None:
-        self.total -= self.held.pop(branch)
-        self.spilled[branch] = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR") or None)
-        # labels below the root lack the common prefix, which a subtree gets back on the next level from its keys
-        for key, (owner, count) in self._walk(self.root.children.pop(branch), self.common):
-            self._write(branch, key, owner, count)
-
-    @property
-    def common(self) -> bytes:
-        return self._common if self.depth else b""
+        file.write(struct.pack("<Q", len(data)) + data)
+
+    def _spill(self) -> None:
+        order = [self.root]
+        for node in order:
+            order += node.children.values()
+        weight: dict[int, int] = {}
+        for node in reversed(order):
+            weight[id(node)] = len(node.label) + NODE_BYTES + sum(weight[id(c)] for c in node.children.values())
+
+        stays: set[int] = set()
+
+        def heaviest(node: Node) -> Node | None:
+            return max((c for c in node.children.values() if c.file is None and id(c) not in stays), key=lambda c: weight[id(c)], default=None)
+
+        while self.total > self.limit // 2 and (child := heaviest(self.root)) is not None:
+            path, prefix = [self.root], b""
+            while weight[id(child)] > self.limit // 2 and (inner := heaviest(child)) is not None:
+                path.append(child)
+                prefix += child.label
+                child = inner
+            if all(len(n.children) == 1 and n.value is None for n in path):
+                stays.add(id(child))  # nothing would be left here, and a file of all strings gains nothing
+                continue
+            file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR") or None)
+            for key, node in self._below(child, prefix):
+                if node.value is not None:
+                    self._write(file, key, *node.value)
+                if node.file is not None:
+                    self._pour(node.file, file)
+            first = child.label[:1]
+            path[-1].children[first[0]] = stub = Node(first, file=file)
+            gone = weight[id(child)] - len(first) - NODE_BYTES
+            weight[id(stub)] = len(first) + NODE_BYTES
+            for node in path:
+                weight[id(node)] -= gone
+            self.total -= weight[id(child)]
+
+    @staticmethod
+    def _pour(source, target) -> None:
+        source.seek(0)
+        while part := source.read(1 << 20):
+            target.write(part)
+        source.close()
 
     def items(self) -> Iterator[tuple[bytes, object, int]]:
-        for key, (owner, count) in self._walk(self.root, self.common):
-            yield key, owner, count
-        self.root = Node(b"")
-        for branch, file in self.spilled.items():
-            inner = PatriciaOwners(self.better, self.limit, self.depth + 1)
-            inner._common = self.common + bytes([branch])
-            file.seek(0)
-            while head := file.read(4):
-                inner.add(*pickle.loads(file.read(struct.unpack("<I", head)[0])))
-            file.close()
-            yield from inner.items()
-        self.spilled = {}
+        """Each string with its owner and count; the trie is empty afterwards. One file's trie is held at a time."""
+        trie, waiting = self, []
+        while True:
+            for key, node in trie._below(trie.root, b""):
+                if node.value is not None:
+                    yield key, *node.value
+                if node.file is not None:
+                    waiting.append(node.file)
+            trie.root, trie.total = Node(b""), 0
+            if not waiting:
+                return
+            trie = PatriciaOwners(self.better, self.limit)
+            with waiting.pop() as file:
+                file.seek(0)
+                while head := file.read(8):
+                    trie.add(*pickle.loads(file.read(struct.unpack("<Q", head)[0])))
 
 
 def larger(a, b):
@@ -143,7 +178,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep_id, so a repeated row is kept with its twin, and a group whose ids are all null is kept.
 
     1. Each input task collapses the equal texts it sees in a trie, so a group of copies reaches its owner as
-       one string from each task, however many copies there are.
+       one string from each task, however many copies there are. Long texts are compared whole.
     2. These go to the owner task of their (length, hash), whose trie compares whole strings; a terminal holds
        the id to keep and the number of rows. Tries spill by subtree.
     3. The thin rows (id, hash) meet the groups in a join that adaptive execution can split at hot keys.

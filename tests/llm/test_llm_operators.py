@@ -245,6 +245,21 @@ def test_trie_spills(limit):
     assert {k: (o, n) for k, o, n in trie.items()} == want
 
 
+@pytest.mark.parametrize(("prefix", "limit"), [(5_000, 20_000), (30_000, 20_000), (5_000, 1 << 30)])
+def test_trie_spills_below_a_long_common_prefix(prefix, limit):
+    r = random.Random(4)
+    head = bytes(r.choice(b"abc") for _ in range(prefix))
+    trie, want = exact_dedup.PatriciaOwners(exact_dedup.larger, limit), {}
+    # a comb of prefixes, many short ends, strings that leave the prefix early, and one alone above the limit
+    keys = [head[:k] for k in range(0, prefix, prefix // 60)] + [head + bytes(r.choice(b"ab") for _ in range(r.randint(0, 10))) for _ in range(600)]
+    keys += [head[: r.randrange(prefix)] + b"z" * r.randint(1, 90) for _ in range(300)] + [head + b"q" * 50_000]
+    for i, key in enumerate(keys * 2):
+        trie.add(key, i, 1)
+        want[key] = (max(i, want.get(key, (0, 0))[0]), want.get(key, (0, 0))[1] + 1)
+    found = list(trie.items())
+    assert {k: (o, n) for k, o, n in found} == want and len(found) == len(want)
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(5, "http://a/ b\n", "same"), (2, None, "same"), (9, "u", None), (1, "u", ""), (7, "u", "é" * 1000), (7, "u", "é" * 1000), (None, "u", "same"), (None, "u", "lone"), (8, "u", "WARC/1.1\r\n\r\n")]
