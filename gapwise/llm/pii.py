@@ -17,6 +17,10 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+#: Long texts are searched in pieces of about so many characters, so that work grows with their length alone. A piece
+#: ends where no match and no word can go on: before or after a space beside a letter, or after a character of none.
+PIECE = 8_000
+CUT = rf"(?s).{{{PIECE}}}.*?(?:\p{{L}}(?= )| (?=\p{{L}})|[^\p{{L}}\p{{N}}\p{{M}}._%+@() -]|\z)|.+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: A term is a word of at least four letters, anywhere in a document that holds an entity.
 TERM = r"\p{L}{4,}"
@@ -95,19 +99,42 @@ def spans_of(gaps: Column, matches: Column) -> Column:
     return let(F.struct(gaps.alias("g"), matches.alias("m")), lambda v: F.when(F.size(v["m"]) > 0, spans(v)).otherwise(none))
 
 
-def with_base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a column for each kind: array<struct<start, end, match>> of valid matches, in order."""
-    parts = rows.select("*", *(c for k, p in PATTERNS.items() for c in (
-        F.when(F.col(text).rlike(HINTS[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias(f"m_{k}"),
-        F.when(F.col(text).rlike(HINTS[k]), F.split(text, p, -1)).alias(f"g_{k}"),
-    )))
+def pieces_of(text: Column) -> Column:
+    """array<struct<at, text>>: the text in pieces, with the code points before each; none of an empty text."""
+    parts = F.when(F.length(text) > PIECE, F.regexp_extract_all(text, F.lit(CUT), F.lit(0))).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def placed(parts: Column) -> Column:
+        return let(before_each(F.transform(parts, lambda p: F.length(p))), lambda at: F.transform(parts, lambda p, k: F.struct(F.get(at, k).alias("at"), p.alias("text"))))
+
+    return let(parts, placed)
+
+
+def matches_of(text: Column, pattern: str, hint: str | None = None) -> Column:
+    """array<struct<start, end, match>> of a piece, in order."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    found = parts.select(*rows.columns, *(F.when(F.size(f"m_{k}") > 0, spans_of(F.col(f"g_{k}"), F.col(f"m_{k}"))).otherwise(none).alias(k) for k in PATTERNS))
-    return found.select(*rows.columns, *(F.filter(k, _validity(k)).alias(k) for k in PATTERNS))
+    found = let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda v: spans_of(v["g"], v["m"]))
+    return found if hint is None else F.when(text.rlike(hint), found).otherwise(none)
+
+
+def base_of(text: Column) -> Column:
+    """array<struct<kind, start, end, match>> of a piece's valid matches, by kind as listed, then start."""
+    return F.concat(*(F.transform(F.filter(matches_of(text, p, HINTS[k]), _validity(k)), _named(k)) for k, p in PATTERNS.items()))
+
+
+def _base_of_piece(piece: Column) -> Column:
+    return F.struct(piece["at"].alias("at"), piece["text"].alias("text"), base_of(piece["text"]).alias("base"))
+
+
+def _placed(kind: str):
+    """A piece's spans of a kind, by their place in the whole text."""
+    return lambda p: F.transform(
+        F.filter(p["base"], _of_kind(kind)),
+        lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + p["at"]).alias("start"), (s["end"] + p["at"]).alias("end")),
+    )
 
 
 def without_spans(text: Column, base: Column) -> Column:
-    """The text with each character of the base spans made a zero: places stay, and no word holds any of a span."""
+    """A piece with each character of its base spans made a zero: places stay, and no word holds any of a span."""
     return F.aggregate(
         F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -119,26 +146,12 @@ def without_spans(text: Column, base: Column) -> Column:
     )
 
 
-def occurrences(text: Column, terms: Column) -> Column:
-    """array<struct<start, end>>: every word of the text that is one of the terms once it is lower-cased, in order."""
-
-    def spans(v: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(v["m"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
-            lambda a, k: let(
-                F.struct((a["at"] + F.length(F.get(v["g"], k))).alias("start"), F.get(v["m"], k).alias("word"), a["found"].alias("found")),
-                lambda w: let(
-                    F.struct(w["start"].alias("start"), (w["start"] + F.length(w["word"])).alias("end")),
-                    lambda s: F.struct(s["end"].alias("at"), F.when(F.array_contains(v["terms"], F.lower(w["word"])), F.concat(w["found"], F.array(s))).otherwise(w["found"]).alias("found")),
-                ),
-            ),
-            lambda a: a["found"],
-        )
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    parts = F.struct(F.split(text, TERM, -1).alias("g"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("m"), terms.alias("terms"))
-    return let(parts, lambda v: F.when(F.size(v["m"]) > 0, spans(v)).otherwise(none))
+def occurrences(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """(row, terms) for rows (row, rest): all places of each row's terms in hits (row, term), words being lower-cased."""
+    pieces = rows.join(hits.select("row").distinct(), "row", "left_semi").select("row", F.explode("rest").alias("piece"))
+    words = pieces.select("row", F.col("piece.at").alias("at"), F.explode(matches_of(F.col("piece.text"), TERM)).alias("word"))
+    words = words.select("row", F.lower("word.match").alias("term"), F.struct((F.col("at") + F.col("word.start")).alias("start"), (F.col("at") + F.col("word.end")).alias("end")).alias("span"))
+    return words.join(hits.distinct(), ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("terms"))
 
 
 def most_documents(both: Column, entity: Column, total: int) -> Column:
@@ -154,7 +167,7 @@ def most_documents(both: Column, entity: Column, total: int) -> Column:
 def disclosing_terms(marked: DataFrame, words: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """(row, term): the terms of each row that reveal one of its entities, counts being of documents.
 
-    marked: row, entities, rest (the text without its base spans). words: term, documents - over the whole corpus.
+    marked: row, entities, rest (the text's pieces without its base spans). words: term, documents - over the whole corpus.
 
     A row's term that would reveal an entity if they met in this row alone is settled by its own count, whatever the
     number of entities. Others are counted against the entities that they could reveal if they met as often as their
@@ -168,7 +181,8 @@ def disclosing_terms(marked: DataFrame, words: DataFrame, total: int, scratch: S
     most = by_row.agg(F.max("sure"), F.max(F.array_max(F.transform("classes", lambda c: most_documents(c["n"], c["n"], total))))).first()
     cap = max((m for m in most if m is not None), default=-1.0)
 
-    terms = marked.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(TERM), F.lit(0)))).alias("term"))
+    rest = F.lower(F.array_join(F.col("rest.text"), ""))
+    terms = marked.select("row", F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)))).alias("term"))
     rare = terms.join(words.filter(F.col("documents") <= cap), "term").join(by_row, "row")
     could = F.filter("classes", lambda c: F.col("documents") <= most_documents(F.least(c["n"], F.col("documents")), c["n"], total))
     rare = rare.select("row", "term", "documents", (F.col("documents") <= F.col("sure")).alias("settled"), could.alias("open"))
@@ -196,29 +210,26 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entity of the document, by how often both occur in documents of the whole corpus, wherever in them. Counts are of
     documents, repeated ones included. Documents without base spans have no terms.
 
-    Null text: empty, no spans. Null and repeated ids: each row gives a row. Empty table: no rows.
+    Null text: empty, no spans. Null and repeated ids: each row gives a row. Long texts are searched whole, piece by
+    piece. Empty table: no rows. Other columns are ignored, but for those in `keep`.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(column_or_null(docs, text_col, "string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column_or_null(docs, id_col, "long").alias("id"), text.alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
-    marked = with_base_spans(rows)
-    every = F.concat(*(F.transform(k, _named(k)) for k in PATTERNS))
-    columns = ["row", "id", *(f"kept_{c}" for c in keep), "base"]
-    marked = marked.select(*columns[:-1], "text", every.alias("base"))
-    some = F.size("base") > 0
-    spans = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(F.lower(s["match"]))))
-    marked = marked.select(*columns[:-1], spans.alias("base"), F.when(some, entities).alias("entities"), F.when(some, without_spans(F.col("text"), F.col("base"))).alias("rest"))
+    columns = ["row", "id", *(f"kept_{c}" for c in keep)]
+    marked = rows.select(*columns, F.transform(pieces_of(F.col("text")), _base_of_piece).alias("pieces"))
+    base = F.concat(*(F.flatten(F.transform("pieces", _placed(k))) for k in PATTERNS))
+    entities = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.transform(p["base"], lambda s: F.xxhash64(F.lower(s["match"]))))))
+    rest = F.transform("pieces", lambda p: F.struct(p["at"].alias("at"), without_spans(p["text"], p["base"]).alias("text")))
+    some = F.exists("pieces", lambda p: F.size(p["base"]) > 0)
+    marked = marked.select(*columns, base.alias("base"), F.when(some, entities).alias("entities"), F.when(some, rest).alias("rest"))
     marked = scratch.save(marked, "marked")
 
     private = marked.filter(F.size("base") > 0)
     revealing = disclosing_terms(private.select("row", "entities", "rest"), word_documents(docs, text), marked.count(), scratch)
-    hits = revealing.groupBy("row").agg(F.collect_set("term").alias("hits"))
+    terms = occurrences(private.select("row", "rest"), scratch.save(revealing, "revealing"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    found = F.when(F.col("hits").isNotNull(), occurrences(F.col("rest"), F.col("hits"))).otherwise(none)
-    with_terms = private.select(*columns, "rest").join(hits, "row", "left").select(*columns, found.alias("terms"))
-    without = marked.filter(F.size("base") == 0).select(*columns, none.alias("terms"))
-    out = with_terms.unionByName(without)
+    out = marked.select(*columns, "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
     return out.select(F.col("row"), F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "base", "terms")
 
 
@@ -228,14 +239,20 @@ def masked(text: Column, base: Column, terms: Column) -> Column:
         F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))),
         F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("TERM").alias("kind"))),
     ))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
-    ))
+
+    def piece(p: Column, all_spans: Column) -> Column:
+        """No span goes on from one piece to the next."""
+        return F.aggregate(
+            F.filter(all_spans, lambda s: (s["start"] >= p["at"]) & (s["start"] < p["at"] + F.length(p["text"]))),
+            F.struct(p["at"].alias("at"), F.lit("").alias("out")),
+            lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(p["text"], a["at"] - p["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))).otherwise(
+                F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
+            ),
+            lambda a: F.concat(a["out"], F.substr(p["text"], a["at"] - p["at"] + 1)),
+        )
+
+    whole = let(F.struct(spans.alias("spans"), pieces_of(text).alias("pieces")), lambda v: F.array_join(F.transform(v["pieces"], lambda p: piece(p, v["spans"])), ""))
+    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(whole)
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -340,6 +340,27 @@ def test_sanitised(private, docs, empty):
     assert pii.span_digests(empty).count() == 0 == pii.sanitised(empty).count()
 
 
+def test_spans_of_very_long_texts(spark):
+    """A megabyte of personal data in one text, and texts that have few places to cut."""
+    r = random.Random(6)
+    bits = [lambda: f"user{r.randrange(10**6)}@mail{r.randrange(99)}.example.org", lambda: "10.2.3." + str(r.randrange(300)), lambda: "4111 1111 1111 1111", lambda: "+49 (30) 1234 567", lambda: "quiet Köln 日本。", lambda: "and\nso on,"]
+    long = " ".join(r.choice(bits)() for _ in range(60_000))
+    texts = [long, "8" * 9000 + " a@b.c", "1 " * 12_000 + "x@y.zz", "日本" * 6000 + "a@b.c", "(1) " * 5000 + "+1 (555) 010-9999" + " -" * 9000, "a b" * 10_000]
+    assert len(long) > 1_000_000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for row in pii.span_digests(df).collect():
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(texts[row.doc_id]))
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), row.doc_id
+    clean = {x.doc_id: x.text for x in pii.sanitised(df).collect()}
+    for row in pii.personal_spans(df).collect():
+        want, at = "", 0
+        for a, b, kind in sorted([(s.start, s.end, s.kind.upper()) for s in row.base] + [(s.start, s.end, "TERM") for s in row.terms]):
+            if a >= at:
+                want += texts[row.doc_id][at:a] + f"[{kind}]"
+            at = max(at, b)
+        assert clean[row.doc_id] == want + texts[row.doc_id][at:], row.doc_id
+
+
 def brute_terms(texts):
     """The words that reveal an entity of each text, from plain counts of documents."""
     words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
