@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
 import re
 import zlib
@@ -14,12 +16,12 @@ from pyspark.sql import DataFrame
 from .common import WordCache, column_or_null
 
 CONTEXT = 1024
-#: Context sizes, longest first; a document is routed to the shortest that holds it.
+#: Context sizes, longest first; a document, or its rest after full windows, is routed to the shortest that holds it.
 TIERS = (1024, 512, 256, 128, 64)
 #: Tokens that are packed together; also bounds a task's memory.
 BLOCK_TOKENS = 4_000_000
-#: Sequences of one step; each step gets near-equal tokens.
-STEP_SEQUENCES = 8
+#: Tokens of one step; a block's steps get near-equal tokens from windows of all tiers.
+STEP_TOKENS = 8 * CONTEXT
 CACHED_WORDS = 900_000
 #: Pieces, of at most CONTEXT tokens each, that leave a task together.
 BATCH_PIECES = 4_000
@@ -36,17 +38,33 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
+def check_supported(tokenizer_path: str) -> None:
+    """Refuses tokenizer files whose texts aren't split, or whose words aren't merged, as byte_bpe_encoder() does."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    good = (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and split.get("type") == "ByteLevel" and split.get("add_prefix_space") is False and split.get("use_regex", True)
+        and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    )
+    if not good:
+        raise ValueError(f"{tokenizer_path}: not a byte-level BPE tokenizer without normaliser and prefix space")
+
+
 def byte_bpe_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     """Encodes texts with the tokenizers library, each distinct word once; ids as packed little-endian uint32.
 
     The vocabulary's splitting pattern never puts a character after white space into one token with what stands
     before that white space, so a text may be cut before each space that follows a non-space. Pieces a worker has
-    met are looked up; a new piece is split by the pattern, and the library's model merges each new word.
+    met are looked up; a new piece is split by the pattern, and the library's model merges each new word. Of each
+    call one text, whichever its checksum picks, is encoded by the library as well; a difference is an error.
     """
     import regex
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    check_supported(tokenizer_path)
     library = Tokenizer.from_file(tokenizer_path)
     merge, letters = library.model.tokenize, byte_letters()
     added = [t.content for t in library.get_added_tokens_decoder().values()]
@@ -94,99 +112,118 @@ def byte_bpe_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
                 continue
             first = look_up(others, pieces[:1], "")
             out.append(b"".join(first + look_up(spaced, pieces[1:], " ")))
+        if texts:
+            probe = zlib.crc32(texts[0][:100].encode()) % len(texts)
+            if array("I", library.encode(texts[probe], add_special_tokens=False).ids).tobytes() != out[probe]:
+                raise ValueError(f"ids of {texts[probe][:200]!r} differ from the library's")
         return out
 
     return encode
 
 
-class Tiers:
-    """Remainders of a block by length: take() gives the longest of at most `room` tokens."""
-
-    def __init__(self):
-        self.by_length: list[list] = [[] for _ in range(CONTEXT + 1)]
-        self.count = 0
-
-    def put(self, piece: tuple[int, int, int]) -> None:
-        self.by_length[piece[2]].append(piece)
-        self.count += 1
+Piece = tuple[int, int, int]  # document, start, length
 
-    def take(self, room: int, least: int = 1):
-        for n in range(min(room, CONTEXT), least - 1, -1):
-            if self.by_length[n]:
-                self.count -= 1
-                return self.by_length[n].pop()
-        return None
 
+class Rests:
+    """Pieces of at most CONTEXT tokens by length, and the sum of their tokens."""
 
-def pack_block(lengths: list[int]) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length): all have CONTEXT tokens but the last few, of power-of-two sizes.
+    def __init__(self):
+        self.by_length: list[list[Piece]] = [[] for _ in range(CONTEXT + 1)]
+        self.there, self.tokens = 0, 0  # bit n of `there`: pieces of n tokens
 
-    1. A document longer than the context gives full windows; each rest goes to the shortest tier that holds it.
-    2. Tier by tier, from the longest, the longest rest opens a window and its gap is filled with the longest whole
-       rests from the same and shorter tiers; a gap that no whole rest fits is closed by cutting one.
-    3. Rests that can't fill another long window are dealt into windows of shorter powers of two.
+    def put(self, piece: Piece) -> None:
+        self.by_length[piece[2]].append(piece)
+        self.there |= 1 << piece[2]
+        self.tokens += piece[2]
+
+    def _take(self, n: int) -> Piece:
+        piece = self.by_length[n].pop()
+        if not self.by_length[n]:
+            self.there &= ~(1 << n)
+        self.tokens -= n
+        return piece
+
+    def longest(self, most: int, above: int = 0) -> Piece | None:
+        """The longest piece of more than `above` and at most `most` tokens."""
+        n = (self.there & ((2 << most) - 1)).bit_length() - 1
+        return self._take(n) if n > above else None
+
+    def shortest(self, above: int) -> Piece | None:
+        """The shortest piece of more than `above` tokens."""
+        there = self.there >> (above + 1)
+        return self._take(above + 1 + (there & -there).bit_length() - 1) if there else None
+
+    def all(self) -> list[Piece]:
+        return [p for pieces in reversed(self.by_length) for p in pieces]
+
+
+def pack_block(pieces: list[Piece], last: bool = True) -> tuple[list[list[Piece]], list[Piece]]:
+    """Full windows of the sizes in TIERS, and the pieces of less than CONTEXT tokens in all that remain.
+
+    1. A piece longer than the context gives full windows of CONTEXT; its rest goes to the shortest tier that holds it.
+    2. Each tier, from the longest, is packed into windows of its own size. A piece of the tier, longest first, opens
+       a window; its gap is filled from the tiers below, the longest whole rest first. A gap that no whole rest
+       fits is closed by cutting the shortest that is longer, whose remainder goes to its own tier.
+    3. With `last`, what doesn't fill a window of any tier goes into windows of shorter powers of two.
     """
-    done: list[list[tuple[int, int, int]]] = []
-    tiers = Tiers()
-    left = 0
-    for d, n in enumerate(lengths):
+    done: list[list[Piece]] = []
+    rests = Rests()
+    for d, start, n in pieces:
         whole = n - n % CONTEXT
-        done += [[(d, at, CONTEXT)] for at in range(0, whole, CONTEXT)]
+        done += [[(d, start + at, CONTEXT)] for at in range(0, whole, CONTEXT)]
         if n > whole:
-            tiers.put((d, whole, n - whole))
-            left += n - whole
-
-    def fill(size: int) -> list[tuple[int, int, int]]:
-        window, room = [], size
-        for tier, shorter in zip(TIERS, (*TIERS[1:], 0), strict=True):
-            # the window is opened from its own tier; shorter tiers fill what that leaves
-            while room and (piece := tiers.take(min(room, tier), shorter + 1)):
-                window.append(piece)
-                room -= piece[2]
-        if room:  # whole rests are all too long for the gap: cut the shortest of them
-            d, start, n = next(q for n in range(room + 1, CONTEXT + 1) for q in [tiers.by_length[n]] if q).pop()
-            tiers.count -= 1
-            window.append((d, start, room))
-            tiers.put((d, start + room, n - room))
-        return window
-
-    while left >= CONTEXT:
-        done.append(fill(CONTEXT))
-        left -= CONTEXT
+            rests.put((d, start + whole, n - whole))
+
+    def fill(window: list[Piece], room: int) -> None:
+        while room:
+            if (piece := rests.longest(room)) is None:
+                d, start, n = rests.shortest(room)
+                rests.put((d, start + room, n - room))
+                piece = (d, start, room)
+            window.append(piece)
+            room -= piece[2]
+        done.append(window)
+
+    for tier, below in zip(TIERS, (*TIERS[1:], 0), strict=True):
+        while rests.tokens >= tier and (opener := rests.longest(tier, below)):
+            fill([opener], tier - opener[2])
     size = CONTEXT // 2
-    while left:
-        if left >= size:
-            done.append(fill(size))
-            left -= size
-        size //= 2
-    return done
+    while last and size:
+        if rests.tokens >= size:
+            fill([], size)
+        else:
+            size //= 2
+    return done, rests.all()
 
 
-def balanced_steps(sizes: list[int], per_step: int = STEP_SEQUENCES) -> list[int]:
-    """A step number for each sequence: each step has per_step of them (the last may have fewer), near-equal in tokens.
+def balanced_steps(sizes: list[int], tokens: int = STEP_TOKENS) -> list[int]:
+    """A step number for each sequence: as many steps as their tokens fill, near-equal in tokens.
 
-    Sequences, longest first, are dealt to the steps in turn, forth and back.
+    Each sequence, longest first, goes to the step that holds the fewest tokens so far.
     """
-    steps = -(-len(sizes) // per_step)
+    steps = [(0, k) for k in range(-(-sum(sizes) // tokens))]
     out = [0] * len(sizes)
-    for k, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
-        turn, at = divmod(k, steps)
-        out[i] = at if turn % 2 == 0 else steps - 1 - at
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        held, out[i] = steps[0]
+        heapq.heapreplace(steps, (held + sizes[i], out[i]))
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenises whole documents and packs them into sequences of at most CONTEXT tokens.
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Tokenises whole documents and packs them into sequences of the sizes in TIERS.
 
     A document is its ids followed by end_id. Every partition packs its own rows in blocks of bounded size, so
-    nothing is shuffled; the few tokens that don't fill a last long window go into windows of powers of two, so
-    no sequence is padded. Sequence and step numbers are unique over the whole result: partition number above
-    33 bits, count within the partition below. They depend on the input's partitions, not on when a task runs.
+    nothing is shuffled. What doesn't fill a window goes on to the partition's next block, and at its end into
+    windows of shorter powers of two, so no sequence is padded. Sequence and step numbers are unique over the whole
+    result: partition number above 33 bits, count within the partition below. They depend on the input's
+    partitions, not on when a task runs.
 
     Returns a row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (the
-    sequence's size), step_group, ids (the piece's tokens). A sequence is the ids of its pieces by offset.
+    sequence's size), step_group and, with with_ids, ids (the piece's tokens). A sequence is the ids of its pieces
+    by offset.
 
-    Null or empty text: the end id alone. Null or repeated ids: each row is a document. Empty table: no rows.
+    Null or empty text: the end id alone. Null or repeated ids: each row is a document. Long texts: cut where a
+    window ends. Empty table: no rows. Other columns are ignored.
     """
 
     def pack(batches):
@@ -198,11 +235,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
         end = np.array([end_id], dtype="<u4").tobytes()
         ids: list[int | None] = []
         packed: list[bytes] = []
+        pieces: list[Piece] = []
         held = sequence = step = 0
 
-        def flush():
-            nonlocal ids, packed, held, sequence, step
-            windows = pack_block([len(p) // 4 for p in packed])
+        def flush(last: bool):
+            nonlocal ids, packed, pieces, held, sequence, step
+            windows, left = pack_block(pieces, last)
             sizes = [sum(n for _, _, n in w) for w in windows]
             steps = balanced_steps(sizes)
             rows, tokens = [], []
@@ -214,28 +252,33 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
                     at += n
             sequence += len(windows)
             step += max(steps, default=-1) + 1
-            ids, packed, held = [], [], 0
             for at in range(0, len(rows), BATCH_PIECES):
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows[at : at + BATCH_PIECES], strict=True)]
-                offsets = np.concatenate([[0], np.cumsum(columns[2].to_numpy())]).astype(np.int32)
-                content = np.frombuffer(b"".join(tokens[at : at + BATCH_PIECES]), "<i4")
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(content))], names=names)
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(columns[2].to_numpy())]).astype(np.int32)
+                    content = np.frombuffer(b"".join(tokens[at : at + BATCH_PIECES]), "<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(content)))
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+            kept = sorted({d for d, _, _ in left})
+            ids, packed, held = [ids[d] for d in kept], [packed[d] for d in kept], 0
+            pieces = [(kept.index(d), start, n) for d, start, n in left]
 
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids += part.column(0).to_pylist()
-                new = [p + end for p in encode([t or "" for t in part.column(1).to_pylist()])]
-                packed += new
-                held += sum(map(len, new)) // 4
+                for new in encode([t or "" for t in part.column(1).to_pylist()]):
+                    packed.append(new + end)
+                    pieces.append((len(packed) - 1, 0, len(packed[-1]) // 4))
+                    held += pieces[-1][2]
                 if held >= BLOCK_TOKENS:
-                    yield from flush()
-        if packed:
-            yield from flush()
+                    yield from flush(False)
+        if pieces:
+            yield from flush(True)
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
-    kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids array<int>"
+    kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long" + ", ids array<int>" * with_ids
     return thin.mapInArrow(pack, kinds).withColumnRenamed("id", id_col)
 
 

@@ -439,9 +439,12 @@ def test_packing(docs, empty):
             assert offset == at
             at += n
         assert at <= 1024 and at & (at - 1) == 0  # no padding
-    ids = np.array([*library.encode(hostile_texts()[16], add_special_tokens=False).ids, 0], "<u4")
+    whole = collections.defaultdict(list)
+    for i, t in source(docs):
+        whole[i].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4"))
     for r in got:
-        if r.doc_id == 16:
+        if len(whole[r.doc_id]) == 1:
+            ids = whole[r.doc_id][0]
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert packing.pack_documents(empty, tokenizer_file("byte_bpe_50k.json")).count() == 0
 
@@ -451,6 +454,7 @@ def test_packed_ids(docs, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "BATCH_PIECES", 7)
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 300)
     library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     unique = docs.filter("doc_id is not null and doc_id not in (3, 10)")
     pieces_of = collections.defaultdict(list)
@@ -466,9 +470,13 @@ def test_packed_blocks():
     for _ in range(100):
         lengths = [r.choice([1, 5, 60, 300, 1023, 1024, 1025, 5000, r.randint(1, 3000)]) for _ in range(r.randint(0, 60))]
         got = [[] for _ in lengths]
-        for window in packing.pack_block(lengths):
+        first, left = packing.pack_block([(d, 0, n) for d, n in enumerate(lengths)], last=False)
+        second, nothing = packing.pack_block(left)
+        assert sum(n for *_, n in left) < 1024 and not nothing
+        for window in first + second:
             size = sum(n for *_, n in window)
             assert size <= 1024 and size & (size - 1) == 0
+            assert window in second or size in packing.TIERS
             for d, start, n in window:
                 got[d].append((start, n))
         for parts, whole in zip(got, lengths, strict=True):
@@ -477,8 +485,41 @@ def test_packed_blocks():
                 assert start == at and n > 0
                 at += n
             assert at == whole
-    steps = packing.balanced_steps([1024] * 20 + [64] * 4, 8)
-    assert sorted(collections.Counter(steps).values()) == [8, 8, 8]
+
+
+def test_tiers():
+    """Each tier has windows of its own size, opened by pieces of that tier; long windows' gaps hold shorter ones."""
+    lengths = [600] * 4 + [400] * 30 + [200] * 30 + [100] * 40 + [20] * 60
+    windows, _ = packing.pack_block([(d, 0, n) for d, n in enumerate(lengths)])
+    sizes = collections.Counter(sum(n for *_, n in w) for w in windows)
+    assert sizes[1024] == 4 and all(sizes[t] for t in packing.TIERS[:4])
+    for window in windows:
+        size = sum(n for *_, n in window)
+        if size >= 128:
+            assert size // 2 < window[0][2] <= size and all(n <= size // 2 for *_, n in window[1:])
+    assert [w for w in windows if sum(n for *_, n in w) == 1024][0][:2] == [(3, 0, 600), (33, 0, 400)]
+
+
+def test_balanced_steps():
+    r = random.Random(3)
+    sizes = [r.choice(packing.TIERS) for _ in range(3000)] + [7, 1]
+    steps = packing.balanced_steps(sizes)
+    total = collections.Counter()
+    for size, step in zip(sizes, steps, strict=True):
+        total[step] += size
+    assert len(total) == -(-sum(sizes) // packing.STEP_TOKENS) and max(total.values()) - min(total.values()) <= 64
+
+
+def test_unsupported_tokenizers(tmp_path):
+    import json
+
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not a byte-level"):
+            packing.byte_bpe_encoder(str(path))
 
 
 def test_encoder_equals_library():
