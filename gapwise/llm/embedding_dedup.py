@@ -14,7 +14,7 @@ from .components import connected_components
 
 #: Bits of the concatenated hashes that order a pass, vectors of a block, and the chance that a pair at the
 #: threshold meets in no pass, above which a vector is compared with all others of its label.
-CODE_BITS, BLOCK, MISS = 48, 512, 1e-4
+CODE_BITS, BLOCK, MISS = 48, 512, 1e-6
 #: Passes that are sorted in one exchange.
 PASSES_AT_ONCE = 4
 #: Blocks that are taken as one where vectors are compared with all of their label.
@@ -97,11 +97,14 @@ def met_before(column) -> np.ndarray:
     return values.reshape(len(column), len(values) // len(column))
 
 
-def forest(row: np.ndarray, a: np.ndarray, b: np.ndarray):
-    """(row, n, head) of the links between the places a and b: their number, and the least row that they lead to."""
+def forest(row: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """(row, n, head) of the links between the places a and b: how many vectors each place links with, and the least
+    row that they lead to."""
     import pyarrow as pa
 
-    n = np.bincount(a, minlength=len(row)) + np.bincount(b, minlength=len(row))
+    n = np.zeros(len(row), np.int64)
+    np.add.at(n, a, copies[b])
+    np.add.at(n, b, copies[a])
     head = row.copy()
     while True:
         new = head.copy()
@@ -142,27 +145,34 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
     n_links counts other rows linked directly, component_id is the least id that links reach, kept tells the row
     that bears it.
 
-    1. In each pass the vectors are ordered by label and concatenated random hyperplane hashes. A global position
+    1. Equal vectors of a label are one, with the number of its copies; they link with each other.
+    2. In each pass the vectors are ordered by label and concatenated random hyperplane hashes. A global position
        comes from the rows counted in each partition, and cuts the order into blocks.
-    2. A task compares a block with itself and the next one, so each vector meets its neighbours on either side.
+    3. A task compares a block with itself and the next one, so each vector meets its neighbours on either side.
        A pair counts in the first pass in which it meets, which the block numbers of earlier passes tell. A task
        returns counts and a spanning forest of its links, not the pairs. The bits that set a vector's two
        neighbouring blocks apart from the rest of its label are measured in each pass, and with them the chance
        that it misses a partner at the threshold.
-    3. Passes go on until comparing the vectors whose chance is still above MISS with all others of their label,
+    4. Passes go on until comparing the vectors whose chance is still above MISS with all others of their label,
        which is exact, costs no more than the passes. So it is done. All forests are united.
-    4. A component some of whose vectors link with half a block or more may be wider than a window; there the
-       links are counted again, over all pairs of blocks of the component, which holds all its vectors' links.
+    So each pair that links is found and counted but with chance MISS, in groups of any size.
 
-    Null labels, null, empty or zero vectors, or components that are null or not finite: no links. Equal vectors
-    link. Vectors of different dimension don't. Null ids: such rows take part; a component without any id has none.
-    Repeated rows are rows of their own. Empty table: no rows.
+    Null labels, null, empty or zero vectors, or components that are null or not finite: no links. Vectors of
+    different dimension don't link. Null ids: such rows take part; a component without any id has none. Repeated
+    rows are rows of their own. Empty table: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), column_or_null(vectors, id_col, "long").alias("id"), column_or_null(vectors, label_col, "string").alias("label"), F.col(f"`{vector_col}`").alias("vector"))
+    vector = column_or_null(vectors, vector_col, "array<double>")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), column_or_null(vectors, id_col, "long").alias("id"), column_or_null(vectors, label_col, "string").alias("label"), vector.alias("vector"))
+    sound = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", _finite) & F.exists("vector", lambda x: x != 0)
+    # 128 bits tell equal vectors
+    rows = rows.select("*", F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("label", "vector").alias("h1"), F.xxhash64(F.lit("second"), "vector", "label").alias("h2"))
     rows = scratch.save(rows, "rows")
-    usable = rows.filter(F.col("label").isNotNull() & (F.size("vector") > 0)).select("row", "label", "vector")
+    distinct = rows.filter("sound").groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = scratch.save(distinct, "distinct")
+    usable = rows.select("row", "label", "vector").join(distinct.select(F.col("first").alias("row"), "copies"), "row").select("row", "label", "vector", "copies")
+    usable = scratch.save(usable, "usable")
     sizes = scratch.save(usable.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
     number = sizes.agg(F.sum("size")).first()[0] or 0
 
@@ -175,9 +185,9 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
             break
         turns = list(range(first, first + PASSES_AT_ONCE))
         wide = _blocks(usable, turns, least_cosine).groupBy("row").agg(F.sum("log_miss").alias("more"), *(F.max(F.when(F.col("turn") == t, F.col("block"))).alias(f"b{t}") for t in turns))
-        placed = placed.join(wide, "row").select("row", "label", "vector", F.concat("seen", F.array(*(f"b{t}" for t in turns))).alias("seen"), (F.col("log_miss") + F.col("more")).alias("log_miss"))
+        placed = placed.join(wide, "row").select("row", "label", "vector", "copies", F.concat("seen", F.array(*(f"b{t}" for t in turns))).alias("seen"), (F.col("log_miss") + F.col("more")).alias("log_miss"))
         placed = scratch.save(placed, f"placed-{first}")
-        met = scratch.save(_compared(placed.select("row", "label", "vector", "seen"), turns, least_cosine), f"met-{first}")
+        met = scratch.save(_compared(placed.select("row", "label", "vector", "copies", "seen"), turns, least_cosine), f"met-{first}")
         found = met if found is None else found.unionByName(met)
         if stored:
             scratch.drop(stored)
@@ -186,16 +196,18 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
     found = met if found is None else found.unionByName(met)
     roots = connected_components(found.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "roots")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    linked_rows = scratch.save(roots.select(F.col("node").alias("row"), "root").join(counts, "row"), "linked")
-    broad = linked_rows.groupBy("root").agg(F.max("n_links").alias("most")).filter(F.col("most") >= BLOCK // 2).select("root")
-    members = linked_rows.join(broad, "root").select("row", "root")
-    again = _recounted(members.join(usable.select("row", "vector"), "row"), least_cosine)
-    linked_rows = linked_rows.join(again, "row", "left").select("row", "root", F.coalesce("recount", "n_links").alias("n_links"))
+    linked_rows = roots.select(F.col("node").alias("first"), "root").join(counts.withColumnRenamed("row", "first"), "first")
 
-    joined = rows.select("row", "id").join(linked_rows, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    joined = rows.select("row", "id", F.when(F.col("sound"), F.col("h1")).alias("h1"), "h2").join(distinct, ["h1", "h2"], "left").join(linked_rows, "first", "left")
+    others = F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    joined = joined.select("id", others.cast("long").alias("n_links"), F.coalesce("root", "first", "row").alias("root"))
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     out = joined.join(least, "root")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _finite(x):
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def _positioned(ordered: DataFrame, key: str) -> tuple[DataFrame, dict[tuple[int, int], int]]:
@@ -280,12 +292,12 @@ def _compared(placed: DataFrame, turns: list[int], least_cosine: float) -> DataF
     at most two blocks.
     """
     own = placed.select("*", F.explode(F.array(*map(F.lit, turns))).alias("turn")).withColumn("block", F.get("seen", F.col("turn")))
-    spread = own.select("turn", F.explode(F.array(F.struct(F.col("block").alias("group"), F.lit(0).alias("next")), F.struct((F.col("block") - 1).alias("group"), F.lit(1).alias("next")))).alias("g"), "row", "label", "vector", "seen")
-    spread = spread.select("turn", "g.group", "g.next", "row", "label", "vector", "seen")
+    spread = own.select("turn", F.explode(F.array(F.struct(F.col("block").alias("group"), F.lit(0).alias("next")), F.struct((F.col("block") - 1).alias("group"), F.lit(1).alias("next")))).alias("g"), "row", "label", "vector", "seen", "copies")
+    spread = spread.select("turn", "g.group", "g.next", "row", "label", "vector", "seen", "copies")
 
     def run(batches):
         for (turn, _), rows in grouped(batches, 2):
-            nxt, row = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            nxt, row, copies = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 7))
             label = np.array(rows.column(4).to_pylist(), dtype=object)
             seen = met_before(rows.column(6))
             left, right = [], []
@@ -302,7 +314,7 @@ def _compared(placed: DataFrame, turns: list[int], least_cosine: float) -> DataF
                 right.append(b[good])
             if not left or not sum(map(len, left)):
                 continue
-            yield forest(row, np.concatenate(left), np.concatenate(right))
+            yield forest(row, copies, np.concatenate(left), np.concatenate(right))
 
     return spread.repartition("turn", "group").sortWithinPartitions("turn", "group").mapInArrow(run, "row long, n long, head long")
 
@@ -313,18 +325,18 @@ def _all_compared(placed: DataFrame, least_cosine: float) -> DataFrame:
     Within a label such vectors come first, and the blocks that hold them are compared with all blocks of the label.
     """
     log_miss = F.col("log_miss") > math.log(MISS)
-    rows = placed.select("row", "label", "vector", "seen", log_miss.alias("open"))
+    rows = placed.select("row", "label", "vector", "copies", "seen", log_miss.alias("open"))
     rows = rows.join(rows.filter("open").select("label").distinct(), "label", "left_semi")
     thin = rows.select(F.lit(0).alias("all"), "label", (~F.col("open")).alias("settled"), "row").repartitionByRange("label", "settled", "row").sortWithinPartitions("label", "settled", "row")
     numbered = _numbered(*_positioned(thin, "all"), "all", BLOCK * BLOCKS_AT_ONCE).select("row", "block")
     rows = rows.join(numbered, "row")
     ranges = rows.groupBy("label").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.max(F.when(F.col("open"), F.col("block"))).alias("last"))
     met = rows.join(ranges, "label").withColumn("other", F.explode(F.sequence("low", "high"))).filter(F.least("block", "other") <= F.col("last"))
-    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "label", "vector", "seen")
+    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "label", "vector", "seen", "copies")
 
     def run(batches):
         for (i, j), part in grouped(batches, 2):
-            side, row = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            side, row, copies = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 7))
             label = np.array(part.column(4).to_pylist(), dtype=object)
             seen = met_before(part.column(6))
             left, right = [], []
@@ -341,40 +353,6 @@ def _all_compared(placed: DataFrame, least_cosine: float) -> DataFrame:
                 left.append(a[good])
                 right.append(b[good])
             if left and sum(map(len, left)):
-                yield forest(row, np.concatenate(left), np.concatenate(right))
+                yield forest(row, copies, np.concatenate(left), np.concatenate(right))
 
     return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "row long, n long, head long")
-
-
-def _recounted(members: DataFrame, least_cosine: float) -> DataFrame:
-    """(row, recount): the links of each member of broad components, over all pairs of blocks of a component.
-
-    members: row, root, vector. The work grows with the number of links there are to count; no pair is returned.
-    """
-    thin = members.select(F.lit(0).alias("all"), "root", "row").repartitionByRange("root", "row").sortWithinPartitions("root", "row")
-    placed = _numbered(*_positioned(thin, "all"), "all", BLOCK).select("row", "block")
-    placed = members.join(placed, "row")
-    ranges = placed.groupBy("root").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    met = placed.join(ranges, "root").select("row", "root", "vector", "block", F.explode(F.sequence("low", "high")).alias("other"))
-    met = met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "root", "vector")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for (i, j), rows in grouped(batches, 2):
-            side, row, root = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
-            n = np.zeros(len(row), np.int64)
-            for at, unit in matrix(rows.column(5)):
-                mine = np.flatnonzero(side[at] == 0)
-                other = mine if i == j else np.flatnonzero(side[at] == 1)
-                if not len(mine) or not len(other):
-                    continue
-                a, b = linked(unit[mine], unit[other], least_cosine)
-                a, b = at[mine[a]], at[other[b]]
-                good = (root[a] == root[b]) & ((a < b) | (i != j))
-                n += np.bincount(a[good], minlength=len(row)) + np.bincount(b[good], minlength=len(row))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some])], names=["row", "n"])
-
-    parts = met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "row long, n long")
-    return parts.groupBy("row").agg(F.sum("n").alias("recount"))
