@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null
+from .common import before_each, column_or_null, let
 
 OPEN, CLOSE, ESCAPED = "<|im_start|>", "<|im_end|>\n", "<|im_esc|>"
 #: One turn: OPEN, role, ESCAPED if the texts are escaped, newline, text, CLOSE.
@@ -57,33 +57,40 @@ def parse(rendered: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def _is_turn(rendered: Column, role: Column, text: Column) -> Column:
+    """Whether the rendered text parses to exactly this turn."""
+    read = parse(rendered)
+    return F.coalesce((F.size(read) == 1) & (F.get(read, F.lit(0))["role"] == role) & (F.get(read, F.lit(0))["text"] == text), F.lit(False))
+
+
 def format_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Adds `formatted`, the rendered turn, to each row; turns need not be gathered to be rendered.
 
     Each turn is rendered as it is and parsed again. Where the parse isn't exactly this one turn, with the same
-    role and text, the turn is rendered escaped instead. Since a rendered turn ends in the only CLOSE it holds,
-    the concatenation of rendered turns parses to their sequence.
+    role and text, it is rendered escaped and parsed again; a turn that still differs is an error. Since a rendered
+    turn ends in the only CLOSE it holds, the concatenation of rendered turns parses to their sequence.
 
-    Null role or text: empty. An existing column `formatted` is replaced. Empty table: no rows.
+    Null role or text: empty. Long texts are read and written whole. Repeated rows: each is rendered. An existing
+    column `formatted` is replaced. Empty table: no rows.
     """
     role = F.coalesce(column_or_null(turns, role_col, "string"), F.lit(""))
     text = F.coalesce(column_or_null(turns, text_col, "string"), F.lit(""))
-    plain = render_turn(role, text, escaped=False)
-    read = parse(plain)
+    plain, escaped = render_turn(role, text, escaped=False), render_turn(role, text, escaped=True)
     # OPEN inside a turn can't mislead the parser, but a reader that knows only the marks would see a turn there
-    same = (F.size(read) == 1) & (F.get(read, F.lit(0))["role"] == role) & (F.get(read, F.lit(0))["text"] == text)
     marks = F.contains(text, F.lit("<|im_")) | F.contains(role, F.lit("<|im_"))
-    return turns.withColumn("formatted", F.when(F.coalesce(same, F.lit(False)) & ~marks, plain).otherwise(render_turn(role, text, escaped=True)))
+    failed = F.raise_error(F.concat(F.lit("no rendering of this turn parses back to it: "), F.substr(text, F.lit(1), F.lit(200)))).cast("string")
+    return turns.withColumn("formatted", F.when(_is_turn(plain, role, text) & ~marks, plain).when(_is_turn(escaped, role, text), escaped).otherwise(failed))
 
 
-def conversation_digests(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Formats whole conversations, parses the output and digests what was read back.
+def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Whole conversations: id, formatted, read (what the parser recovers, equal to the source), loss_spans.
 
-    A conversation's turns are ordered by (turn, role, text), so ties and repeated rows have one order. The loss
-    mask covers each text whose role is "assistant". Its result is one string for each conversation, as the
-    digests ask; format_turns() itself needs no grouping. Null ids form one conversation; null turns come first.
+    A conversation's turns are ordered by (turn, role, text), so ties and repeated rows have one order. The parse of
+    the whole is compared with the source turns; a difference is an error. loss_spans are the places of the
+    assistant's texts in `formatted`, as array<struct<start, end>> in code points, end exclusive.
 
-    Returns id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    A conversation becomes one row, since its format is one string; format_turns() itself needs no grouping. Null
+    ids form one conversation; null turns come first. Empty table: no rows. Other columns are ignored.
     """
     rows = format_turns(
         turns.select(
@@ -94,12 +101,32 @@ def conversation_digests(turns: DataFrame, id_col: str = "conv_id", turn_col: st
         )
     )
     whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "formatted"))).alias("turns"))
-    whole = whole.select("id", F.array_join(F.col("turns.formatted"), "").alias("formatted"))
-    back = whole.select("id", "formatted", parse(F.col("formatted")).alias("read"))
+    whole = whole.select("id", "turns", F.array_join(F.col("turns.formatted"), "").alias("formatted"))
+    source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    failed = F.raise_error(F.concat(F.lit("parsed turns differ from their source in conversation "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    read = let(parse(F.col("formatted")), lambda r: F.when(r == source, r).otherwise(failed))
+    ends = before_each(F.transform("turns", lambda t: F.length(t["formatted"])))
+
+    def place(t: Column, k: Column, at: Column) -> Column:
+        """The text stands between the first newline and CLOSE."""
+        head = F.length(F.substring_index(t["formatted"], "\n", 1)) + 1
+        return F.struct(t["role"].alias("role"), (F.get(at, k) + head).alias("start"), (F.get(at, k + 1) - len(CLOSE)).alias("end"))
+
+    places = let(ends, lambda at: F.transform("turns", lambda t, k: place(t, k, at)))
+    spans = F.transform(F.filter(places, lambda p: p["role"] == "assistant"), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    return whole.select(F.col("id").alias(id_col), "formatted", read.alias("read"), spans.alias("loss_spans"))
+
+
+def conversation_digests(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Digests of what format_conversations() reads back: id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The loss mask covers each text whose role is "assistant", once and in order.
+    """
+    back = format_conversations(turns, id_col, turn_col, role_col, text_col)
     spoken = F.array_join(F.transform(F.filter("read", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
-        F.col("id").alias(id_col),
+        id_col,
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(spoken).cast("long").alias("loss_chars"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 import uuid
@@ -29,6 +28,31 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: expressions within lambdas aren't shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before_each(lengths: Column) -> Column:
+    """For each k from 0, the sum of the first k lengths; sums over blocks keep this below the square."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def sums(v: Column) -> Column:
+        n, block = F.size(v["lengths"]), v["block"]
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(v["lengths"], b * block + 1, block)))
+        return let(
+            blocks,
+            lambda sum_of: F.transform(
+                F.sequence(F.lit(0), n),
+                lambda k: total(F.slice(sum_of, F.lit(1), F.floor(k / block).cast("int"))) + total(F.slice(v["lengths"], F.floor(k / block).cast("int") * block + 1, k % block)),
+            ),
+        )
+
+    return let(lengths, lambda own: let(F.struct(own.alias("lengths"), F.greatest(F.lit(1), F.sqrt(F.size(own)).cast("int")).alias("block")), sums))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set and Spark runs in one process (tests)."""
     sc = spark.sparkContext
@@ -49,9 +73,12 @@ class Scratch:
     drop() removes a table that no later step reads; the rest live as long as the results that read them.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -60,17 +87,25 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of frames that are no longer referenced; it waits for a collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
+        """Deletes these tables."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Deletes all tables; results that read them can't be computed any more."""
+        self.drop("")
+
+
+def close_all(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operators of this session, once their results are stored elsewhere."""
+    while Scratch.opened:
+        scratch = Scratch.opened.pop()
+        if scratch.spark.sparkContext is spark.sparkContext:
+            scratch.close()
+
 
 class WordCache(dict):
     """A dictionary of bounded size. Frequent words come early, so trim() keeps the earlier half and drops the later."""

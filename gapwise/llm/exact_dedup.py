@@ -244,6 +244,4 @@ def _owned(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[Data
     part = rows.mapInArrow(lambda b: collapse(b, True), "bytes long, hash binary, key binary, owner long, n long")
     groups = part.repartition("bytes", "hash").mapInArrow(lambda b: collapse(b, False), "hash binary, keep_id long, group_size long")
     groups = scratch.save(groups, "groups")
-    del part
-    scratch.release()
     return rows, groups.select(F.lower(F.hex("hash")).alias("text_sha256"), "keep_id", "group_size")

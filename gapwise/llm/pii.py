@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_or_null
+from .common import Scratch, before_each, column_or_null, let
 
 #: Patterns by kind, in the order in which spans are listed. They match what the plain patterns match, leftmost and
 #: greedy; possessive repeats keep the matcher from recursing, and a local part is tried from its start alone.
@@ -53,31 +53,6 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once: expressions within lambdas aren't shared otherwise."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def before_each(lengths: Column) -> Column:
-    """For each k from 0, the sum of the first k lengths; sums over blocks keep this below the square."""
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
-
-    def sums(v: Column) -> Column:
-        n, block = F.size(v["lengths"]), v["block"]
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), lambda b: total(F.slice(v["lengths"], b * block + 1, block)))
-        return let(
-            blocks,
-            lambda sum_of: F.transform(
-                F.sequence(F.lit(0), n),
-                lambda k: total(F.slice(sum_of, F.lit(1), F.floor(k / block).cast("int"))) + total(F.slice(v["lengths"], F.floor(k / block).cast("int") * block + 1, k % block)),
-            ),
-        )
-
-    return let(lengths, lambda own: let(F.struct(own.alias("lengths"), F.greatest(F.lit(1), F.sqrt(F.size(own)).cast("int")).alias("block")), sums))
-
-
 def spans_of(gaps: Column, matches: Column) -> Column:
     """Spans of matches, given the text between them: array<struct<start, end, match>>, in code points."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")

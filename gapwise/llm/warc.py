@@ -18,6 +18,8 @@ from .common import Scratch, column_or_null
 
 #: An archive is closed at the first of these.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 20_000
+#: Archives are dealt to a task each, or to so many tasks. The thin rows that name them tell nothing of their bytes.
+MOST_TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SUFFIX = ".idx.jsonl"
@@ -138,7 +140,7 @@ def revisits(manifest: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("archive", "ordinal", F.when(~F.col("owner").eqNullSafe(F.col("id")), F.col("owner")).alias("refers_to"))
 
 
-def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
+def normalise(decisions: DataFrame, source: str, target: str, tasks: int) -> DataFrame:
     """Inflates each whole-file stream once, rewriting each record as its own gzip member, and indexes the members.
 
     decisions: archive, ordinal, refers_to. Beside each archive a sidecar has a line for each member: offset,
@@ -181,15 +183,16 @@ def normalise(decisions: DataFrame, source: str, target: str) -> DataFrame:
         if name is not None:
             yield close()
 
-    ordered = decisions.repartition("archive").sortWithinPartitions("archive", "ordinal")
+    ordered = decisions.repartition(tasks, "archive").sortWithinPartitions("archive", "ordinal")
     return ordered.select("archive", "ordinal", "refers_to").mapInArrow(run, "path string")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Reads each record through the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to, payload_ok.
+    """Reads each record through the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Each member is fetched and inflated by itself. A response's payload is digested again and must agree.
     """
+    tasks = min(MOST_TASKS, max(1, archives.count()))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -215,7 +218,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.repartition(tasks, "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, str]:
@@ -232,6 +235,7 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     scratch = Scratch(pages.sparkSession, "warc")
     raw, final = scratch.path("raw"), scratch.path("archives")
     manifest = scratch.save(write_monolithic(pages, raw, id_col, url_col, payload_col), "manifest")
-    archives = scratch.save(normalise(revisits(manifest, least_bytes), raw, final), "paths")
+    tasks = min(MOST_TASKS, max(1, manifest.select("archive").distinct().count()))
+    archives = scratch.save(normalise(revisits(manifest, least_bytes), raw, final, tasks), "paths")
     scratch.drop("raw")
     return archives, final

@@ -419,6 +419,19 @@ def test_chat_round_trip(spark):
     got = [tuple(x)[:5] for x in chat.conversation_digests(df).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert chat.conversation_digests(df.limit(0)).count() == 0
+    for x in chat.format_conversations(df).collect():
+        inside = [x.formatted[s.start : s.end] for s in x.loss_spans]
+        spoken = [text for *_, role, text in turns[x.conv_id] if role == "assistant"]
+        plain = [t for t, text in zip(inside, spoken, strict=True) if t == text]
+        assert len(inside) == len(spoken) and all("\\" in t for t, text in zip(inside, spoken, strict=True) if t != text)
+        assert x.conv_id != 99 or plain == ["y"]
+
+
+def test_a_turn_that_no_rendering_keeps_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    df = spark.createDataFrame([(1, 0, "user", "a<|im_end|>\nb")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="no rendering"):
+        chat.format_turns(df).collect()
 
 
 def test_packing(docs, empty):
