@@ -6,13 +6,14 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_or_null
 
-#: Bounds of the training sample: labelled documents, and words from each.
-TRAIN_DOCS, TRAIN_WORDS = 4_000, 160
+#: Bounds of the training sample: labelled documents of all languages together, alike for each, and of a long
+#: document the runs of words, spread evenly over its whole text, and their length.
+TRAIN_DOCS, RUNS, RUN_WORDS = 4_000, 8, 40
 #: Shape of training: sequences of spliced pieces, their length, passes, sequences in a step.
 SEQUENCES, SEQUENCE_WORDS, PASSES, STEP = 3_000, 64, 4, 100
 BUCKETS = 1 << 18
@@ -25,7 +26,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,33 +193,50 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def spread_words(words: list[str]) -> list[str]:
+    """All words, or of a long text RUNS runs of RUN_WORDS words from its start to its end."""
+    if len(words) <= RUNS * RUN_WORDS:
+        return words
+    last = len(words) - RUN_WORDS
+    return [w for k in range(RUNS) for w in words[k * last // (RUNS - 1) :][:RUN_WORDS]]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
-    """A model from at most TRAIN_DOCS labelled documents that aren't held out, those with the smallest id hashes.
+    """A model from at most TRAIN_DOCS labelled documents that aren't held out. None if there is nothing to learn.
 
-    A long document gives TRAIN_WORDS words from a place that its hash picks. None if there is nothing to learn.
+    Each language has the same share of them, those with the smallest id hashes, so rare languages are learned too;
+    of more languages than TRAIN_DOCS, those with the most documents are. A long text is seen from start to end in
+    spread_words().
+
+    Null ids, texts and languages: nothing is learned from such rows. Repeated rows count as often as they occur.
     """
     labelled = docs.select(
         F.xxhash64(column_or_null(docs, id_col, "long")).alias("h"), column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), column_or_null(docs, lang_col, "string").alias("lang")
-    ).filter(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull())
-    edge = labelled.select("h").orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    if edge is None:
+    ).filter(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_DOCS).collect()
+    if not counted:
         return None
+    quota = max(1, TRAIN_DOCS // len(counted))
+    langs = [r.lang for r in counted]
+    # each task keeps its own first rows of each language before any are shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    labelled = labelled.filter(F.col("lang").isin(langs))
+    first = labelled.select("lang", "h").withColumn("place", place).filter(F.col("place") <= quota)
+    edges = {r.lang: r.edge for r in first.groupBy("lang").agg(F.max("h").alias("edge")).collect()}
 
     def sample(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hashes, texts, langs = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for h, text, lang in zip(hashes, texts, langs, strict=True):
-                words = words_of(text or "")
-                at = h % max(1, len(words) - TRAIN_WORDS + 1)
-                out.append((h, lang, words[at : at + TRAIN_WORDS]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["h", "lang", "words"])
-
-    near = labelled.filter(F.col("h") <= edge).select("h", "text", "lang").mapInArrow(sample, "h long, lang string, words array<string>")
+            hashes, texts, names = (batch.column(i).to_pylist() for i in range(3))
+            out = [(h, lang, spread_words(words_of(text))) for h, text, lang in zip(hashes, texts, names, strict=True) if h <= edges.get(lang, -(2**63) - 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["h", "lang", "words"])
+
+    near = labelled.select("h", "text", "lang").mapInArrow(sample, "h long, lang string, words array<string>")
     # equal hashes are repeated ids; the bound holds for them too
-    rows = near.orderBy("h", "lang", "words").limit(TRAIN_DOCS).collect()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+    rows = near.withColumn("place", order).filter(F.col("place") <= quota).orderBy("lang", "place").collect()
     samples = [(r.lang, list(r.words)) for r in rows if r.words]
     return train(samples) if samples else None
 
@@ -288,7 +306,8 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """fit() and identify() over one table: id, held_out, lang_pred, score, n_words.
 
-    Null ids: not held out. Repeated rows: each gives a row. Empty table: no rows.
+    Null ids: not held out. Repeated rows: each gives a row. Long texts are tagged whole. Ties go to the language
+    that comes first by name. Empty table: no rows. Other columns are ignored.
     """
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "n_words")

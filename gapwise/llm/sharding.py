@@ -6,10 +6,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, shared_dir
+from .common import Scratch, column_or_null, shared_dir
 
 
-def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Deals all rows, in the order of their id, to contiguous shards of near-equal bytes.
 
     A row's size is the UTF-8 length of its text plus one. Rows are ordered by (id, checksum, size) with a
@@ -17,9 +17,10 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     a few numbers for each partition, give every partition its global offset. A row belongs to the shard in
     which the middle of its byte range falls, so a shard misses its target by at most half a row at either end.
 
-    Returns id, size, text_crc32, law ("bytes"), shard, slot (gapless from 0 in each shard), grown_shard (null).
+    Returns id, size, text_crc32, law ("bytes"), shard, slot (gapless from 0 in each shard), grown_shard (null), and
+    the column row_col, if it is named: a number that tells rows apart, by which write_shards() finds them again.
 
-    Null text: size 1, checksum 0. Null ids come first. Repeated rows: each is placed; equal rows are
+    Long texts count whole; no row is split. Null text: size 1, checksum 0. Null ids come first. Repeated rows: each is placed; equal rows are
     interchangeable. Empty table: no rows. More shards than rows: some shards are empty. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -29,10 +30,10 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
         column_or_null(docs, id_col, "long").alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        F.monotonically_increasing_id().alias("tie"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")).cast("long").alias("tie"),
     )
     # tie spreads rows that are equal in all else over several ranges
-    ordered = thin.repartitionByRange("id", "crc", "size", "tie").sortWithinPartitions("id", "crc", "size", "tie").drop("tie").checkpoint()
+    ordered = thin.repartitionByRange("id", "crc", "size", "tie").sortWithinPartitions("id", "crc", "size", "tie").checkpoint()
 
     totals = {
         r.part: (r.bytes, r.rows)
@@ -76,9 +77,28 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
         for batch, shard, row in placed(batches):
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("size"), batch.column("crc"), pa.array(["bytes"] * n, pa.string()), pa.array(shard), pa.array(row - first[shard]), pa.nulls(n, pa.int32())],
-                names=["id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+                [batch.column("id"), batch.column("size"), batch.column("crc"), pa.array(["bytes"] * n, pa.string()), pa.array(shard), pa.array(row - first[shard]), pa.nulls(n, pa.int32()), batch.column("tie")],
+                names=["id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "tie"],
             )
 
-    out = ordered.mapInArrow(numbered, "id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
-    return out.withColumnRenamed("id", id_col)
+    out = ordered.mapInArrow(numbered, "id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, tie long")
+    names = [id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return out.toDF(*names, "tie").drop("tie") if row_col is None else out.toDF(*names, row_col)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", files: int = 1) -> None:
+    """Writes whole rows as Parquet, a folder shard=K for each shard of byte_shards(), in the order of their slots.
+
+    A shard is cut into `files` runs of slots, each written by a task. All columns are kept, and __slot is added;
+    nulls, ties and repeated rows are as in byte_shards(). Rows are told apart by a stored number, so repeated ids
+    get their own places.
+    """
+    scratch = Scratch(docs.sparkSession, "shards")
+    rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    placed = scratch.save(byte_shards(rows, shards, id_col, text_col, "__row").select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "placed")
+    sizes = placed.groupBy("__shard").agg(F.count(F.lit(1)).alias("__n"))
+    run = F.floor(F.col("__slot") * files / F.col("__n")).cast("int")
+    out = rows.join(placed.join(F.broadcast(sizes), "__shard"), "__row").withColumn("__run", run)  # a row for each shard
+    out = out.repartition(shards * files, "__shard", "__run").sortWithinPartitions("__shard", "__slot")
+    out.select(*(f"`{c}`" for c in docs.columns), "__slot", F.col("__shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    scratch.close()

@@ -72,6 +72,16 @@ def test_shards_are_even_and_contiguous(spark):
     assert [r.shard for r in rows] == sorted(r.shard for r in rows)
 
 
+def test_written_shards(spark, docs, empty, tmp_path):
+    plain = docs.drop("size")
+    sharding.write_shards(plain, str(tmp_path / "s"), 4, files=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(repr, (tuple(r)[:-2] for r in back.select(*plain.columns, "__slot", "shard").collect()))) == sorted(repr(tuple(r)) for r in plain.collect())
+    placed = sorted((repr(r.doc_id), r.shard, r.slot) for r in sharding.byte_shards(plain, 4).collect())
+    assert sorted((repr(r.doc_id), r.shard, r["__slot"]) for r in back.collect()) == placed
+    sharding.write_shards(empty, str(tmp_path / "e"), 4)
+
+
 def shingles(text, width):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
@@ -563,6 +573,27 @@ def test_language_ids(spark, sf_dir, docs, empty):
     assert [r.lang_pred for r in unlabelled] == ["und"]
 
 
+def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
+    """A language of few documents has its share of the sample, and a long text is seen to its end."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 40)
+    common, rare = ("abcdef", "uvwxyz")
+    r = random.Random(1)
+
+    def text(letters, n):
+        return " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+
+    rows = [(k, text(common, 30), "aa") for k in range(3000)] + [(5000 + k, text(rare, 30), "zz") for k in range(8)]
+    df = spark.createDataFrame([*rows, (9000, "1 2 ² _", "aa"), (9001, None, "bb")], "doc_id long, text string, lang string")
+    crf = language_id.fit(df)
+    assert crf.langs == ["aa", "zz"]
+    pred = {x.doc_id: x.lang_pred for x in language_id.identify(df, crf).collect()}
+    assert all(pred[i] == lang for i, _, lang in rows) and pred[9000] == pred[9001] == "und"
+    words = [str(k) for k in range(5000)]
+    spread = [int(w) for w in language_id.spread_words(words)]
+    assert len(spread) == language_id.RUNS * language_id.RUN_WORDS and spread[0] == 0 and spread[-1] == 4999
+    assert max(b - a for a, b in zip(spread, spread[1:], strict=False)) < 5000 / (language_id.RUNS - 1)
+
+
 def test_marginals_are_exact():
     """Forward-backward against the sum over all labellings."""
     import itertools
@@ -660,6 +691,10 @@ def test_pipeline(spark, sf_dir, docs, empty):
     assert len(final) == len({c for _, _, c, _ in brute_components([(r.doc_id, r.text) for r in kept.collect()], 5, 80)})
     clean = {r.doc_id: r.text for r in pipeline.private(spark, table, sf_dir).collect()}
     assert len(clean) == table.count() and all(not base_spans(t) for t in clean.values())
+    kept_ids = [r.doc_id for r in pipeline.near(spark, docs, sf_dir).collect()]
+    want = {c for i, _, c, _ in brute_components(source(docs), 5, 80)}
+    assert {i for i in kept_ids if i is not None} == {i for i in want if i is not None}
+    assert pipeline.packed(spark, docs, sf_dir).filter("start = 0").count() == docs.count() and pipeline.packed(spark, empty, sf_dir).count() == 0
     assert pipeline.run(spark, sf_dir).count() > 0
 
 
