@@ -22,30 +22,54 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose words' languages can be told, mixed ones too; with no model, all that have letters."""
+    """Documents with letters whose words' languages can be told, mixed ones too; with no model, all that have letters.
+
+    Null and empty texts go. Nulls in other columns, ties and repeated rows change nothing. Long texts are judged
+    whole. Empty table: no rows.
+    """
     model, others = fit(docs), tuple(c for c in docs.columns if c != "doc_id")
     kept = identify(docs, model, keep=others).toDF("doc_id", *others, "__lang", "__score", "__words", "__certainty").filter(F.col("__words") > 0)
     return (kept if model is None else kept.filter(F.col("__certainty") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for the case of A-Z: that with the largest doc_id.
+
+    Null texts are one group with empty ones. Null ids rank below any; of rows that repeat the id and the text, one
+    stays. Long texts are compared whole. Empty table: no rows.
+    """
     return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of near-duplicates (five-word shingles, similarity 0.8 or more): that with the
+    smallest doc_id.
+
+    Documents without words stay. Null ids rank above any; of rows that repeat an id, one that comes first. Long
+    texts count whole. Empty table: no rows.
+    """
     rows = Scratch(spark, "near").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    kept = near_duplicates(rows, width=5, percent=80, id_col="__row").filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    found = near_duplicates(rows.select("__row", "text"), width=5, percent=80, id_col="__row").select("__row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    return rows.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it are masked; n_chars follows the text."""
+    """Personal data and the terms that reveal it are masked; n_chars follows the text. All rows stay.
+
+    Null texts stay null. Null ids, ties and repeated rows change nothing but that each row counts as a document.
+    Long texts are searched whole. Empty table: no rows.
+    """
     return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their ids, as pack_documents() returns them.
+
+    Null and empty texts give their end id. Null and repeated ids: each row is a document. Long texts are cut where
+    a sequence ends. Empty table: no rows.
+    """
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
