@@ -26,14 +26,25 @@ def endpoints(alloys: DataFrame, materials: DataFrame) -> DataFrame:
 
 
 def virtual_materials(alloys: DataFrame, materials: DataFrame, grid: DataFrame) -> DataFrame:
-    """A material row for each system and x, with `system` and `x`.
+    """A material row for each system and x of the grid, with `system` and `x`.
 
-    The varying sublattice mixes the endpoints' first components; the rest, structure and family come from the
-    first endpoint. The id holds x with two decimals and seeds the estimators' jitter. The grid has a fixed number
-    of points, so each system's row is multiplied by a constant.
+    The grid has a fixed number of points, so each system's row is multiplied by a constant.
     """
-    ends = endpoints(alloys.select(F.col("id").alias("system"), "label", "endpoint_a", "endpoint_b", "bowing_ev", "varying_sublattice", "description"), materials)
-    rows = ends.crossJoin(F.broadcast(grid))
+    return _virtual_rows(_systems(alloys, materials).crossJoin(F.broadcast(grid)))
+
+
+def virtual_at(requests: DataFrame, alloys: DataFrame, materials: DataFrame) -> DataFrame:
+    """A material row for each request (system, x); none where the system is unknown."""
+    return _virtual_rows(requests.select("system", "x").join(_systems(alloys, materials), "system"))
+
+
+def _systems(alloys: DataFrame, materials: DataFrame) -> DataFrame:
+    return endpoints(alloys.select(F.col("id").alias("system"), "label", "endpoint_a", "endpoint_b", "bowing_ev", "varying_sublattice", "description"), materials)
+
+
+def _virtual_rows(rows: DataFrame) -> DataFrame:
+    """The varying sublattice mixes the endpoints' first components; the rest, structure and family come from the
+    first endpoint. The id holds x with two decimals and seeds the estimators' jitter."""
     x = F.col("x")
 
     def sublattice(role: str) -> Column:

@@ -11,6 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gapwise.functions.scalar import atom_radius
+
+ENDS = ("x1", "y1", "z1", "x2", "y2", "z2")
 BOND_SLACK, ON_BOUNDARY, UNKNOWN_COLOR = 1.06, 1e-6, "#999999"
 # Face-centred positions, and what each cubic structure adds to them for its second sublattice
 FACE_CENTRED = [(0.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.0, 0.5), (0.5, 0.5, 0.0)]
@@ -112,30 +115,44 @@ def _cells(materials: DataFrame) -> DataFrame:
     return materials.select(F.col("id").alias("material_id"), kind.alias("kind"), "cations", anions.alias("anions"), (F.col("lattice_constant_ang") / divisor).alias("scale"))
 
 
+def _atoms(materials: DataFrame, elements: DataFrame) -> DataFrame:
+    met = _cells(materials).join(F.broadcast(kind_atoms(materials.sparkSession)), "kind")
+    symbol = assigned_symbol(F.when(F.col("role") == "cation", F.col("cations")).otherwise(F.col("anions")), F.col("pos"), F.col("sites"))
+    met = met.withColumn("symbol", symbol).join(F.broadcast(elements.select("symbol", "color")), "symbol", "left")
+    return met.select("material_id", "kind", "role", "symbol", F.coalesce("color", F.lit(UNKNOWN_COLOR)).alias("color"), atom_radius(F.col("role")).alias("radius"), "x", "y", "z", "scale")
+
+
 def atoms(materials: DataFrame, elements: DataFrame) -> DataFrame:
     """material_id, role, symbol, color, radius, x, y, z, scale. Unknown symbols get a grey.
 
     The structures' atoms (64 rows) and the elements are broadcast.
     """
-    spark = materials.sparkSession
-    met = _cells(materials).join(F.broadcast(kind_atoms(spark)), "kind")
-    symbol = assigned_symbol(F.when(F.col("role") == "cation", F.col("cations")).otherwise(F.col("anions")), F.col("pos"), F.col("sites"))
-    met = met.withColumn("symbol", symbol).join(F.broadcast(elements.select("symbol", "color")), "symbol", "left")
-    radius = F.when(F.col("role") == "cation", 0.085).otherwise(0.065)
-    return met.select("material_id", "role", "symbol", F.coalesce("color", F.lit(UNKNOWN_COLOR)).alias("color"), radius.alias("radius"), "x", "y", "z", "scale")
+    return _atoms(materials, elements).drop("kind")
 
 
 def bonds(materials: DataFrame) -> DataFrame:
-    return _cells(materials).join(F.broadcast(kind_bonds(materials.sparkSession)), "kind").select("material_id", "x1", "y1", "z1", "x2", "y2", "z2", "scale")
+    return _cells(materials).join(F.broadcast(kind_bonds(materials.sparkSession)), "kind").select("material_id", "kind", *ENDS, "scale")
 
 
 def cell_edges(materials: DataFrame) -> DataFrame:
-    return _cells(materials).join(F.broadcast(wireframe(materials.sparkSession)), "kind").select("material_id", "axis", "x1", "y1", "z1", "x2", "y2", "z2", "scale")
+    return _cells(materials).join(F.broadcast(wireframe(materials.sparkSession)), "kind").select("material_id", "kind", "axis", *ENDS, "scale")
+
+
+def centred(df: DataFrame, *places: str) -> DataFrame:
+    """The columns in `places`, each named by its axis first, moved to the middle of the cell of `kind` and scaled, as a
+    viewer draws them; kind and scale are dropped."""
+    met = df.join(F.broadcast(centroids(wireframe(df.sparkSession))), "kind")
+    moved = [((F.col(c) - F.col(f"c{c[0]}")) * F.col("scale")).alias(c) if c in places else F.col(c) for c in df.columns if c not in ("kind", "scale")]
+    return met.select(*moved)
 
 
 def centred_atoms(materials: DataFrame, elements: DataFrame) -> DataFrame:
-    """Atoms moved to the cell's centre and scaled, as a viewer draws them."""
-    middle = centroids(wireframe(materials.sparkSession))
-    kinds = materials.select(F.col("id").alias("material_id"), cell_kind(F.col("structure")).alias("kind"))
-    met = atoms(materials, elements).join(kinds, "material_id").join(F.broadcast(middle), "kind")
-    return met.select("material_id", "role", "symbol", "color", "radius", *(((F.col(a) - F.col(f"c{a}")) * F.col("scale")).alias(a) for a in "xyz"))
+    return centred(_atoms(materials, elements), "x", "y", "z")
+
+
+def centred_bonds(materials: DataFrame) -> DataFrame:
+    return centred(bonds(materials), *ENDS)
+
+
+def centred_edges(materials: DataFrame) -> DataFrame:
+    return centred(cell_edges(materials), *ENDS)

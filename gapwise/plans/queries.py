@@ -78,6 +78,10 @@ def _axis_sql(eg: str) -> str:
     return f"(20.0::DOUBLE + (least(greatest(1239.84::DOUBLE / {eg}, 380.0::DOUBLE), 2600.0::DOUBLE) - 380.0::DOUBLE) / 2220.0::DOUBLE * 600.0::DOUBLE)"
 
 
+def _ev_sql(v: str) -> str:
+    return f"printf('%.2f eV', {v})"
+
+
 def _track_sql(v: str) -> str:
     return f"(least(greatest({v}, 0.0::DOUBLE), 2.2::DOUBLE) / 2.2::DOUBLE * 100.0::DOUBLE)"
 
@@ -86,6 +90,27 @@ CLASS_SQL = "CASE WHEN {v} < 0.2 THEN 0 WHEN {v} < 0.5 THEN 1 WHEN {v} <= 1.5 TH
 METRICS_SQL = """round(avg(abs(p - a)), {d}) AS mae, round(sqrt(sum((p - a) * (p - a)) / count(*)), {d}) AS rmse,
   round(CASE WHEN count(*) >= 2 AND var_pop(a) > 0 THEN 1.0::DOUBLE - sum((p - a) * (p - a)) / (var_pop(a) * count(*)) END, {d}) AS r2, count(*)::BIGINT AS n"""
 
+PANEL_SQL = f"""{_values("context", "class, context", enumerate(S.SENSING))}, long AS (
+SELECT id, actual_eg_ev, 'baseline' AS model, baseline AS predicted, baseline_u AS uncertainty FROM predicted UNION ALL SELECT id, actual_eg_ev, 'corrected', corrected, corrected_u FROM predicted
+), classed AS (SELECT *, predicted - uncertainty AS lo, predicted + uncertainty AS hi, {CLASS_SQL.format(v="actual_eg_ev")} AS class FROM long)
+SELECT id, model, round(actual_eg_ev, 6) AS actual_eg_ev, round(predicted, 6) AS predicted, round(uncertainty, 6) AS uncertainty, round(lo, 6) AS lo, round(hi, 6) AS hi,
+  round(abs(predicted - actual_eg_ev), 6) AS err_abs, round({_track_sql("predicted")}, 6) AS at_percent, round({_track_sql("lo")}, 6) AS lo_percent,
+  round({_track_sql("hi")} - {_track_sql("lo")}, 6) AS band_percent, round(1239.84::DOUBLE / actual_eg_ev, 6) AS nm, actual_eg_ev BETWEEN 0.5 AND 1.5 AS in_window, class, context,
+  {_ev_sql("actual_eg_ev")} AS actual_eg_ev_text, {_ev_sql("predicted")} AS predicted_text, {_ev_sql("uncertainty")} AS uncertainty_text, {_ev_sql("abs(predicted - actual_eg_ev)")} AS err_abs_text, printf('%.0f nm', 1239.84::DOUBLE / actual_eg_ev) AS nm_text
+FROM classed JOIN context USING (class)"""
+
+#: Two materials, and compositions as a slider gives them.
+SELECTIONS = [("curated", "InP", "InGaAs", "0.47"), ("curated", "CdSe", "", ""), ("alloy", "InP", "InGaAs", "0.47"), ("alloy", "", "PbSSe", " 0.3"), ("alloy", "", "CdSeTe", "1"), ("curated", "none such", "", "")]
+SELECTIONS_SQL = _values("selections", "mode, material_id, system, x_text", SELECTIONS)
+VIRTUAL_SQL = """SELECT s.id || '-x' || printf('%.2f', x) AS id, s.label AS formula, s.label || ' (x = ' || printf('%.2f', x) || ')' AS display_name, a.structure, a.family,
+  a.lattice_constant_ang * (1 - x) + b.lattice_constant_ang * x AS lattice_constant_ang, (1 - x) * a.actual_eg_ev + x * b.actual_eg_ev - s.bowing_ev * x * (1 - x) AS actual_eg_ev, s.description AS note,
+  CASE WHEN varying_sublattice = 'cation' THEN [{'symbol': a.cations[1].symbol, 'frac': 1 - x}, {'symbol': b.cations[1].symbol, 'frac': x}] ELSE a.cations END AS cations,
+  CASE WHEN varying_sublattice = 'anion' THEN [{'symbol': a.anions[1].symbol, 'frac': 1 - x}, {'symbol': b.anions[1].symbol, 'frac': x}] ELSE a.anions END AS anions
+FROM alloys s JOIN materials a ON a.id = s.endpoint_a JOIN materials b ON b.id = s.endpoint_b"""
+SELECTED_SQL = f"""chosen AS (
+SELECT m.id, formula, display_name, structure, family, lattice_constant_ang, actual_eg_ev, note, cations, anions FROM selections JOIN materials m ON m.id = material_id WHERE mode = 'curated'
+UNION ALL {VIRTUAL_SQL} JOIN (SELECT system, trim(x_text)::DOUBLE AS x FROM selections WHERE mode = 'alloy') q ON q.system = s.id)"""
+
 # ---- catalog queries ----
 
 
@@ -94,21 +119,31 @@ def _predicted(spark: SparkSession) -> DataFrame:
 
 
 def _gallery(spark):
-    return reports.gallery(C.materials(spark), C.family_bias(spark)).drop("actual_text", "baseline_text", "corrected_text")
+    return reports.gallery(C.materials(spark), C.family_bias(spark))
 
 
 def _report(spark):
-    return reports.metrics_rows(C.materials(spark), C.family_bias(spark)).drop("mae_text", "rmse_text", "r2_text")
+    return reports.metrics_rows(C.materials(spark), C.family_bias(spark))
 
 
 def _panel(spark):
-    return reports.panel(C.materials(spark), C.family_bias(spark)).drop("nm_text")
+    return reports.panel(C.materials(spark), C.family_bias(spark))
 
 
 def _sweep(spark):
     return reports.alloy_sweep(C.alloys(spark), C.materials(spark), C.family_bias(spark), C.composition_grid(spark))
 
 
+def _selected(spark):
+    chosen = spark.createDataFrame(SELECTIONS, "mode string, material_id string, system string, x_text string")
+    return reports.selected(chosen, C.materials(spark), C.alloys(spark))
+
+
+def _virtual(spark):
+    rows = alloy.virtual_materials(C.checked_alloys(C.alloys(spark)), C.checked_materials(C.materials(spark)), C.composition_grid(spark))
+    return rows.select("id", "formula", "display_name", "structure", "family", "lattice_constant_ang", "actual_eg_ev", "note", S.exact_fixed(F.col("x"), 2).alias("x_text"))
+
+
 def _virtual_parts(spark):
     rows = alloy.virtual_materials(C.alloys(spark), C.materials(spark), C.composition_grid(spark))
     return features.long_components(rows)
@@ -139,6 +174,26 @@ SITES_SQL = """sites AS (
     CASE WHEN kind = 'wurtzite' THEN sqrt(3.0::DOUBLE) / 2 * fy ELSE fy END AS y, CASE WHEN kind = 'wurtzite' THEN 1.62::DOUBLE * fz ELSE fz END AS z FROM images
 )"""
 
+BONDS_SQL = """bonds AS (
+SELECT c.kind, c.x AS x1, c.y AS y1, c.z AS z1, a.x AS x2, a.y AS y2, a.z AS z2, sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y) + (c.z - a.z) * (c.z - a.z)) AS dist
+FROM points c JOIN points a USING (kind) WHERE c.role = 'cation' AND a.role = 'anion' QUALIFY dist <= min(dist) OVER (PARTITION BY c.kind) * 1.06)"""
+EDGES_SQL = """unit(v) AS (VALUES (0.0::DOUBLE), (1.0::DOUBLE)), starts AS (
+SELECT kind, axis, a.v AS fx, b.v AS fy, c.v AS fz FROM (VALUES ('rocksalt'), ('zincblende'), ('diamond'), ('wurtzite')) k(kind), unit a, unit b, unit c, range(3) t(axis)
+WHERE CASE axis WHEN 0 THEN a.v WHEN 1 THEN b.v ELSE c.v END = 0
+), ends AS (SELECT *, CASE axis WHEN 0 THEN 1 ELSE fx END AS gx, CASE axis WHEN 1 THEN 1 ELSE fy END AS gy, CASE axis WHEN 2 THEN 1 ELSE fz END AS gz FROM starts
+), edges AS (SELECT kind, axis::INTEGER AS axis, CASE kind WHEN 'wurtzite' THEN fx - 0.5::DOUBLE * fy ELSE fx END AS x1, CASE kind WHEN 'wurtzite' THEN sqrt(3.0::DOUBLE) / 2 * fy ELSE fy END AS y1, CASE kind WHEN 'wurtzite' THEN 1.62::DOUBLE * fz ELSE fz END AS z1,
+  CASE kind WHEN 'wurtzite' THEN gx - 0.5::DOUBLE * gy ELSE gx END AS x2, CASE kind WHEN 'wurtzite' THEN sqrt(3.0::DOUBLE) / 2 * gy ELSE gy END AS y2, CASE kind WHEN 'wurtzite' THEN 1.62::DOUBLE * gz ELSE gz END AS z2 FROM ends)"""
+CELLS_SQL = """cells AS (SELECT id AS material_id, structure AS kind, lattice_constant_ang / CASE structure WHEN 'wurtzite' THEN 4.3::DOUBLE ELSE 6.0::DOUBLE END AS scale FROM materials),
+middles(kind, cx, cy, cz) AS (VALUES ('rocksalt', 0.5::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE), ('zincblende', 0.5, 0.5, 0.5), ('diamond', 0.5, 0.5, 0.5), ('wurtzite', 0.25, sqrt(3.0::DOUBLE) / 4, 0.81))"""
+LEGEND_SQL = """parts AS (SELECT id, list_transform(cations || anions, lambda c: c.symbol) AS symbols FROM materials),
+long AS (SELECT id, unnest(symbols) AS symbol, generate_subscripts(symbols, 1) AS k FROM parts), firsts AS (SELECT id, symbol, min(k) AS k FROM long GROUP BY ALL)
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS pos, symbol, coalesce(name, symbol) AS name, coalesce(color, '#999') AS color FROM firsts LEFT JOIN elements USING (symbol)"""
+
+
+def _moved_sql() -> str:
+    return ", ".join(f"round(({a}{n} - c{a}) * scale, 6) AS {a}{n}" for n in (1, 2) for a in "xyz")
+
+
 CATALOG: dict[str, tuple[Query, str]] = {
     "cat_materials": (
         _catalog(lambda s: C.materials(s).select("ord", "id", "formula", "display_name", "structure", "family", "lattice_constant_ang", "actual_eg_ev", "note")),
@@ -153,7 +208,8 @@ CATALOG: dict[str, tuple[Query, str]] = {
         _catalog(_gallery),
         f"""WITH {MATERIALS_SQL}, {BIAS_SQL}, {_predicted_sql("materials")}
 SELECT id, formula, structure, family, round(actual_eg_ev, 6) AS actual_eg_ev, round(baseline, 6) AS baseline, round(corrected, 6) AS corrected,
-  round({_axis_sql("actual_eg_ev")}, 6) AS x_act, round({_axis_sql("baseline")}, 6) AS x_base, round({_axis_sql("corrected")}, 6) AS x_corr FROM predicted""",
+  round({_axis_sql("actual_eg_ev")}, 6) AS x_act, round({_axis_sql("baseline")}, 6) AS x_base, round({_axis_sql("corrected")}, 6) AS x_corr,
+  {_ev_sql("actual_eg_ev")} AS actual_text, {_ev_sql("baseline")} AS baseline_text, {_ev_sql("corrected")} AS corrected_text FROM predicted""",
     ),
     "cat_markers": (
         _catalog(lambda s: reports.markers(_predicted(s))),
@@ -165,8 +221,8 @@ SELECT id, marker, round(eg, 6) AS eg, round({_axis_sql("eg")}, 6) AS axis_x FRO
         _catalog(_report),
         f"""WITH {MATERIALS_SQL}, {BIAS_SQL}, {_predicted_sql("materials")}, long AS (
 SELECT 'baseline' AS model, family, actual_eg_ev AS a, baseline AS p FROM predicted UNION ALL SELECT 'corrected', family, actual_eg_ev, corrected FROM predicted), found AS (
-SELECT model, coalesce(family, 'overall') AS grp, {METRICS_SQL.format(d=6)} FROM long GROUP BY GROUPING SETS ((model), (model, family)))
-SELECT *, coalesce(r2 < 0, false) AS r2_negative FROM found""",
+SELECT model, coalesce(family, 'overall') AS grp, {METRICS_SQL.format(d=12)} FROM long GROUP BY GROUPING SETS ((model), (model, family)))
+SELECT model, grp, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, n, printf('%.3f', mae) AS mae_text, printf('%.3f', rmse) AS rmse_text, coalesce(printf('%.2f', r2), 'n/a') AS r2_text, coalesce(r2 < 0, false) AS r2_negative FROM found""",
     ),
     "cat_scatter": (
         _catalog(lambda s: reports.scatter(C.materials(s), C.family_bias(s))),
@@ -176,13 +232,7 @@ SELECT id, model, round(34 + a / 1.9::DOUBLE * 249, 6) AS cx, round(300 - (34 +
     ),
     "cat_panel": (
         _catalog(_panel),
-        f"""WITH {MATERIALS_SQL}, {BIAS_SQL}, {_predicted_sql("materials")}, {_values("context", "class, context", enumerate(S.SENSING))}, long AS (
-SELECT id, actual_eg_ev, 'baseline' AS model, baseline AS predicted, baseline_u AS uncertainty FROM predicted UNION ALL SELECT id, actual_eg_ev, 'corrected', corrected, corrected_u FROM predicted
-), classed AS (SELECT *, predicted - uncertainty AS lo, predicted + uncertainty AS hi, {CLASS_SQL.format(v="actual_eg_ev")} AS class FROM long)
-SELECT id, model, round(actual_eg_ev, 6) AS actual_eg_ev, round(predicted, 6) AS predicted, round(uncertainty, 6) AS uncertainty, round(lo, 6) AS lo, round(hi, 6) AS hi,
-  round(abs(predicted - actual_eg_ev), 6) AS err_abs, round({_track_sql("predicted")}, 6) AS at_percent, round({_track_sql("lo")}, 6) AS lo_percent,
-  round({_track_sql("hi")} - {_track_sql("lo")}, 6) AS band_percent, round(1239.84::DOUBLE / actual_eg_ev, 6) AS nm, actual_eg_ev BETWEEN 0.5 AND 1.5 AS in_window, class, context
-FROM classed JOIN context USING (class)""",
+        f"""WITH {MATERIALS_SQL}, {BIAS_SQL}, {_predicted_sql("materials")}, {PANEL_SQL}""",
     ),
     "cat_features": (
         _catalog(lambda s: features.composition_features(C.materials(s), C.elements(s))),
@@ -217,20 +267,12 @@ SELECT id, role, symbol, round(frac, 6) AS frac FROM parts""",
     ),
     "cat_bonds": (
         _catalog(crystal.kind_bonds),
-        f"""WITH {SITES_SQL}, pairs AS (
-SELECT c.kind, c.x AS x1, c.y AS y1, c.z AS z1, a.x AS x2, a.y AS y2, a.z AS z2, sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y) + (c.z - a.z) * (c.z - a.z)) AS dist
-FROM points c JOIN points a USING (kind) WHERE c.role = 'cation' AND a.role = 'anion')
-SELECT kind, round(x1, 6) AS x1, round(y1, 6) AS y1, round(z1, 6) AS z1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(z2, 6) AS z2, round(dist, 6) AS dist
-FROM pairs QUALIFY dist <= min(dist) OVER (PARTITION BY kind) * 1.06""",
+        f"""WITH {SITES_SQL}, {BONDS_SQL}
+SELECT kind, round(x1, 6) AS x1, round(y1, 6) AS y1, round(z1, 6) AS z1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(z2, 6) AS z2, round(dist, 6) AS dist FROM bonds""",
     ),
     "cat_edges": (
         _catalog(crystal.wireframe),
-        """WITH unit(v) AS (VALUES (0.0::DOUBLE), (1.0::DOUBLE)), starts AS (
-SELECT kind, axis, a.v AS fx, b.v AS fy, c.v AS fz FROM (VALUES ('rocksalt'), ('zincblende'), ('diamond'), ('wurtzite')) k(kind), unit a, unit b, unit c, range(3) t(axis)
-WHERE CASE axis WHEN 0 THEN a.v WHEN 1 THEN b.v ELSE c.v END = 0
-), ends AS (SELECT *, CASE axis WHEN 0 THEN 1 ELSE fx END AS gx, CASE axis WHEN 1 THEN 1 ELSE fy END AS gy, CASE axis WHEN 2 THEN 1 ELSE fz END AS gz FROM starts)
-SELECT kind, axis::INTEGER AS axis, CASE kind WHEN 'wurtzite' THEN fx - 0.5::DOUBLE * fy ELSE fx END AS x1, round(CASE kind WHEN 'wurtzite' THEN sqrt(3.0::DOUBLE) / 2 * fy ELSE fy END, 6) AS y1, round(CASE kind WHEN 'wurtzite' THEN 1.62::DOUBLE * fz ELSE fz END, 6) AS z1,
-  CASE kind WHEN 'wurtzite' THEN gx - 0.5::DOUBLE * gy ELSE gx END AS x2, round(CASE kind WHEN 'wurtzite' THEN sqrt(3.0::DOUBLE) / 2 * gy ELSE gy END, 6) AS y2, round(CASE kind WHEN 'wurtzite' THEN 1.62::DOUBLE * gz ELSE gz END, 6) AS z2 FROM ends""",
+        f"WITH {EDGES_SQL} SELECT kind, axis, round(x1, 6) AS x1, round(y1, 6) AS y1, round(z1, 6) AS z1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(z2, 6) AS z2 FROM edges",
     ),
     "cat_unit_cells": (
         _catalog(lambda s: crystal.centred_atoms(C.materials(s), C.elements(s))),
@@ -242,15 +284,45 @@ SELECT material_id, role, symbol, coalesce(color, '#999999') AS color, CASE role
   round((x - CASE kind WHEN 'wurtzite' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) * scale, 6) AS x, round((y - CASE kind WHEN 'wurtzite' THEN sqrt(3.0::DOUBLE) / 4 ELSE 0.5::DOUBLE END) * scale, 6) AS y, round((z - CASE kind WHEN 'wurtzite' THEN 0.81::DOUBLE ELSE 0.5::DOUBLE END) * scale, 6) AS z
 FROM named LEFT JOIN elements USING (symbol)""",
     ),
+    "cat_cell_bonds": (
+        _catalog(lambda s: reports.unit_cell(C.materials(s), C.elements(s))["bonds"]),
+        f"""WITH {MATERIALS_SQL}, {SITES_SQL}, {BONDS_SQL}, {CELLS_SQL}
+SELECT material_id, {_moved_sql()} FROM cells JOIN bonds USING (kind) JOIN middles USING (kind)""",
+    ),
+    "cat_cell_edges": (
+        _catalog(lambda s: reports.unit_cell(C.materials(s), C.elements(s))["cell_edges"]),
+        f"""WITH {MATERIALS_SQL}, {EDGES_SQL}, {CELLS_SQL}
+SELECT material_id, axis, {_moved_sql()} FROM cells JOIN edges USING (kind) JOIN middles USING (kind)""",
+    ),
+    "cat_selected_panel": (
+        _catalog(lambda s: reports.panel(_selected(s), C.family_bias(s))),
+        f"""WITH {MATERIALS_SQL}, {BIAS_SQL}, {ALLOYS_SQL}, {SELECTIONS_SQL}, {SELECTED_SQL}, {_predicted_sql("chosen")}, {PANEL_SQL}""",
+    ),
+    "cat_selected_legend": (
+        _catalog(lambda s: reports.legend(_selected(s), C.elements(s))),
+        f"""WITH {MATERIALS_SQL}, {ELEMENTS_SQL}, {ALLOYS_SQL}, {SELECTIONS_SQL}, {SELECTED_SQL}, {LEGEND_SQL.replace("FROM materials", "FROM chosen")}""",
+    ),
+    "cat_selected_structure": (
+        _catalog(lambda s: reports.structure_lines(_selected(s))),
+        f"""WITH {MATERIALS_SQL}, {ALLOYS_SQL}, {SELECTIONS_SQL}, {SELECTED_SQL} SELECT id, structure, family, 'a ≈ ' || printf('%.2f', lattice_constant_ang) || ' Å' AS lattice_text FROM chosen""",
+    ),
+    "cat_virtual_materials": (
+        _catalog(_virtual),
+        f"""WITH {MATERIALS_SQL}, {ALLOYS_SQL}, grid AS (SELECT k / 100.0::DOUBLE AS x FROM range(101) t(k)), virtual AS (SELECT x, v.* FROM ({VIRTUAL_SQL.replace("SELECT s.id", "SELECT x, s.id", 1)}, grid) v)
+SELECT id, formula, display_name, structure, family, round(lattice_constant_ang, 6) AS lattice_constant_ang, round(actual_eg_ev, 6) AS actual_eg_ev, note, printf('%.2f', x) AS x_text FROM virtual""".replace("SELECT x, v.* FROM (", "SELECT v.* FROM ("),
+    ),
+    "cat_alloy_by_id": (
+        _catalog(lambda s: C.by_id(C.alloys(s), "PbSSe")),
+        f"WITH {ALLOYS_SQL} SELECT * FROM alloys WHERE id = 'PbSSe'",
+    ),
     "cat_bond_summary": (
         _catalog(_bond_summary),
-        f"WITH {MATERIALS_SQL} SELECT id AS material_id, CASE structure WHEN 'rocksalt' THEN 38 WHEN 'wurtzite' THEN 4 ELSE 16 END::BIGINT AS bonds, round(CASE structure WHEN 'rocksalt' THEN 0.5::DOUBLE WHEN 'wurtzite' THEN 0.6075::DOUBLE ELSE sqrt(3.0::DOUBLE) / 4 END, 6) AS least FROM materials",
+        f"""WITH {MATERIALS_SQL}, {SITES_SQL}, {BONDS_SQL}, counted AS (SELECT kind, count(*)::BIGINT AS bonds, min(dist) AS least FROM bonds GROUP BY kind)
+SELECT id AS material_id, bonds, round(least, 6) AS least FROM materials JOIN counted ON kind = structure""",
     ),
     "cat_legend": (
         _catalog(lambda s: reports.legend(C.materials(s), C.elements(s))),
-        f"""WITH {MATERIALS_SQL}, {ELEMENTS_SQL}, parts AS (SELECT id, list_transform(cations || anions, lambda c: c.symbol) AS symbols FROM materials),
-long AS (SELECT id, unnest(symbols) AS symbol, generate_subscripts(symbols, 1) AS k FROM parts), firsts AS (SELECT id, symbol, min(k) AS k FROM long GROUP BY ALL)
-SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS pos, symbol, coalesce(name, symbol) AS name, coalesce(color, '#999') AS color FROM firsts LEFT JOIN elements USING (symbol)""",
+        f"WITH {MATERIALS_SQL}, {ELEMENTS_SQL}, {LEGEND_SQL}",
     ),
     "cat_axis": (
         _catalog(lambda s: s.range(1).select(*(c.alias(n) for n, c in S.axis_marks().items()))),
@@ -306,9 +378,9 @@ def tbl_ev_to_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tbl_bowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as an alloy system: its whole composition grid, reduced to the least gap and the points in the window."""
     parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 1000.0).alias("a"), (F.col("p_size") / 25.0).alias("b"))
-    rows = parts.crossJoin(F.broadcast(C.composition_grid(spark)))  # 101 points for each part
-    rows = rows.withColumn("eg", F.round(alloy.eg_at(F.col("a"), F.col("b"), F.lit(0.3), F.col("x")), 9))
-    return rounded(rows.groupBy("p_partkey").agg(F.min("eg").alias("least_eg"), F.sum(S.in_target_window(F.col("eg")).cast("long")).alias("in_window")))
+    x = F.sequence(F.lit(0), F.lit(100))
+    eg = parts.select("p_partkey", F.transform(x, lambda k: F.round(alloy.eg_at(F.col("a"), F.col("b"), F.lit(0.3), k / 100.0), 9)).alias("eg"))
+    return rounded(eg.select("p_partkey", F.array_min("eg").alias("least_eg"), F.size(F.filter("eg", S.in_target_window)).cast("long").alias("in_window")))
 
 
 def tbl_interval(spark: SparkSession, sf_dir: str) -> DataFrame:

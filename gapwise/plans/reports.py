@@ -24,7 +24,7 @@ def gallery(materials: DataFrame, bias: DataFrame) -> DataFrame:
 def metrics_rows(materials: DataFrame, bias: DataFrame) -> DataFrame:
     report = metrics.metrics_report(predict.predictions(materials, bias), "actual_eg_ev", {"baseline": "baseline", "corrected": "corrected"}, "family", "ord")
     r2 = F.col("r2")
-    return report.select("model", F.coalesce("grp", F.lit("overall")).alias("grp"), "mae", "rmse", "r2", "n", S.fixed(F.col("mae"), 3).alias("mae_text"), S.fixed(F.col("rmse"), 3).alias("rmse_text"), S.r2_text(r2).alias("r2_text"), S.is_negative(r2).alias("r2_negative"))
+    return report.select("model", F.coalesce("grp", F.lit("overall")).alias("grp"), "mae", "rmse", "r2", "n", S.exact_fixed(F.col("mae"), 3).alias("mae_text"), S.exact_fixed(F.col("rmse"), 3).alias("rmse_text"), S.r2_text(r2).alias("r2_text"), S.is_negative(r2).alias("r2_negative"))
 
 
 def scatter(materials: DataFrame, bias: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def panel(materials: DataFrame, bias: DataFrame) -> DataFrame:
     eg = F.col("actual_eg_ev")
     return long.select(
         "id", "model", "actual_eg_ev", "predicted", "uncertainty", "lo", "hi", "err_abs",
+        *(S.ev_text(F.col(c)).alias(f"{c}_text") for c in ("actual_eg_ev", "predicted", "uncertainty", "err_abs")),
         S.track_percent(F.col("predicted")).alias("at_percent"), S.track_percent(F.col("lo")).alias("lo_percent"), S.band_percent(F.col("lo"), F.col("hi")).alias("band_percent"),
         S.ev_to_nm(eg).alias("nm"), S.nm_text(S.ev_to_nm(eg)).alias("nm_text"), S.in_target_window(eg).alias("in_window"), S.sensing_class(eg).alias("class"), S.sensing_context(eg).alias("context"),
     )
@@ -52,7 +53,27 @@ def alloy_sweep(alloys: DataFrame, materials: DataFrame, bias: DataFrame, grid:
 
 
 def unit_cell(materials: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
-    return {"atoms": crystal.centred_atoms(materials, elements), "bonds": crystal.bonds(materials), "cell_edges": crystal.cell_edges(materials)}
+    """Atoms, bonds and edges of each material's cell, all in the viewer's frame."""
+    return {"atoms": crystal.centred_atoms(materials, elements), "bonds": crystal.centred_bonds(materials), "cell_edges": crystal.centred_edges(materials)}
+
+
+def selected(selections: DataFrame, materials: DataFrame, alloys: DataFrame) -> DataFrame:
+    """Material rows by selections (mode, material_id, system, x_text): "curated" looks the material up, any other mode
+    makes the virtual row of the system at x. A selection of an unknown material or system has no row."""
+    columns = [c for c in materials.columns if c != "ord"]
+    curated = selections.filter("mode = 'curated'").select(F.col("material_id").alias("id")).join(materials, "id").select(*columns)
+    requests = selections.filter("mode <> 'curated'").select("system", S.parse_number(F.col("x_text")).alias("x"))
+    return curated.unionByName(alloy.virtual_at(requests, alloys, materials).select(*columns))
+
+
+def structure_lines(materials: DataFrame) -> DataFrame:
+    """What stands below a cell: structure, family and lattice constant."""
+    return materials.select("id", "structure", "family", S.angstrom_text(F.col("lattice_constant_ang")).alias("lattice_text"))
+
+
+def composition_lines(virtual: DataFrame) -> DataFrame:
+    """The label of each composition."""
+    return virtual.select("id", F.concat(F.lit("Composition x = "), S.exact_fixed(F.col("x"), 2)).alias("x_text"))
 
 
 def legend(materials: DataFrame, elements: DataFrame) -> DataFrame:

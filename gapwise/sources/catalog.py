@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 COMPONENTS = "array<struct<symbol:string,frac:double>>"
 MATERIAL_SCHEMA = f"ord int, id string, formula string, display_name string, cations {COMPONENTS}, anions {COMPONENTS}, structure string, family string, lattice_constant_ang double, actual_eg_ev double, note string"
@@ -67,21 +70,33 @@ FAMILY_BIAS = [
 ]
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Fixed rows as one literal of the plan, which needs no Python worker."""
+    columns = StructType.fromDDL(schema)
+    text = json.dumps([dict(zip(columns.names, map(_plain, row), strict=True)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(columns))))
+
+
+def _plain(value):
+    """Components, which are lists of (symbol, fraction), as objects."""
+    return [{"symbol": s, "frac": f} for s, f in value] if isinstance(value, list) else value
+
+
 def materials(spark: SparkSession) -> DataFrame:
     """The catalog; `ord` is a row's place, which several reports order by."""
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(MATERIALS)], MATERIAL_SCHEMA)
+    return _table(spark, [(i, *row) for i, row in enumerate(MATERIALS)], MATERIAL_SCHEMA)
 
 
 def elements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ELEMENTS, ELEMENT_SCHEMA)
+    return _table(spark, ELEMENTS, ELEMENT_SCHEMA)
 
 
 def alloys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALLOYS, ALLOY_SCHEMA)
+    return _table(spark, ALLOYS, ALLOY_SCHEMA)
 
 
 def family_bias(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FAMILY_BIAS, BIAS_SCHEMA)
+    return _table(spark, FAMILY_BIAS, BIAS_SCHEMA)
 
 
 def composition_grid(spark: SparkSession, steps: int = 100) -> DataFrame:
@@ -89,10 +104,22 @@ def composition_grid(spark: SparkSession, steps: int = 100) -> DataFrame:
     return spark.range(steps + 1).select((F.col("id") / F.lit(float(steps))).alias("x"))
 
 
+def _checked(df: DataFrame, column: str, good: Column) -> DataFrame:
+    """Fails at run time where a value isn't good; null isn't."""
+    failed = F.concat(F.lit(f"unknown {column} "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    return df.withColumn(column, F.when(good, F.col(column)).otherwise(F.raise_error(failed)))
+
+
 def checked_materials(df: DataFrame) -> DataFrame:
-    """Fails at run time on a structure outside the closed set."""
-    known = F.col("structure").isin(*STRUCTURES)
-    return df.withColumn("structure", F.when(F.assert_true(known, F.lit("unknown structure")).isNull(), F.col("structure")))
+    """Fails at run time on a structure or family outside the closed sets, or a material without cations or anions."""
+    df = _checked(df, "structure", F.col("structure").isin(*STRUCTURES))
+    df = _checked(df, "family", F.col("family").isin(*(f for f, _ in FAMILY_BIAS)))
+    return _checked(_checked(df, "cations", F.size("cations") > 0), "anions", F.size("anions") > 0)
+
+
+def checked_alloys(df: DataFrame) -> DataFrame:
+    """Fails at run time on a varying sublattice outside the closed set."""
+    return _checked(df, "varying_sublattice", F.col("varying_sublattice").isin(*SUBLATTICES))
 
 
 def by_id(df: DataFrame, wanted: str, id_col: str = "id") -> DataFrame:
