@@ -134,18 +134,26 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     return thin.mapInArrow(run, "row long, id long, class binary, n long, bands array<long>, text string")
 
 
-def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str) -> DataFrame:
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: joined by a shuffle at every size, so that small tables show
+    what large ones need."""
+    return side.hint("merge")
+
+
+def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str, scratch: Scratch, name: str) -> DataFrame:
     """What found(head, own) gives for each pair (g, m), as columns of `kinds` after those of `pairs`.
 
     The members of a representative g are dealt to groups of about GROUP; each gets the representative's text once,
     ahead of its members', and a task streams through its groups. head and own are Texts. Sets that recur are kept,
-    up to a bound. found() may give None for no row.
+    up to a bound.
     """
-    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    # stored apart from its join, which adaptive execution can then split at a hot representative
+    sizes = scratch.save(pairs.groupBy("g").agg(F.count(F.lit(1)).alias("members")), f"{name}-sizes")
     salt = F.pmod(F.xxhash64("m"), F.ceil(F.col("members") / GROUP)).cast("int").alias("salt")
     asked = pairs.join(sizes, "g").select("g", salt, F.lit(1).alias("role"), F.col("m").alias("row"), F.struct(*pairs.columns).alias("pair"))
+    asked = scratch.save(asked, f"{name}-asked")
     heads = asked.select("g", "salt").distinct().select("g", "salt", F.lit(0).alias("role"), F.col("g").alias("row"), F.lit(None).cast(asked.schema["pair"].dataType).alias("pair"))
-    rows = asked.unionByName(heads).join(texts, "row").select("g", "salt", "role", "row", "text", "pair")
+    rows = asked.unionByName(heads).join(shuffled(texts), "row").select("g", "salt", "role", "row", "text", "pair")
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role")
 
     def run(batches):
@@ -170,9 +178,8 @@ def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str) ->
                         continue
                     if h != g:
                         raise ValueError("a representative's text is missing")
-                    if (value := found(head, own)) is not None:
-                        taken.append(k)
-                        out.append(value)
+                    taken.append(k)
+                    out.append(found(head, own))
                 if taken:
                     pair = part.column(5).take(pa.array(taken))
                     values = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), arrow_kinds, strict=True)]
@@ -215,7 +222,7 @@ def common_count(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """(g, m, apart, linked) for each pair: how many shingles are in one set alone, and whether they link.
 
     A link has 100 * common >= percent * union. Hashes rule pairs out; those that they don't are confirmed on the
@@ -231,7 +238,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             linked = 100 * common >= percent * (n - common)
         return n - 2 * common, linked
 
-    return beside(pairs.select("g", "m"), texts, width, found, "apart long, linked boolean")
+    return beside(pairs.select("g", "m"), texts, width, found, "apart long, linked boolean", scratch, name)
 
 
 def most_apart(total, percent: int):
@@ -239,7 +246,7 @@ def most_apart(total, percent: int):
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def differences(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def differences(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The members (g, m, n, apart and more) with `added`, the shingles that g lacks, and `lacking`, as many of those
     of g that m lacks as a prefix may need, by number."""
 
@@ -250,7 +257,7 @@ def differences(members: DataFrame, texts: DataFrame, width: int, percent: int)
         lacking = np.setdiff1d(head.shingles, own.shingles, assume_unique=True)
         return added.view(np.int64), lacking[: max(0, most + 1 - len(added))].view(np.int64)
 
-    return beside(members, texts, width, found, "added array<long>, lacking array<long>")
+    return beside(members, texts, width, found, "added array<long>, lacking array<long>", scratch, "differences")
 
 
 def candidates(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -266,8 +273,7 @@ def candidates(members: DataFrame, texts: DataFrame, width: int, percent: int, s
     g has. Copies of one text share most of it but few of their edits, so lists of edits are short where lists of
     shingles are not.
     """
-    e = differences(members, texts, width, percent)
-    e = scratch.save(e, "differences")
+    e = scratch.save(differences(members, texts, width, percent, scratch), "differences")
     added = e.select("g", "m", F.explode("added").alias("el"))
     times = added.groupBy("g", "el").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     # elements that one member alone has come first and match nothing, so they only count
@@ -326,16 +332,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = scratch.save(classes, "classes")
     rows = classes.select("row", F.explode("bands").alias("bucket"))
     buckets = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    shared = scratch.save(rows.join(buckets, "bucket").select("bucket", "row", "size"), "shared")
+    shared = scratch.save(rows.join(shuffled(buckets), "bucket").select("bucket", "row", "size"), "shared")
     central = scratch.save(shared.groupBy("row").agg(F.sum("size").alias("score")), "central")
-    texts = scratch.save(signed.select("row", "text").join(central.select("row"), "row", "left_semi"), "texts")
+    texts = scratch.save(signed.select("row", "text").join(shuffled(central.select("row")), "row", "left_semi"), "texts")
     first = F.max(F.struct("score", "row"))["row"].alias("g")
-    picks = scratch.save(shared.join(central, "row").groupBy("bucket").agg(first), "picks")
-    asked = scratch.save(shared.join(picks, "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
+    picks = scratch.save(shared.join(shuffled(central), "row").groupBy("bucket").agg(first), "picks")
+    asked = scratch.save(shared.join(shuffled(picks), "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
 
     roots, groups, level = None, None, 0
     while True:
-        tested = scratch.save(compared(asked, texts, width, percent), f"tested-{level}")
+        tested = scratch.save(compared(asked, texts, width, percent, scratch, f"level-{level}"), f"tested-{level}")
         roots = _united(roots, tested.filter("linked"), scratch, f"roots-{level}")
         level += 1
         groups = tested.select("g", "m", "apart") if groups is None else groups.unionByName(tested.select("g", "m", "apart"))
@@ -363,14 +369,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = scratch.save(members, "members")
     if not members.isEmpty():
         pairs = scratch.save(candidates(members, texts, width, percent, scratch), "pairs")
-        links = scratch.save(compared(pairs, texts, width, percent).filter("linked"), "links")
+        links = scratch.save(compared(pairs, texts, width, percent, scratch, "pairs").filter("linked"), "links")
         roots = _united(roots, links, scratch, "roots")
     scratch.drop("texts", "shared", "buckets", "picks", "groups", "differences", "listed", "members")
 
     joined = classes.select("class", "first_id", "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("class", "first_id", F.coalesce("root", "row").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "root").select("class", "component_id")
-    out = signed.select("id", "class", "n").join(named, "class", "left")
+    out = signed.select("id", "class", "n").join(shuffled(named), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
