@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -201,44 +202,53 @@ def spread_words(words: list[str]) -> list[str]:
     return [w for k in range(RUNS) for w in words[k * last // (RUNS - 1) :][:RUN_WORDS]]
 
 
+def hash_edge(share: float) -> int:
+    """The signed 64-bit number that this share of all hashes doesn't exceed."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
     """A model from at most TRAIN_DOCS labelled documents that aren't held out. None if there is nothing to learn.
 
     Each language has the same share of them, those with the smallest id hashes, so rare languages are learned too;
     of more languages than TRAIN_DOCS, those with the most documents are. A long text is seen from start to end in
-    spread_words().
+    spread_words(). Only documents with hashes below an edge are gathered, set from the number of a language's
+    documents so that about twice its share is; one task learns from the bounded sample, and the model alone comes to
+    the driver.
 
-    Null ids, texts and languages: nothing is learned from such rows. Repeated rows count as often as they occur.
+    Null ids, texts and languages: nothing is learned from such rows. Repeated rows count as often as they occur;
+    where few ids bear most rows of a language its share may not be filled, but those of its smallest hash are there.
     """
     labelled = docs.select(
         F.xxhash64(column_or_null(docs, id_col, "long")).alias("h"), column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), column_or_null(docs, lang_col, "string").alias("lang")
     ).filter(F.col("id").isNotNull() & ~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_DOCS).collect()
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(TRAIN_DOCS).collect()
     if not counted:
         return None
     quota = max(1, TRAIN_DOCS // len(counted))
-    langs = [r.lang for r in counted]
-    # each task keeps its own first rows of each language before any are shuffled
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    labelled = labelled.filter(F.col("lang").isin(langs))
-    first = labelled.select("lang", "h").withColumn("place", place).filter(F.col("place") <= quota)
-    edges = {r.lang: r.edge for r in first.groupBy("lang").agg(F.max("h").alias("edge")).collect()}
+    edges = [(r.lang, max(r.least, hash_edge((2 * quota + 64) / r.n))) for r in counted]
+    below = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(edges, "lang string, edge long")), "lang").filter("h <= edge")
 
     def sample(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hashes, texts, names = (batch.column(i).to_pylist() for i in range(3))
-            out = [(h, lang, spread_words(words_of(text))) for h, text, lang in zip(hashes, texts, names, strict=True) if h <= edges.get(lang, -(2**63) - 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["h", "lang", "words"])
+            words = [spread_words(words_of(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string()))], names=["h", "lang", "words"])
+
+    def learn(batches):
+        import pyarrow as pa
+
+        samples = [(lang, words) for batch in batches for lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if words]
+        if samples:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(samples))], pa.binary())], names=["model"])
 
-    near = labelled.select("h", "text", "lang").mapInArrow(sample, "h long, lang string, words array<string>")
+    near = below.select("h", "text", "lang").mapInArrow(sample, "h long, lang string, words array<string>")
     # equal hashes are repeated ids; the bound holds for them too
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
-    rows = near.withColumn("place", order).filter(F.col("place") <= quota).orderBy("lang", "place").collect()
-    samples = [(r.lang, list(r.words)) for r in rows if r.words]
-    return train(samples) if samples else None
+    chosen = near.withColumn("place", order).filter(F.col("place") <= quota)
+    found = chosen.repartition(1).sortWithinPartitions("lang", "place").select("lang", "words").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
