@@ -712,3 +712,13 @@ def test_pipeline_keeps_mixed_and_unlabelled_texts(spark, sf_dir):
     assert set(mixed) <= kept
     unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
     assert pipeline.language(spark, unlabelled, sf_dir).count() == sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in table.collect())
+
+
+def test_language_of_one_repeated_id_is_learned(spark):
+    from gapwise.llm.language_id import fit, hash_edge
+
+    assert hash_edge(0.0) == -(2**63) and hash_edge(0.5) == 0 and hash_edge(3.0) == 2**63 - 1
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(free[0], "uno dos tres", "es")] * 5000 + [(i, "one two three", "en") for i in free]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "es"]
