@@ -23,6 +23,14 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z alone; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -29,3 +29,74 @@ WITH RECURSIVE usable AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
 FROM embeddings LEFT JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
 """
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), sized AS (SELECT *, len(terms)::BIGINT AS n FROM docs), total AS (SELECT count(*) FILTER (n > 0)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM sized),
+held AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY row, term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), df AS (SELECT term, count(*)::BIGINT AS df FROM held WHERE term IN (SELECT term FROM items) GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+lengths AS (SELECT row, doc_id, 10 + (90 * n * docs) // terms AS m FROM sized, total WHERE n > 0),
+scores AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (row) GROUP BY item_id, row
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+placed AS (SELECT *, 2 * source_size AS cap, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sources),
+levels AS (
+  SELECT *, row_number() OVER o AS turn,
+    (3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
+    (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open
+  FROM placed WINDOW o AS (ORDER BY cap::DOUBLE / weight, place)
+), first AS (SELECT min(turn) AS turn, arg_min(rest, turn) AS rest, arg_min(open, turn) AS open FROM levels WHERE rest * weight < 2 * cap * open),
+targets AS (
+  SELECT source, source_size, CASE WHEN f.turn IS NULL OR l.turn < f.turn THEN cap::DOUBLE ELSE (f.rest * weight)::DOUBLE / (2 * f.open)::DOUBLE END AS target
+  FROM levels l CROSS JOIN first f
+), rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1073741824)::BIGINT ELSE 0 END AS rate,
+    ('0x' || substr(sha256('7:' || coalesce(source, '')), 1, 7))::BIGINT * 4 AS start
+  FROM targets
+), counted AS (
+  SELECT r.*, source_size, target, rate, start, row_number() OVER (PARTITION BY r.source ORDER BY size DESC, doc_id NULLS LAST) AS k
+  FROM rows r JOIN rates t ON r.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * ((start + k * rate) // 1073741824 - (start + (k - 1) * rate) // 1073741824))::BIGINT AS taken, source,
+  ((start + k * rate) // 1073741824 - (start + (k - 1) * rate) // 1073741824)::BIGINT AS copies
+FROM counted
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM split),
+phrases AS (
+  SELECT lang, size, list_slice(w, pos, pos + size - 1) AS words FROM places, (SELECT unnest([1, 2, 3]) AS size) WHERE pos + size - 1 <= len(w)
+), counts AS (SELECT lang, size, array_to_string(words, ' ') AS phrase, any_value(words) AS words, count(*)::BIGINT AS f FROM phrases GROUP BY lang, size, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+chosen AS (SELECT * FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM chosen) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM chosen WHERE size = 3
+  ) GROUP BY lang, phrase
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
