@@ -61,6 +61,28 @@ def before_each(lengths: Column) -> Column:
     return let(lengths, lambda own: let(F.struct(own.alias("lengths"), F.greatest(F.lit(1), F.sqrt(F.size(own)).cast("int")).alias("block")), sums))
 
 
+def grouped(batches, keys: int):
+    """Runs of equal values of the first `keys` columns, which the batches are sorted by: (key, table)."""
+    import numpy as np
+    import pyarrow as pa
+
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+            now = tuple(int(c[a]) for c in columns)
+            if now != key:
+                if parts:
+                    yield key, pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                key, parts = now, []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set and Spark runs in one process (tests)."""
     sc = spark.sparkContext

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_or_null
+from .common import Scratch, column_or_null, grouped
 from .components import connected_components
 
 #: Bits of the concatenated hashes that order a pass, vectors of a block, and the chance that a pair at the
@@ -117,27 +117,6 @@ def forest(row: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(n[some]), pa.array(head[some])], names=["row", "n", "head"])
 
 
-def grouped(batches, keys: int):
-    """Runs of equal values of the first `keys` columns, which the batches are sorted by: (key, table)."""
-    import pyarrow as pa
-
-    key, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
-            now = tuple(int(c[a]) for c in columns)
-            if now != key:
-                if parts:
-                    yield key, pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-                key, parts = now, []
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield key, pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """For each vector: id, n_links, component_id, kept.
 

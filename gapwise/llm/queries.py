@@ -12,13 +12,14 @@ from .common import table
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_groups
 from .language_id import language_ids
+from .lexical import LexicalIndex, search
 from .minhash import near_duplicates
 from .mixing import mixed_sources
 from .packing import pack_documents
 from .pii import span_digests
 from .pieces import encode_decode
 from .sharding import byte_shards
-from .sql import OP2_SQL, OP10_SQL, OP12_SQL, OP13_SQL
+from .sql import OP2_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from .warc import archive_pages, read_archives
 
 
@@ -105,6 +106,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.93)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(LexicalIndex(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=(3, 2), most_copies=2)
 
@@ -114,8 +119,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_embedding_dedup": op10_embedding_dedup, "op12_mixing": op12_mixing, "op13_collocations": op13_collocations}
+    return {"op1_sharding": op1_sharding, "op2_minhash": op2_minhash, "op3_sentencepiece": op3_sentencepiece, "op4_exact_dedup": op4_exact_dedup, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_chat_formatting": op7_chat_formatting, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_embedding_dedup": op10_embedding_dedup, "op11_lexical_search": op11_lexical_search, "op12_mixing": op12_mixing, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op10_embedding_dedup": OP10_SQL, "op12_mixing": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op2_minhash": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op10_embedding_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_mixing": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -33,13 +33,13 @@ FROM embeddings LEFT JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
 OP11_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
-), sized AS (SELECT *, len(terms)::BIGINT AS n FROM docs), total AS (SELECT count(*) FILTER (n > 0)::BIGINT AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM sized),
+), sized AS (SELECT *, len(terms)::BIGINT AS n FROM docs), total AS (SELECT (count(*) FILTER (n > 0))::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_terms FROM sized),
 held AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY row, term),
 items AS (
   SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
 ), df AS (SELECT term, count(*)::BIGINT AS df FROM held WHERE term IN (SELECT term FROM items) GROUP BY term),
-weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
-lengths AS (SELECT row, doc_id, 10 + (90 * n * docs) // terms AS m FROM sized, total WHERE n > 0),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+lengths AS (SELECT row, doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM sized, total WHERE n > 0),
 scores AS (
   SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
   FROM items JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (row) GROUP BY item_id, row
