@@ -10,7 +10,7 @@ from .common import Scratch, column_or_null
 #: Distinct suffixes that a task counts before it passes them on.
 HELD_SUFFIXES = 500_000
 #: A first word's suffixes go to as many groups, by their second word.
-SPREAD = 512
+SPREAD = 64
 #: Ends of pieces, as bytes, and what parts words beside the space; A-Z become a-z.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NORMAL = bytes(10 if b in PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,54 +49,56 @@ def _suffixes(docs: DataFrame, most_words: int, text_col: str, lang_col: str) ->
     return docs.select(F.coalesce(column_or_null(docs, lang_col, "string"), F.lit("und")).alias("lang"), text.alias("text")).mapInArrow(run, "key string, times long")
 
 
-def _prefixes(batches, least: int):
-    """Sums the prefixes of suffixes that come in reverse order, with one stack: (lang, phrase, words, times)."""
-    import pyarrow as pa
+def _prefixes(batches, most_words: int, least: int):
+    """(key, words, times): the prefixes of suffixes that come in reverse order, with their counts.
 
-    stack: list[list] = []  # for each length, the phrase and its count so far
-    lang = b""
-    out: list[tuple] = []
+    One stack holds, for each length, the prefix that is still open and its count so far; a prefix is passed on once a
+    key comes that doesn't have it. Within a batch all prefixes of a length are closed together: their counts are sums
+    over runs of rows. Phrases of two words or more that occur less than `least` times are left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
 
-    def leave(depth: int):
-        while len(stack) > depth:
-            phrase, times = stack.pop()
-            if stack:
-                stack[-1][1] += times
-            if not stack or times >= least:
-                out.append((lang, phrase, len(stack) + 1, times))
+    def closed(keys, words, times):
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(times), words, np.int32)), pa.array(times)], names=["key", "words", "times"])
 
-    def passed_on():
-        cols = list(zip(*out, strict=True))
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "times"])
+    def cut(keys, words: int):
+        return pa.array([" ".join(k.split(" ", words)[:words]) for k in keys.to_pylist()], pa.string())
 
-    last = None
+    last, stack = None, []  # the key before, and the counts of its prefixes
     for batch in batches:
-        for key, times in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key == last:
-                stack[-1][1] += times
-                continue
-            last = key
-            own, _, phrase = key.rpartition(b"\t")
-            if own != lang:
-                leave(0)
-                lang = own
-            depth, end = 0, phrase.find(b" ")
-            prefixes = []
-            while end >= 0:
-                prefixes.append(phrase[:end])
-                end = phrase.find(b" ", end + 1)
-            prefixes.append(phrase)
-            while depth < len(stack) and depth < len(prefixes) and stack[depth][0] == prefixes[depth]:
-                depth += 1
-            leave(depth)
-            stack.extend([p, 0] for p in prefixes[depth:])
-            stack[-1][1] += times
-        if len(out) >= ROWS:
-            yield passed_on()
-    leave(0)
-    if out:
-        yield passed_on()
+        if not batch.num_rows:
+            continue
+        keys, times = batch.column(0), batch.column(1).to_numpy()
+        if last is not None:
+            keys, times = pa.concat_arrays([last, keys]), np.concatenate([[0], times])
+        lists = pa.compute.split_pattern(keys, " ")
+        at, values = lists.offsets.to_numpy(), lists.flatten()
+        size, code = np.diff(at), values.dictionary_encode().indices.to_numpy()
+        same = np.ones(len(size) - 1, bool)
+        open_ = []
+        for k in range(most_words):
+            has = size > k
+            own = np.where(has, code[np.minimum(at[:-1] + k, len(code) - 1)], -1)
+            same = same & has[1:] & (own[1:] == own[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            sums = np.add.reduceat(times, starts)
+            if k < len(stack):
+                sums[0] += stack[k]
+            ends = has[starts]
+            if has[-1]:
+                open_.append(int(sums[-1]))
+                ends[-1] = False
+            if k:
+                ends &= sums >= least
+            done = pa.array(starts[ends])
+            if len(done):
+                yield closed(values.take(pa.array(at[starts[ends]])) if k == 0 else cut(keys.take(done), k + 1), k + 1, sums[ends])
+        last, stack = keys[-1:], open_
+    for k, total in enumerate(stack):
+        if not k or total >= least:
+            yield closed(cut(last, k + 1), k + 1, np.array([total]))
 
 
 def phrase_counts(docs: DataFrame, most_words: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -108,8 +110,11 @@ def phrase_counts(docs: DataFrame, most_words: int = 3, least: int = 10, text_co
     """
     by_second = F.pmod(F.xxhash64(F.substring_index("key", " ", 2)), F.lit(SPREAD))
     dealt = _suffixes(docs, most_words, text_col, lang_col).repartition(F.substring_index("key", " ", 1), by_second)
-    found = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(lambda batches: _prefixes(batches, least), "lang string, phrase string, words int, times long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times"))
+    found = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(lambda batches: _prefixes(batches, most_words, least), "key string, words int, times long")
+    found = found.groupBy("key", "words").agg(F.sum("times").alias("times"))
+    # words hold no tab, languages may
+    phrase = F.substring_index("key", "\t", -1)
+    return found.select(F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "words", "times")
 
 
 def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int | None = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -147,8 +152,11 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int
     )
     within = long.filter("words > 2").withColumn("w", words).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "times").groupBy("lang", "phrase").agg(F.max("times").alias("longer"))
     kept = best.join(within, ["lang", "phrase"], "left").filter("longer is null or 100 * longer < 50 * a")
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    best_first = (F.col("cut.score").desc(), F.col("a").desc(), F.col("phrase"))
+    if top is not None:  # a language's phrases are thinned in groups before they meet
+        group = F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", group).orderBy(*best_first))).filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
