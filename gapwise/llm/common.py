@@ -23,12 +23,15 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that the table doesn't have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(text: Column) -> Column:

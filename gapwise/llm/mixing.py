@@ -117,8 +117,7 @@ def mixture(docs: DataFrame, **settings) -> DataFrame:
     Rows are told apart by a stored number, so repeated ids get their own copies; edge cases are as there.
     """
     scratch = Scratch(docs.sparkSession, "mixture")
-    row = fresh(docs, "row")
+    row, times = fresh(docs, "row", "times")
     rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    copies = mixed_sources(rows, row_col=row, **settings).filter("copies > 0").select(row, F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias("times"))
-    times = fresh(rows, "times")
-    return rows.join(copies.withColumnRenamed("times", times), row).withColumn(times, F.explode(f"`{times}`")).select(*(f"`{c}`" for c in docs.columns))
+    copies = mixed_sources(rows, row_col=row, **settings).filter("copies > 0").select(row, F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias(times))
+    return rows.join(copies, row).withColumn(times, F.explode(times)).select(*(f"`{c}`" for c in docs.columns))

@@ -6,7 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_or_null, shared_dir
+from .common import Scratch, column_or_null, fresh, shared_dir
 
 
 def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -89,16 +89,18 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", files: int = 1) -> None:
     """Writes whole rows as Parquet, a folder shard=K for each shard of byte_shards(), in the order of their slots.
 
-    A shard is cut into `files` runs of slots, each written by a task. All columns are kept, and __slot is added;
-    nulls, ties and repeated rows are as in byte_shards(). Rows are told apart by a stored number, so repeated ids
-    get their own places.
+    A shard is cut into `files` runs of slots, each written by a task. All columns are kept, and __slot is added; where
+    the table has a column of that name or of the folders', the new one ends in "_". Nulls, ties and repeated rows are as in
+    byte_shards(). Rows are told apart by a stored number, so repeated ids get their own places. Long texts stay
+    whole. Empty table: no folders.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    placed = scratch.save(byte_shards(rows, shards, id_col, text_col, "__row").select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "placed")
-    sizes = placed.groupBy("__shard").agg(F.count(F.lit(1)).alias("__n"))
-    run = F.floor(F.col("__slot") * files / F.col("__n")).cast("int")
-    out = rows.join(placed.join(F.broadcast(sizes), "__shard"), "__row").withColumn("__run", run)  # a row for each shard
-    out = out.repartition(shards * files, "__shard", "__run").sortWithinPartitions("__shard", "__slot")
-    out.select(*(f"`{c}`" for c in docs.columns), "__slot", F.col("__shard").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    row, part, slot, count, run = fresh(docs, "row", "shard", "__slot", "rows", "run")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    placed = byte_shards(rows, shards, id_col, text_col, row).toDF("id", "size", "crc", "law", part, slot, "grown", row).select(row, part, slot)
+    placed = scratch.save(placed, "placed")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(count))
+    out = rows.join(placed.join(F.broadcast(sizes), part), row).withColumn(run, F.floor(F.col(slot) * files / F.col(count)).cast("int"))  # a row for each shard
+    out = out.repartition(shards * files, part, run).sortWithinPartitions(part, slot)
+    out.select(*(f"`{c}`" for c in docs.columns), slot, part).write.mode("overwrite").partitionBy(part).parquet(path)
     scratch.close()

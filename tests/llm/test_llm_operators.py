@@ -150,6 +150,32 @@ def test_near_duplicates_in_a_dense_group(spark, width, percent, seed):
     assert 20 < len({w[2] for w in want}) < 250
 
 
+def test_pages_of_one_frame_that_do_not_link(spark):
+    """Texts that share 120 words and have some of their own: join rows grow with the texts, not with their pairs."""
+
+    def met(n, own):
+        r = random.Random(n)
+        frame = [f"f{k}" for k in range(120)]
+        rows = [(k, " ".join(frame + [f"w{r.randrange(10**7)}" for _ in range(own)])) for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        counted = []
+        real = minhash.candidates
+
+        def candidates(listed, percent):
+            sides = listed.groupBy("g", "kind", "el").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inner").cast("int")).alias("i"))
+            pairs = F.when(F.col("kind") == 0, F.col("i") * (F.col("n") - F.col("i"))).otherwise(F.col("n") * F.col("n"))
+            counted.append(sides.agg(F.sum(pairs)).first()[0] or 0)
+            return real(listed, percent)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(minhash, "candidates", candidates)
+            assert minhash.near_duplicates(docs, 3, 85).filter("not kept").count() == 0
+        return sum(counted)
+
+    for own in (14, 22):
+        assert met(600, own) <= 6 * 600
+
+
 def test_near_duplicates_without_ids(spark):
     """Rows without ids are compared once for each text, not with each other's texts."""
     texts = [random_words(30, k // 2) + (" x" if k % 2 else "") for k in range(300)]
@@ -389,6 +415,29 @@ def brute_terms(texts):
     return out
 
 
+def test_spans_of_texts_without_letters(spark):
+    """Addresses, cards and numbers parted by spaces are cut into pieces, and give what the whole text gives."""
+    r = random.Random(6)
+
+    def address():
+        return ".".join(str(r.randrange(256)) for _ in range(4))
+
+    def number(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    kinds = [
+        " ".join(address() for _ in range(2000)), "+1 " + " ".join(address() for _ in range(2000)), "  ".join("4111 1111 1111 1111" for _ in range(1500)),
+        " ".join(f"{number(2)}@{number(1)}.{number(2)}" for _ in range(3000)), " ".join(f"+1 {number(3)} {number(4)}{number(2)}" for _ in range(2500)),
+        " ".join(r.choice([address(), number(r.randint(1, 19)), "+" + number(r.randint(8, 17)), f"{number(3)}@{number(2)}.{number(2)}", "(", "4111-1111-1111-1111", " "]) for _ in range(6000)),
+        ".".join(str(k % 200) for k in range(9000)),
+    ]
+    df = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, text string")
+    for row in pii.personal_spans(df).collect():
+        assert [tuple(s) for s in row.base] == base_spans(kinds[row.doc_id]), row.doc_id
+    sizes = df.select("doc_id", F.array_max(F.transform(pii.pieces_of(F.col("text")), lambda p: F.length(p["text"]))).alias("most")).collect()
+    assert all(x.most < 2 * pii.PIECE for x in sizes if x.doc_id < 6)
+
+
 def test_terms_of_rare_entities(spark):
     """Entities in one and two documents, terms far from them and repeated; shared entities and common words."""
     r = random.Random(12)
@@ -588,10 +637,31 @@ def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
     assert crf.langs == ["aa", "zz"]
     pred = {x.doc_id: x.lang_pred for x in language_id.identify(df, crf).collect()}
     assert all(pred[i] == lang for i, _, lang in rows) and pred[9000] == pred[9001] == "und"
-    words = [str(k) for k in range(5000)]
-    spread = [int(w) for w in language_id.spread_words(words)]
-    assert len(spread) == language_id.RUNS * language_id.RUN_WORDS and spread[0] == 0 and spread[-1] == 4999
-    assert max(b - a for a, b in zip(spread, spread[1:], strict=False)) < 5000 / (language_id.RUNS - 1)
+
+
+def test_all_words_of_a_sample_are_learned_from(monkeypatch):
+    """Words that stand once, anywhere in a long text, are in the sequences of each pass."""
+    seen = []
+    real = np.unique
+
+    def unique(x, **more):
+        if x.ndim == 2 and more.get("return_inverse"):
+            seen.append(set(x.ravel().tolist()))
+        return real(x, **more)
+
+    monkeypatch.setattr(language_id.np, "unique", unique)
+    monkeypatch.setattr(language_id, "PASSES", 1)
+    letters = "abcdefghij"
+    language_id.train([("aa", ["".join(letters[int(d)] for d in str(k)) for k in range(30_000)]), ("bb", ["zz"] * 50)])
+    assert set().union(*seen) == set(range(30_001))
+
+
+def test_rows_of_few_ids_are_bounded_in_each_task(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 20)
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    rows = [(free[0], f"uno w{k} dos", "es") for k in range(3000)] + [(free[1], "one two three", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert language_id.fit(df).langs == ["en", "es"]
 
 
 def test_marginals_are_exact():
@@ -657,6 +727,33 @@ def test_near_vectors(spark, block, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_passes_find_the_links(spark, monkeypatch):
+    """Recall of the passes alone, at production settings, where one label is many blocks; what's left is exact."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(5000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=(1500, 64))
+    noise -= (noise * base[:1500]).sum(axis=1, keepdims=True) * base[:1500]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 1, size=(1500, 1))
+    rows = np.concatenate([base, cosine * base[:1500] + np.sqrt(1 - cosine**2) * noise]).astype(np.float32)
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int").repartition(4)
+
+    def recall():
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+        assert all(got[k] <= want[k] for k in got)
+        return sum(got.values()) / want.sum()
+
+    assert recall() >= 0.999
+    real = embedding_dedup._all_compared
+    monkeypatch.setattr(embedding_dedup, "_all_compared", lambda placed, least: real(placed.limit(0), least))
+    alone = recall()
+    print("recall of the passes alone", alone)
+    assert alone >= 0.9
+
+
 def test_near_vectors_in_a_cone(spark, monkeypatch):
     """Background vectors of cosine 0.8 with each other, which few hyperplanes part."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
@@ -698,6 +795,23 @@ def test_pipeline(spark, sf_dir, docs, empty):
     assert pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_columns_of_any_name_are_kept(spark, sf_dir, tmp_path):
+    """Names that the operators use inside, with and without marks."""
+    import corpus_pipeline as pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    names = ["__row", "__key", "__words", "__terms", "__base", "__certainty", "row", "row_", "Base", "terms", "slot", "__slot", "shard", "best", "component", "certainty", "words", "c0", "id", "bytes", "hash", "label", "text_"]
+    df = table.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    sharding.write_shards(df, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    for name, out in [("shards", back), *((name, stage(spark, df, sf_dir)) for name, stage in pipeline.STAGES[:-1])]:
+        assert set(df.columns) <= set(out.columns), name
+        wrong = [n for n in names if out.filter(F.col(f"`{n}`") != F.concat(F.lit(n), F.col("doc_id").cast("string"))).count()]
+        assert not wrong, (name, wrong)
+    assert back.count() == df.count() and set(back.columns) - set(df.columns) == {"__slot_", "shard_"}
+    assert pipeline.packed(spark, df, sf_dir).count() > 0
+
+
 def test_pipeline_keeps_mixed_and_unlabelled_texts(spark, sf_dir):
     import corpus_pipeline as pipeline
 
