@@ -134,12 +134,6 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     return thin.mapInArrow(run, "row long, id long, class binary, n long, bands array<long>, text string")
 
 
-def shuffled(side: DataFrame) -> DataFrame:
-    """A side of a join that grows with the documents: joined by a shuffle at every size, so that small tables show
-    what large ones need."""
-    return side.hint("merge")
-
-
 def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str, scratch: Scratch, name: str) -> DataFrame:
     """What found(head, own) gives for each pair (g, m), as columns of `kinds` after those of `pairs`.
 
@@ -153,7 +147,7 @@ def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str, sc
     asked = pairs.join(sizes, "g").select("g", salt, F.lit(1).alias("role"), F.col("m").alias("row"), F.struct(*pairs.columns).alias("pair"))
     asked = scratch.save(asked, f"{name}-asked")
     heads = asked.select("g", "salt").distinct().select("g", "salt", F.lit(0).alias("role"), F.col("g").alias("row"), F.lit(None).cast(asked.schema["pair"].dataType).alias("pair"))
-    rows = asked.unionByName(heads).join(shuffled(texts), "row").select("g", "salt", "role", "row", "text", "pair")
+    rows = asked.unionByName(heads).join(texts, "row").select("g", "salt", "role", "row", "text", "pair")
     rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role")
 
     def run(batches):
@@ -246,63 +240,91 @@ def most_apart(total, percent: int):
     return F.floor(total * (100 - percent) / (100 + percent))
 
 
-def differences(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The members (g, m, n, apart and more) with `added`, the shingles that g lacks, and `lacking`, as many of those
-    of g that m lacks as a prefix may need, by number."""
+def from_consensus(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """How the members of each representative differ from what most of them have in common.
 
-    def found(head: Text, own: Text):
-        n = len(own.shingles)
-        most = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
-        added = np.setdiff1d(own.shingles, head.shingles, assume_unique=True)
-        lacking = np.setdiff1d(head.shingles, own.shingles, assume_unique=True)
-        return added.view(np.int64), lacking[: max(0, most + 1 - len(added))].view(np.int64)
+    members: g, m, n (set size), root, inner (root is that of g), near, last. Members that are near are wanted in pairs
+    of an inner and another one (kind 0), those that are last in all pairs of theirs (kind 1).
 
-    return beside(members, texts, width, found, "added array<long>, lacking array<long>", scratch, "differences")
+    Returns (g, kind, m, n, root, inner, own, excess) and (g, kind, el, rank). own is E, the shingles that one of m and
+    the consensus lacks; the consensus is what more than half of the members of that kind have, so words of g that
+    nearly all lack are in few E. excess is (100 + percent) |E| - (100 - percent) n: x and y have 100 * common >=
+    percent * union if and only if excess(x) + excess(y) <= 2 (100 + percent) |E(x) & E(y)|. rank is 0 where no wanted
+    pair can meet in the element, else it grows with the pairs that can.
+    """
 
+    def found(head: Text, own: Text):
+        return (np.setxor1d(head.shingles, own.shingles, assume_unique=True).view(np.int64),)
+
+    kinds = F.explode(F.filter(F.array(F.when(F.col("near"), 0), F.when(F.col("last"), 1)), lambda k: k.isNotNull()))
+    e = beside(members, texts, width, found, "els array<long>", scratch, "differences")
+    e = scratch.save(e.select("g", kinds.alias("kind"), "m", "n", "root", "inner", "els"), "differences")
+    inners = F.sum(F.col("inner").cast("int"))
+    sizes = e.groupBy("g", "kind").agg(F.count(F.lit(1)).alias("members"), inners.alias("inners"))
+    times = e.select("g", "kind", "inner", F.explode("els").alias("el")).groupBy("g", "kind", "el").agg(F.count(F.lit(1)).alias("times"), inners.alias("ins"))
+    most = 2 * F.col("times") > F.col("members")
+    held = times.join(sizes, ["g", "kind"]).select(
+        "g", "kind", "el", most.alias("most"),
+        F.when(most, F.col("members") - F.col("times")).otherwise(F.col("times")).alias("times"),
+        F.when(most, F.col("inners") - F.col("ins")).otherwise(F.col("ins")).alias("ins"),
+    )
+    rank = F.when(F.col("kind") == 0, F.col("ins") * (F.col("times") - F.col("ins"))).when(F.col("times") > 1, F.col("times")).otherwise(0)
+    held = scratch.save(held.select("g", "kind", "el", "most", rank.alias("rank")), "elements")
+    common = held.filter("most").groupBy("g", "kind").agg(F.collect_list("el").alias("common"))
+    # more than half of the members hold each of these, so all these arrays together are at most twice all els
+    own = F.when(F.col("common").isNull(), F.col("els")).otherwise(F.concat(F.array_except("els", "common"), F.array_except("common", "els")))
+    whole = e.join(common, ["g", "kind"], "left").select("g", "kind", "m", "n", "root", "inner", own.alias("own"))
+    excess = (100 + percent) * F.size("own").cast("long") - (100 - percent) * F.col("n")
+    return scratch.save(whole.withColumn("excess", excess), "own"), held.filter("rank > 0").select("g", "kind", "el", "rank")
+
+
+def central_pairs(whole: DataFrame) -> DataFrame:
+    """(g, m): for each representative and kind, the member nearest to the consensus with each other of another root.
+
+    It has the least excess. If those of x and y don't add up to more than 0, neither do theirs and its, so both link
+    with it.
+    """
+    head = whole.groupBy("g", "kind").agg(F.min(F.struct("excess", "m", "root")).alias("head"))
+    pairs = whole.join(head, ["g", "kind"]).filter(F.col("root") != F.col("head.root"))
+    return pairs.select(F.least("m", "head.m").alias("g"), F.greatest("m", "head.m").alias("m")).distinct()
 
-def candidates(members: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (g, m) among the members of each representative that may link, without listing all pairs.
 
-    members: g, m, n (set size), apart (shingles in the set of g or m alone), root, inner (root is that of g), last.
-    Wanted are pairs of different roots, one of them inner or both last. The other, or both, don't link with g.
+def listed_elements(whole: DataFrame, ranks: DataFrame, percent: int) -> DataFrame:
+    """(g, kind, m, n, root, inner, excess, size, at, el): the elements of each member by which a link could be found.
 
-    With E(x) the elements in which x differs from g, x and y differ in |E(x)| + |E(y)| - 2 |E(x) & E(y)| elements.
-    So they link only if E(x) and E(y) share o = (|E(x)| + |E(y)| - most_apart) / 2 or more; if one of them doesn't
-    link with g, o is above percent / (100 + percent) times either size, and positive. Hence they share one of the
-    first |E| - o + 1 elements of each, in any order that both keep: here what g lacks by how few have it, then what
-    g has. Copies of one text share most of it but few of their edits, so lists of edits are short where lists of
-    shingles are not.
+    Wanted pairs of different roots have a positive sum of excesses, once central_pairs() are united, so they link only
+    if they share o = (excess(x) + excess(y)) / (2 (100 + percent)), at least 1, of their elements, and hence one of the
+    first |E| - o + 1 of each, in an order that both keep. Elements in which no pair meets come first, then rare ones.
     """
-    e = scratch.save(differences(members, texts, width, percent, scratch), "differences")
-    added = e.select("g", "m", F.explode("added").alias("el"))
-    times = added.groupBy("g", "el").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    # elements that one member alone has come first and match nothing, so they only count
-    met = added.join(times, ["g", "el"]).groupBy("g", "m").agg(F.array_sort(F.collect_list(F.struct("times", "el"))).alias("shared"))
-    whole = e.join(met, ["g", "m"], "left")
-    alone = F.size("added") - F.coalesce(F.size("shared"), F.lit(0))
-    whole = whole.select("g", "m", "n", "apart", "root", "inner", "last", alone.alias("alone"), F.concat(F.coalesce(F.transform("shared", lambda s: s["el"]), F.array().cast("array<long>")), "lacking").alias("els"))
-    limit = most_apart(F.col("n") + F.floor(100 * F.col("n") / percent), percent)
-    # against one that doesn't link with g, and against one that does
-    to_outer = F.col("apart") - F.greatest(F.floor(F.col("apart") * percent / (100 + percent)) + 1, F.col("apart") - limit) + 1
-    to_inner = F.least("apart", limit + 1)
-    listed = whole.select("g", "m", "n", "apart", "root", "inner", "last", "alone", to_outer.alias("to_outer"), to_inner.alias("to_inner"), F.posexplode("els").alias("at", "el"))
-    listed = listed.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
-    listed = scratch.save(listed.filter(F.col("at") < F.when(F.col("inner"), F.col("to_outer")).otherwise(F.col("to_inner"))), "listed")
+    low = F.min("excess")
+    lows = whole.groupBy("g", "kind").agg(F.min("root").alias("first"), F.max("root").alias("final"), low.alias("low"), F.min(F.when(F.col("inner"), F.col("excess"))).alias("in_low"), F.min(F.when(~F.col("inner"), F.col("excess"))).alias("out_low"))
+    lows = lows.filter("first != final").drop("first", "final")
+    partner = F.when(F.col("kind") == 1, F.col("low")).when(F.col("inner"), F.col("out_low")).otherwise(F.col("in_low"))
+    least = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / (2 * (100 + percent))))
+    open_ = whole.join(lows, ["g", "kind"]).withColumn("size", F.size("own")).withColumn("reach", F.col("size") - least + 1).filter("reach > 0")
+    keys = ["g", "kind", "m"]
+    met = open_.select(*keys, F.explode("own").alias("el")).join(ranks, ["g", "kind", "el"])
+    met = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "el"))).alias("met"))
+    listed = open_.join(met, keys).select(*keys, "n", "root", "inner", "excess", "size", "reach", (F.col("size") - F.size("met")).alias("alone"), F.posexplode("met").alias("at", "e"))
+    listed = listed.withColumn("at", F.col("at") + F.col("alone")).filter("at < reach")
+    return listed.select(*keys, "n", "root", "inner", "excess", "size", "at", F.col("e.el").alias("el"))
+
+
+def candidates(listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (g, m) that listed_elements() leave as possible links."""
 
     def side(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select("g", "el", *(F.col(c).alias(f"{name}_{c}") for c in ("m", "n", "apart", "root", "at")))
+        return rows.select("g", "el", *(F.col(c).alias(f"{name}_{c}") for c in ("m", "n", "root", "excess", "size", "at")))
 
-    apart = most_apart(F.col("x_n") + F.col("y_n"), percent)
-    need = F.ceil((F.col("x_apart") + F.col("y_apart") - apart) / 2)
-    # the first shared element leaves enough behind it
-    enough = 1 + F.least(F.col("x_apart") - F.col("x_at"), F.col("y_apart") - F.col("y_at")) - 1 >= need
+    need = F.greatest(F.lit(1), F.ceil((F.col("x_excess") + F.col("y_excess")) / (2 * (100 + percent))))
+    # from the first shared element on, both have enough
+    enough = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= need
     sizes = (100 * F.col("x_n") >= percent * F.col("y_n")) & (100 * F.col("y_n") >= percent * F.col("x_n"))
-    outer, inner = listed.filter("not inner"), listed.filter("inner")
-    last = outer.filter(F.col("last") & (F.col("at") < F.col("to_outer")))
-    mixed = side("x", outer).join(side("y", inner), ["g", "el"]).filter((F.col("x_root") != F.col("y_root")) & enough & sizes)
-    among = side("x", last).join(side("y", last), ["g", "el"]).filter((F.col("x_m") < F.col("y_m")) & (F.col("x_root") != F.col("y_root")) & enough & sizes)
-    pairs = mixed.unionByName(among).select(F.least("x_m", "y_m").alias("g"), F.greatest("x_m", "y_m").alias("m"))
-    return pairs.distinct()
+    wanted = (F.col("x_root") != F.col("y_root")) & enough & sizes
+    near, last = listed.filter("kind = 0"), listed.filter("kind = 1")
+    mixed = side("x", near.filter("not inner")).join(side("y", near.filter("inner")), ["g", "el"]).filter(wanted)
+    among = side("x", last).join(side("y", last), ["g", "el"]).filter(wanted & (F.col("x_m") < F.col("y_m")))
+    return mixed.unionByName(among).select(F.least("x_m", "y_m").alias("g"), F.greatest("x_m", "y_m").alias("m")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,8 +338,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     1. The member of a bucket that meets most others in its buckets represents it. Each member is compared with its
        representatives on whole sets. Those that links don't join to a representative are compared with one of
        themselves in the same way, LEVELS times in all.
-    2. What may still link are members of one representative that are in different components. candidates() finds
-       those by the few elements in which they differ from it, and they are compared on whole sets.
+    2. What may still link are members of one representative that are in different components. Their sets are taken as
+       differences from what most of them have in common; the member nearest to that is compared with the others, and
+       candidates() finds the rest by the rarest of the elements in which they differ from it. Whole sets are compared.
     So every pair of a bucket is compared, in one component already, or ruled out by counts of differing elements.
 
     Null or empty text, or no words: no shingles, no links. Null ids: such rows take part; a component whose ids
@@ -332,12 +355,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = scratch.save(classes, "classes")
     rows = classes.select("row", F.explode("bands").alias("bucket"))
     buckets = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    shared = scratch.save(rows.join(shuffled(buckets), "bucket").select("bucket", "row", "size"), "shared")
+    shared = scratch.save(rows.join(buckets, "bucket").select("bucket", "row", "size"), "shared")
     central = scratch.save(shared.groupBy("row").agg(F.sum("size").alias("score")), "central")
-    texts = scratch.save(signed.select("row", "text").join(shuffled(central.select("row")), "row", "left_semi"), "texts")
+    texts = scratch.save(signed.select("row", "text").join(central.select("row"), "row", "left_semi"), "texts")
     first = F.max(F.struct("score", "row"))["row"].alias("g")
-    picks = scratch.save(shared.join(shuffled(central), "row").groupBy("bucket").agg(first), "picks")
-    asked = scratch.save(shared.join(shuffled(picks), "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
+    picks = scratch.save(shared.join(central, "row").groupBy("bucket").agg(first), "picks")
+    asked = scratch.save(shared.join(picks, "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
 
     roots, groups, level = None, None, 0
     while True:
@@ -365,18 +388,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         F.max(F.when(~F.col("inner"), F.col("apart"))).alias("outer_high"), F.min(F.when(~F.col("inner"), F.col("apart"))).alias("outer_low"),
     ).filter("outer_low is not null")
     near = F.when(F.col("inner"), F.col("apart").between(F.col("outer_low") - limit, F.col("outer_high") + limit)).otherwise(F.col("apart").between(F.col("inner_low") - limit, F.col("inner_high") + limit))
-    members = every.join(reach, "g").filter(F.coalesce(near, F.lit(False)) | F.col("last")).select(*every.columns)
-    members = scratch.save(members, "members")
+    members = every.join(reach, "g", "left").withColumn("near", F.coalesce(near, F.lit(False))).filter("near or last")
+    members = scratch.save(members.select("g", "m", "n", "root", "inner", "near", "last"), "members")
     if not members.isEmpty():
-        pairs = scratch.save(candidates(members, texts, width, percent, scratch), "pairs")
+        whole, ranks = from_consensus(members, texts, width, percent, scratch)
+        links = scratch.save(compared(scratch.save(central_pairs(whole), "central-pairs"), texts, width, percent, scratch, "central").filter("linked"), "central-links")
+        roots = _united(roots, links, scratch, "roots-central")
+        now = roots.select(F.col("node").alias("m"), F.col("root").alias("to"))
+        whole = whole.join(now, "m", "left").withColumn("root", F.coalesce("to", "m")).drop("to")
+        listed = scratch.save(listed_elements(whole, ranks, percent), "listed")
+        pairs = scratch.save(candidates(listed, percent), "pairs")
         links = scratch.save(compared(pairs, texts, width, percent, scratch, "pairs").filter("linked"), "links")
         roots = _united(roots, links, scratch, "roots")
-    scratch.drop("texts", "shared", "buckets", "picks", "groups", "differences", "listed", "members")
+    scratch.drop("texts", "shared", "buckets", "picks", "groups", "differences", "elements", "own", "listed", "members")
 
     joined = classes.select("class", "first_id", "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("class", "first_id", F.coalesce("root", "row").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(least, "root").select("class", "component_id")
-    out = signed.select("id", "class", "n").join(shuffled(named), "class", "left")
+    out = signed.select("id", "class", "n").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
