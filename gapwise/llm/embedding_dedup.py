@@ -14,8 +14,8 @@ from .components import connected_components
 
 #: Bits of the concatenated hashes that order a pass, vectors of a block, and the chance that a pair at the
 #: threshold meets in no pass, above which a vector is compared with all others of its label.
-CODE_BITS, BLOCK, MISS = 48, 512, 1e-6
-#: Passes that are sorted in one exchange.
+CODE_BITS, BLOCK, MISS = 48, 512, 1e-3
+#: Passes that are sorted in one exchange, after the first, which alone settles labels of up to two blocks.
 PASSES_AT_ONCE = 4
 #: Blocks that are taken as one where vectors are compared with all of their label.
 BLOCKS_AT_ONCE = 4
@@ -132,9 +132,11 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
        returns counts and a spanning forest of its links, not the pairs. The bits that set a vector's two
        neighbouring blocks apart from the rest of its label are measured in each pass, and with them the chance
        that it misses a partner at the threshold.
-    4. Passes go on until comparing the vectors whose chance is still above MISS with all others of their label,
-       which is exact, costs no more than the passes. So it is done. All forests are united.
-    So each pair that links is found and counted but with chance MISS, in groups of any size.
+    4. Passes go on with the labels that have vectors whose chance is still above MISS, until comparing these vectors
+       with all others of their label, which is exact, costs no more than the next passes. So it is done. All forests
+       are united.
+    So each pair that links is found and counted but with chance MISS at the threshold, less above it, in groups of any
+    size.
 
     Null labels, null, empty or zero vectors, or components that are null or not finite: no links. Vectors of
     different dimension don't link. Null ids: such rows take part; a component without any id has none. Repeated
@@ -142,7 +144,8 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    vector = column_or_null(vectors, vector_col, "array<double>")
+    single = vector_col in vectors.columns and vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = column_or_null(vectors, vector_col, "array<float>" if single else "array<double>")
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), column_or_null(vectors, id_col, "long").alias("id"), column_or_null(vectors, label_col, "string").alias("label"), vector.alias("vector"))
     sound = F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", _finite) & F.exists("vector", lambda x: x != 0)
     # 128 bits tell equal vectors
@@ -155,26 +158,26 @@ def near_vectors(vectors: DataFrame, least_cosine: float = 0.93, id_col: str = "
     sizes = scratch.save(usable.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
     number = sizes.agg(F.sum("size")).first()[0] or 0
 
-    placed = usable.select("*", F.array().cast("array<long>").alias("seen"), F.lit(0.0).alias("log_miss"))
-    found, stored, first = None, None, 0
-    while True:
-        unsettled = placed.filter(F.col("log_miss") > math.log(MISS)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        rest = unsettled.join(sizes, "label").agg(F.sum(F.col("n").cast("double") * F.col("size"))).first()[0] or 0
-        if rest <= number * 2 * BLOCK * (first + PASSES_AT_ONCE):
-            break
-        turns = list(range(first, first + PASSES_AT_ONCE))
-        wide = _blocks(usable, turns, least_cosine).groupBy("row").agg(F.sum("log_miss").alias("more"), *(F.max(F.when(F.col("turn") == t, F.col("block"))).alias(f"b{t}") for t in turns))
+    placed = usable.select("*", F.array().cast("array<int>").alias("seen"), F.lit(0.0).alias("log_miss"))
+    found, tables, turns, rest = _all_compared(placed.limit(0), least_cosine), [], [0], 0
+    while number:
+        wide = _blocks(placed.select(*usable.columns), turns, least_cosine).groupBy("row").agg(F.sum("log_miss").alias("more"), *(F.max(F.when(F.col("turn") == t, F.col("block"))).cast("int").alias(f"b{t}") for t in turns))
         placed = placed.join(wide, "row").select("row", "label", "vector", "copies", F.concat("seen", F.array(*(f"b{t}" for t in turns))).alias("seen"), (F.col("log_miss") + F.col("more")).alias("log_miss"))
-        placed = scratch.save(placed, f"placed-{first}")
-        met = scratch.save(_compared(placed.select("row", "label", "vector", "copies", "seen"), turns, least_cosine), f"met-{first}")
-        found = met if found is None else found.unionByName(met)
-        if stored:
-            scratch.drop(stored)
-        stored, first = f"placed-{first}", first + PASSES_AT_ONCE
-    met = scratch.save(_all_compared(placed, least_cosine), "met-all")
-    found = met if found is None else found.unionByName(met)
+        placed = scratch.save(placed, f"placed-{turns[0]}")
+        met = scratch.save(_compared(placed.select("row", "label", "vector", "copies", "seen"), turns, least_cosine), f"met-{turns[0]}")
+        tables += [f"placed-{turns[0]}", f"met-{turns[0]}"]
+        found = found.unionByName(met)
+        unsettled = scratch.save(placed.filter(F.col("log_miss") > math.log(MISS)).groupBy("label").agg(F.count(F.lit(1)).alias("n")), f"unsettled-{turns[0]}")
+        number, rest = unsettled.join(sizes, "label").agg(F.sum("size"), F.sum(F.col("n").cast("double") * F.col("size"))).first()
+        placed = placed.join(unsettled.select("label"), "label", "left_semi").select(*placed.columns)
+        if (rest or 0) <= (number or 0) * 2 * BLOCK * PASSES_AT_ONCE:
+            break
+        turns = list(range(turns[-1] + 1, turns[-1] + 1 + PASSES_AT_ONCE))
+    if rest:
+        found = found.unionByName(scratch.save(_all_compared(placed, least_cosine), "met-all"))
     roots = connected_components(found.select(F.col("row").alias("a"), F.col("head").alias("b")), scratch, "roots")
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    counts = scratch.save(found.groupBy("row").agg(F.sum("n").alias("n_links")), "counts")
+    scratch.drop("usable", "met-all", *tables)
     linked_rows = roots.select(F.col("node").alias("first"), "root").join(counts.withColumnRenamed("row", "first"), "first")
 
     joined = rows.select("row", "id", F.when(F.col("sound"), F.col("h1")).alias("h1"), "h2").join(distinct, ["h1", "h2"], "left").join(linked_rows, "first", "left")
