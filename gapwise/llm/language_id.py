@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from dataclasses import dataclass
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import column_or_null
 
-#: Bounds of the training sample: labelled documents of all languages together, alike for each, and of a long
-#: document the runs of words, spread evenly over its whole text, and their length.
-TRAIN_DOCS, RUNS, RUN_WORDS = 4_000, 8, 40
-#: Shape of training: sequences of spliced pieces, their length, passes, sequences in a step.
-SEQUENCES, SEQUENCE_WORDS, PASSES, STEP = 3_000, 64, 4, 100
+#: Bound of the training sample: labelled documents of all languages together, alike for each. All their words count.
+TRAIN_DOCS = 2_000
+#: Shape of training: words of the pieces that documents are cut into, words of a sequence of spliced pieces, passes,
+#: sequences in a step.
+PIECE_WORDS, SEQUENCE_WORDS, PASSES, STEP = (8, 40), 64, 3, 300
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
 #: Characters that a task tags together.
@@ -110,11 +111,12 @@ class Crf:
 def train(samples: list[tuple[str, list[str]]], seed: int = 7) -> Crf:
     """Learns from (language, words) pairs by AdaGrad on the conditional log-likelihood.
 
-    The sequences are spliced from pieces of 8 to 40 words of documents drawn over all languages alike, which gives
-    the code switches that the transitions are learned from.
+    Every word of every sample is learned from once a pass: samples are cut into pieces of 8 to 40 words, and the pieces,
+    in random order, are spliced and cut into sequences, which gives the code switches that the transitions are learned
+    from.
     """
     rng = np.random.default_rng(seed)
-    langs = sorted({lang for lang, words in samples if words})
+    langs = sorted({lang for lang, words in samples if len(words)})
     L = len(langs)
     counts: dict[str, int] = {}
     for _, words in samples:
@@ -124,29 +126,26 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 7) -> Crf:
     crf = Crf(langs, lexicon, np.zeros((BUCKETS + len(lexicon), L), np.float32), np.zeros((L, L)), np.zeros(L))
     if L < 2:
         return crf
-    pools = [[words for lang, words in samples if lang == name and words] for name in langs]
     vocabulary = {w: i for i, w in enumerate(counts)}
     features, begins = word_features(list(vocabulary), lexicon)
     owner = np.repeat(np.arange(len(vocabulary)), np.diff([*begins, len(features)]))
-
-    def sequence() -> tuple[list[int], list[int]]:
-        xs: list[int] = []
-        ys: list[int] = []
-        while len(xs) < SEQUENCE_WORDS:
-            y = int(rng.integers(L))
-            words = pools[y][int(rng.integers(len(pools[y])))]
-            n = int(rng.integers(8, 41))
-            a = int(rng.integers(max(1, len(words) - n + 1)))
-            piece = words[a : a + n]
-            xs += map(vocabulary.__getitem__, piece)
-            ys += [y] * len(piece)
-        return xs[:SEQUENCE_WORDS], ys[:SEQUENCE_WORDS]
-
-    X, Y = (np.array(z) for z in zip(*(sequence() for _ in range(SEQUENCES)), strict=True))
+    flat, label, piece = [], [], []
+    pieces = 0
+    for lang, words in samples:
+        sizes = rng.integers(PIECE_WORDS[0], PIECE_WORDS[1] + 1, len(words) // PIECE_WORDS[0] + 1)
+        cut = np.repeat(np.arange(len(sizes)), sizes)[: len(words)]
+        flat.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+        label.append(np.full(len(words), langs.index(lang) if len(words) else 0, np.int32))
+        piece.append(pieces + cut)
+        pieces += len(sizes)
+    shuffle = np.argsort(rng.permutation(pieces)[np.concatenate(piece)], kind="stable")
+    # the last sequence is filled up from the start
+    shuffle = np.resize(shuffle, -(-len(shuffle) // SEQUENCE_WORDS) * SEQUENCE_WORDS)
+    X, Y = (np.concatenate(a)[shuffle].reshape(-1, SEQUENCE_WORDS) for a in (flat, label))
     squares = [np.full_like(p, 1e-6, dtype=np.float64) for p in (crf.weights, crf.transitions, crf.start)]
     hot = np.eye(L)
     for _ in range(PASSES):
-        for at in range(0, SEQUENCES, STEP):
+        for at in range(0, len(X), STEP):
             x, y = X[at : at + STEP], Y[at : at + STEP]
             used, word = np.unique(x, return_inverse=True)
             rows = np.isin(owner, used)
@@ -159,9 +158,9 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 7) -> Crf:
             gamma, pairs = _expectations(scores[word.reshape(x.shape)], crf)
             wrong = gamma - hot[y]
             per_word = np.stack([np.bincount(word.ravel(), wrong[..., k].ravel(), len(used)) for k in range(L)], 1)
-            grad = np.stack([np.bincount(feature, per_word[local, k], len(crf.weights)) for k in range(L)], 1) / STEP
+            grad = np.stack([np.bincount(feature, per_word[local, k], len(crf.weights)) for k in range(L)], 1) / len(x)
             seen = np.stack([np.bincount(y[:, :-1].ravel(), (y[:, 1:] == k).ravel(), L) for k in range(L)], 1)
-            for p, g, s in zip((crf.weights, crf.transitions, crf.start), (grad + 1e-6 * crf.weights, (pairs - seen) / STEP, wrong[:, 0].mean(0)), squares, strict=True):
+            for p, g, s in zip((crf.weights, crf.transitions, crf.start), (grad + 1e-6 * crf.weights, (pairs - seen) / len(x), wrong[:, 0].mean(0)), squares, strict=True):
                 s += g * g
                 p -= (0.3 * g / np.sqrt(s)).astype(p.dtype)
     return crf
@@ -194,14 +193,6 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def spread_words(words: list[str]) -> list[str]:
-    """All words, or of a long text RUNS runs of RUN_WORDS words from its start to its end."""
-    if len(words) <= RUNS * RUN_WORDS:
-        return words
-    last = len(words) - RUN_WORDS
-    return [w for k in range(RUNS) for w in words[k * last // (RUNS - 1) :][:RUN_WORDS]]
-
-
 def hash_edge(share: float) -> int:
     """The signed 64-bit number that this share of all hashes doesn't exceed."""
     return min(2**63 - 1, int(share * 2**64) - 2**63)
@@ -211,13 +202,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from at most TRAIN_DOCS labelled documents that aren't held out. None if there is nothing to learn.
 
     Each language has the same share of them, those with the smallest id hashes, so rare languages are learned too;
-    of more languages than TRAIN_DOCS, those with the most documents are. A long text is seen from start to end in
-    spread_words(). Only documents with hashes below an edge are gathered, set from the number of a language's
-    documents so that about twice its share is; one task learns from the bounded sample, and the model alone comes to
-    the driver.
+    of more languages than TRAIN_DOCS, those with the most documents are. All words of a chosen document count. Only
+    documents with hashes below an edge are gathered, set from the number of a language's documents so that about
+    twice its share is, and of these each task passes on no more than the share; one task learns from the bounded
+    sample, and the model alone comes to the driver.
 
     Null ids, texts and languages: nothing is learned from such rows. Repeated rows count as often as they occur;
     where few ids bear most rows of a language its share may not be filled, but those of its smallest hash are there.
+    Empty table: None. Other columns are ignored.
     """
     labelled = docs.select(
         F.xxhash64(column_or_null(docs, id_col, "long")).alias("h"), column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), column_or_null(docs, lang_col, "string").alias("lang")
@@ -232,20 +224,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def sample(batches):
         import pyarrow as pa
 
+        least: dict[str, list] = {}  # each language's rows of this task that may be chosen: at most twice its share
+
+        def cut(lang: str):
+            rows = least[lang]
+            rows.sort(key=lambda r: r[:2])
+            del rows[quota:]
+
         for batch in batches:
-            words = [spread_words(words_of(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string()))], names=["h", "lang", "words"])
+            for h, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least.setdefault(lang, []).append((h, hashlib.blake2b(text.encode(), digest_size=8).digest(), text))
+                if len(least[lang]) >= 2 * quota:
+                    cut(lang)
+        for lang, rows in least.items():
+            cut(lang)
+            for h, tie, text in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([tie], pa.binary()), pa.array([lang], pa.string()), pa.array([words_of(text)], pa.list_(pa.string()))], names=["h", "tie", "lang", "words"])
 
     def learn(batches):
         import pyarrow as pa
 
-        samples = [(lang, words) for batch in batches for lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if words]
+        seen: dict[str, str] = {}  # one string for each word
+        samples = [(lang.as_py(), [seen.setdefault(w, w) for w in words.as_py()]) for batch in batches for lang, words in zip(*batch.columns, strict=True) if len(words)]
         if samples:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(samples))], pa.binary())], names=["model"])
 
-    near = below.select("h", "text", "lang").mapInArrow(sample, "h long, lang string, words array<string>")
+    near = below.select("h", "text", "lang").mapInArrow(sample, "h long, tie binary, lang string, words array<string>")
     # equal hashes are repeated ids; the bound holds for them too
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "words"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "tie"))
     chosen = near.withColumn("place", order).filter(F.col("place") <= quota)
     found = chosen.repartition(1).sortWithinPartitions("lang", "place").select("lang", "words").mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
@@ -256,7 +262,11 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
 
     Every word of the whole text gets the model's posterior over languages. The prediction is the language with
     the largest mean posterior, the score that mean. The certainty is the mean of each word's own largest posterior,
-    which a mixed text can have as high as any. Null text, a text without letters, or no model: "und", 0.
+    which a mixed text can have as high as any.
+
+    Null text, a text without letters, or no model: "und", 0. Null and repeated ids: each row gives a row. Long texts
+    are tagged whole. Ties go to the language that comes first by name. Columns in `keep` may have any name; the text
+    among them goes to Python once. Empty table: no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -290,7 +300,8 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
         def done(parts):
             whole = pa.Table.from_batches(parts).combine_chunks()
             pred, score, lengths, certainty = tag(whole.column("text").to_pylist())
-            whole = whole.drop_columns(["text"])
+            if text_col not in keep:
+                whole = whole.drop_columns(["text"])
             for name, values in (("lang_pred", pa.array(pred, pa.string())), ("score", pa.array(score)), ("n_words", pa.array(lengths)), ("certainty", pa.array(certainty))):
                 whole = whole.append_column(name, values)
             yield from whole.to_batches()
@@ -307,10 +318,10 @@ def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_co
         if parts:
             yield from done(parts)
 
-    thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema if f.name != "text")
+    thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep if c != text_col))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in thin.schema if f.name != "text" or text_col in keep)
     out = thin.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_words long, certainty double")
-    return out.select(F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "lang_pred", "score", "n_words", "certainty")
+    return out.select(F.col("id").alias(id_col), *(F.col("text" if c == text_col else f"`kept_{c}`").alias(c) for c in keep), "lang_pred", "score", "n_words", "certainty")
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
