@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import Scratch, column_or_null, lower_ascii
 
@@ -192,19 +193,52 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One whole row of each group of exact_groups(); of repeated rows with the id that stays, one.
+    """One whole row of each group of exact_groups(): that with the id that stays; of repeated rows with that id, one.
 
-    Whole rows meet the groups by hash and id, so a group of copies is spread by its ids.
+    As there, but the tries' terminals hold the row that stays so far, so rows move once, and of a group of copies one
+    from each task. Null text counts as empty; null ids rank below any. Long texts are compared whole. Columns may have
+    any name. Empty table: no rows.
     """
-    _, groups = _owned(docs, id_col, text_col, keep)
+    pick = larger if keep == "largest" else smaller
+    whole = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)]
+    text_at = 1 + docs.columns.index(text_col) if text_col in docs.columns else None
+    rows = docs.select(column_or_null(docs, id_col, "long").alias("id"), *(F.col(f"`{c}`").alias(f.name) for c, f in zip(docs.columns, whole, strict=True)))
+
+    def better(a, b):
+        return b if a[0] != b[0] and pick(a[0], b[0]) == b[0] else a
+
+    def collapse(batches, local: bool):
+        import pyarrow as pa
+
+        trie, types, names, place = PatriciaOwners(better, TRIE_BYTES // 3), None, None, text_at
+        for batch in batches:
+            if types is None:
+                skip = 0 if local else 2  # length and hash go ahead
+                types, names = batch.schema.types[skip:], batch.schema.names[skip:]
+            for row in zip(*(c.to_pylist() for c in batch.columns[-len(types) :]), strict=True):
+                key = b"" if place is None or row[place] is None else row[place].encode().lower()
+                trie.add(key, (row[0], row[1:]), 1)
+        out, held = [], 0
+
+        def passed_on():
+            head, rest = zip(*out, strict=True)
+            columns = [pa.array(c, t) for c, t in zip(zip(*head, strict=True), (pa.int64(), pa.binary()), strict=True)] if local else []
+            columns += [pa.array(c, t) for c, t in zip(zip(*rest, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=(["bytes", "hash"] if local else []) + names)
 
-    def key(text_hash, id_):
-        # one string, so that the join and the removal of repeats share an exchange
-        return F.concat_ws(":", text_hash, F.coalesce(id_.cast("string"), F.lit("null")))
+        for key, (own, row), _ in trie.items():
+            out.append(((len(key), hashlib.sha256(key).digest()), (own, *row)))
+            held += len(key) + 100
+            if held >= 4 << 20:
+                yield passed_on()
+                out, held = [], 0
+        if out:
+            yield passed_on()
 
-    keyed = docs.withColumn("__key", key(F.sha2(_normal(docs, text_col), 256), column_or_null(docs, id_col, "long")))
-    wanted = groups.select(key(F.col("text_sha256"), F.col("keep_id")).alias("__key"))
-    return keyed.join(wanted, "__key", "left_semi").dropDuplicates(["__key"]).select(*(f"`{c}`" for c in docs.columns))
+    full = [StructField("id", LongType()), *whole]
+    part = rows.mapInArrow(lambda b: collapse(b, True), StructType([StructField("bytes", LongType()), StructField("hash", BinaryType()), *full]))
+    kept = part.repartition("bytes", "hash").mapInArrow(lambda b: collapse(b, False), StructType(full))
+    return kept.drop("id").toDF(*docs.columns)
 
 
 def _normal(docs: DataFrame, text_col: str):
