@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, before_each, column_or_null, let
+from .common import Scratch, before_each, column_or_null, fresh, let
 
 #: Patterns by kind, in the order in which spans are listed. They match what the plain patterns match, leftmost and
 #: greedy; possessive repeats keep the matcher from recursing, and a local part is tried from its start alone.
@@ -18,9 +18,14 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 #: Long texts are searched in pieces of about so many characters, so that work grows with their length alone. A piece
-#: ends where no match and no word can go on: before or after a space beside a letter, or after a character of none.
+#: ends where no match and no word can go on, so that both parts give what the whole gives: before or after a space
+#: beside a letter, before a plus after a space, or after a character of no match; further between two spaces, and at a
+#: space between short numbers (a card of at most 12 digits counts in neither) - where no phone number can go on: its run
+#: doesn't reach back to a plus, or has had 16 digits already and is none.
 PIECE = 8_000
-CUT = rf"(?s).{{{PIECE}}}.*?(?:\p{{L}}(?= )| (?=\p{{L}})|[^\p{{L}}\p{{N}}\p{{M}}._%+@() -]|\z)|.+"
+NO_PHONE = r"(?:(?<=[^0-9 ().+-][0-9 ().-]{1,40})|(?<=(?:[ ().-]{0,3}[0-9]){16} ))"
+BETWEEN = rf" (?:(?= )|(?=[0-9]{{1,6}}[^0-9 -])(?<=[^0-9 -][0-9]{{1,6}} )){NO_PHONE}"
+CUT = rf"(?s).{{{PIECE}}}.*?(?:\p{{L}}(?= )| (?=[\p{{L}}+])|{BETWEEN}|[^\p{{L}}\p{{N}}\p{{M}}._%+@() -]|\z)|.+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: A term is a word of at least four letters, anywhere in a document that holds an entity.
 TERM = r"\p{L}{4,}"
@@ -41,14 +46,6 @@ def valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _validity(kind: str):
-    return lambda s: valid(kind, s["match"])
-
-
-def _named(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))
-
-
 def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -84,20 +81,43 @@ def pieces_of(text: Column) -> Column:
     return let(parts, placed)
 
 
-def matches_of(text: Column, pattern: str, hint: str | None = None) -> Column:
+def matches_of(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of a piece, in order."""
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    found = let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda v: spans_of(v["g"], v["m"]))
-    return found if hint is None else F.when(text.rlike(hint), found).otherwise(none)
+    return let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), lambda v: spans_of(v["g"], v["m"]))
+
+
+def _of_one_kind(text: Column, kind: str) -> Column:
+    """struct<base, rest>: a piece's valid spans of a kind, and the piece with zeros in their place; null rest without any."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
+
+    def blanked(gap: Column, match: Column) -> Column:
+        return F.concat(gap, F.when(valid(kind, match), F.repeat(F.lit("0"), F.length(match))).otherwise(F.coalesce(match, F.lit(""))))
 
+    def found(v: Column) -> Column:
+        good = F.filter(spans_of(v["g"], v["m"]), lambda s: valid(kind, s["match"]))
+        base = F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
+        rest = F.array_join(F.zip_with(v["g"], v["m"], blanked), "")
+        some = F.exists(v["m"], lambda m: valid(kind, m))
+        return F.struct(F.when(some, base).otherwise(none).alias("base"), F.when(some, rest).alias("rest"))
 
-def base_of(text: Column) -> Column:
-    """array<struct<kind, start, end, match>> of a piece's valid matches, by kind as listed, then start."""
-    return F.concat(*(F.transform(F.filter(matches_of(text, p, HINTS[k]), _validity(k)), _named(k)) for k, p in PATTERNS.items()))
+    pattern = PATTERNS[kind]
+    matched = let(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), found)
+    return F.when(text.rlike(HINTS[kind]), matched).otherwise(F.struct(none.alias("base"), F.lit(None).cast("string").alias("rest")))
 
 
 def _base_of_piece(piece: Column) -> Column:
-    return F.struct(piece["at"].alias("at"), piece["text"].alias("text"), base_of(piece["text"]).alias("base"))
+    """struct<at, text, base, rest>: a piece with its spans, by kind as listed, then start, and what remains without them.
+
+    Spans of one kind leave the joined gaps between them; where several kinds meet in a piece, spans are cut in turn.
+    """
+
+    def whole(kinds: Column) -> Column:
+        base = F.flatten(F.transform(kinds, lambda k: k["base"]))
+        rests = F.filter(F.transform(kinds, lambda k: k["rest"]), lambda r: r.isNotNull())
+        rest = F.when(F.size(rests) == 0, piece["text"]).when(F.size(rests) == 1, F.get(rests, F.lit(0))).otherwise(without_spans(piece["text"], base))
+        return F.struct(piece["at"].alias("at"), piece["text"].alias("text"), base.alias("base"), rest.alias("rest"))
+
+    return let(F.array(*(_of_one_kind(piece["text"], k) for k in PATTERNS)), whole)
 
 
 def _placed(kind: str):
@@ -195,14 +215,16 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = rows.select(*columns, F.transform(pieces_of(F.col("text")), _base_of_piece).alias("pieces"))
     base = F.concat(*(F.flatten(F.transform("pieces", _placed(k))) for k in PATTERNS))
     entities = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.transform(p["base"], lambda s: F.xxhash64(F.lower(s["match"]))))))
-    rest = F.transform("pieces", lambda p: F.struct(p["at"].alias("at"), without_spans(p["text"], p["base"]).alias("text")))
+    rest = F.transform("pieces", lambda p: F.struct(p["at"].alias("at"), p["rest"].alias("text")))
     some = F.exists("pieces", lambda p: F.size(p["base"]) > 0)
     marked = marked.select(*columns, base.alias("base"), F.when(some, entities).alias("entities"), F.when(some, rest).alias("rest"))
     marked = scratch.save(marked, "marked")
 
     private = marked.filter(F.size("base") > 0)
     revealing = disclosing_terms(private.select("row", "entities", "rest"), word_documents(docs, text), marked.count(), scratch)
-    terms = occurrences(private.select("row", "rest"), scratch.save(revealing, "revealing"))
+    revealing = scratch.save(revealing, "revealing")
+    scratch.drop("by_row", "rare")
+    terms = occurrences(private.select("row", "rest"), revealing)
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = marked.select(*columns, "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
     return out.select(F.col("row"), F.col("id").alias(id_col), *(F.col(f"`kept_{c}`").alias(c) for c in keep), "base", "terms")
@@ -231,11 +253,15 @@ def masked(text: Column, base: Column, terms: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with their spans masked in the text; null texts stay null."""
+    """The rows with their spans masked in the text, as masked() does; all rows and columns stay.
+
+    Null texts stay null. Null and repeated ids: each row is masked by its own spans. Long texts are masked whole.
+    Columns of any name are kept. Empty table: no rows.
+    """
     others = tuple(c for c in docs.columns if c != id_col)
-    found = personal_spans(docs, id_col, text_col, keep=others)
-    clean = masked(F.col(f"`{text_col}`"), F.col("__base"), F.col("__terms"))
-    found = found.toDF("__row", id_col, *others, "__base", "__terms")  # by place: the table may have columns of such names
+    row, base, terms = fresh(docs, "row", "base", "terms")
+    found = personal_spans(docs, id_col, text_col, keep=others).toDF(row, id_col, *others, base, terms)
+    clean = masked(F.col(f"`{text_col}`"), F.col(base), F.col(terms))
     return found.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -244,7 +270,11 @@ def joined(spans: Column, kind: Column | None = None) -> Column:
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans: personal_spans() as counts, a digest and text."""
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans: personal_spans() as counts, a digest and text.
+
+    A document without spans has zeros, the digest of the empty string and an empty list. Nulls, repeated rows, long
+    texts and an empty table are as there; other columns are ignored.
+    """
     found = personal_spans(docs, id_col, text_col)
     base, terms = joined(F.col("base")), joined(F.col("terms"), F.lit("term"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
