@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.llm.common import Scratch
+from gapwise.llm.common import Scratch, fresh
 from gapwise.llm.exact_dedup import without_copies
 from gapwise.llm.language_id import fit, identify
 from gapwise.llm.minhash import near_duplicates
@@ -28,8 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole. Empty table: no rows.
     """
     model, others = fit(docs), tuple(c for c in docs.columns if c != "doc_id")
-    kept = identify(docs, model, keep=others).toDF("doc_id", *others, "__lang", "__score", "__words", "__certainty").filter(F.col("__words") > 0)
-    return (kept if model is None else kept.filter(F.col("__certainty") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, words, certainty = fresh(docs, "lang", "score", "words", "certainty")
+    kept = identify(docs, model, keep=others).toDF("doc_id", *others, lang, score, words, certainty).filter(F.col(words) > 0)
+    return (kept if model is None else kept.filter(F.col(certainty) >= LEAST_SCORE)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +49,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay. Null ids rank above any; of rows that repeat an id, one that comes first. Long
     texts count whole. Empty table: no rows.
     """
-    rows = Scratch(spark, "near").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select("__row", "text"), width=5, percent=80, id_col="__row").select("__row", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
-    return rows.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)
+    row, best, component = fresh(docs, "row", "best", "component")
+    rows = Scratch(spark, "near").save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(row, "text"), width=5, percent=80, id_col=row).select(row, F.col("component_id").alias(component))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias(best))
+    kept = found.join(rows.select(row, "doc_id"), row).groupBy(component).agg(F.min(order)[best].alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null. Null ids, ties and repeated rows change nothing but that each row counts as a document.
     Long texts are searched whole. Empty table: no rows.
     """
-    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
