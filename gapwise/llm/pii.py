@@ -23,7 +23,7 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-
 #: space between short numbers (a card of at most 12 digits counts in neither) - where no phone number can go on: its run
 #: doesn't reach back to a plus, or has had 16 digits already and is none.
 PIECE = 8_000
-NO_PHONE = r"(?:(?<=[^0-9 ().+-][0-9 ().-]{1,40})|(?<=(?:[ ().-]{0,3}[0-9]){16} ))"
+NO_PHONE = rf"(?:(?<=[^0-9 ().+-][0-9 ().-]{{1,40}})|(?<={'[ ().-]{0,3}[0-9]' * 16} ))"
 BETWEEN = rf" (?:(?= )|(?=[0-9]{{1,6}}[^0-9 -])(?<=[^0-9 -][0-9]{{1,6}} )){NO_PHONE}"
 CUT = rf"(?s).{{{PIECE}}}.*?(?:\p{{L}}(?= )| (?=[\p{{L}}+])|{BETWEEN}|[^\p{{L}}\p{{N}}\p{{M}}._%+@() -]|\z)|.+"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -91,7 +91,7 @@ def _of_one_kind(text: Column, kind: str) -> Column:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
 
     def blanked(gap: Column, match: Column) -> Column:
-        return F.concat(gap, F.when(valid(kind, match), F.repeat(F.lit("0"), F.length(match))).otherwise(F.coalesce(match, F.lit(""))))
+        return F.concat(gap, F.when(match.isNotNull() & valid(kind, match), F.repeat(F.lit("0"), F.length(match))).otherwise(F.coalesce(match, F.lit(""))))
 
     def found(v: Column) -> Column:
         good = F.filter(spans_of(v["g"], v["m"]), lambda s: valid(kind, s["match"]))
