@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Context, Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gapwise.functions.exact import exact_fixed
+
 # Fixed values
 FNV_OFFSET, FNV_PRIME, WORD = 2166136261, 16777619, 4294967295
 EV_NM = 1239.84
@@ -100,26 +100,6 @@ def atom_radius(role: Column) -> Column:
     return F.when(role == "cation", 0.085).otherwise(0.065)
 
 
-def exact_fixed(v: Column, digits: int) -> Column:
-    """Decimal text of the exact binary value, ties away from zero; a vectorised UDF, for display alone.
-
-    From 1e21 on the shortest text that reads as the value ("1e+21"); "Infinity", "-Infinity" and "NaN"; null for null.
-    A native format goes by the shortest decimal text and would round 1.005 up.
-    """
-    unit, exact = Decimal(1).scaleb(-digits), Context(prec=60, rounding=ROUND_HALF_UP)
-
-    @F.pandas_udf("string")
-    def text(s):
-        return s.map(lambda x: "" if x != x else repr(x) if abs(x) >= 1e21 else str(exact.quantize(Decimal(x), unit)))
-
-    # zero has no sign in a text
-    finite = F.when(v == 0, F.lit(0.0)).otherwise(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), "NaN").when(v == float("inf"), "Infinity").when(v == float("-inf"), "-Infinity")
-        .otherwise(text(F.when(F.abs(v) < float("inf"), finite)))
-    )
-
-
 def parse_number(text: Column) -> Column:
     """The number that a text begins with, after white space; NaN where there is none, null for null."""
     number = F.regexp_extract(text, r"^\s*([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))", 1)

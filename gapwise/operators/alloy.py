@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapwise.functions.exact import exact_fixed
+
 
 def eg_at(a: Column, b: Column, bowing: Column, x: Column) -> Column:
     return (1.0 - x) * a + x * b - bowing * x * (1.0 - x)
@@ -51,7 +53,7 @@ def _virtual_rows(rows: DataFrame) -> DataFrame:
         mixed = F.array(*(F.struct(F.get(F.col(f"{e}.{role}s"), F.lit(0))["symbol"].alias("symbol"), w.alias("frac")) for e, w in (("a", 1.0 - x), ("b", x))))
         return F.when(F.col("varying_sublattice") == role, mixed).otherwise(F.col(f"a.{role}s")).alias(f"{role}s")
 
-    name = F.format_string("%.2f", x)
+    name = exact_fixed(x, 2)
     return rows.select(
         F.concat("system", F.lit("-x"), name).alias("id"),
         F.col("label").alias("formula"),

@@ -14,7 +14,7 @@ from gapwise.functions import scalar as S
 from gapwise.operators import alloy, crystal, features, metrics, predict
 from gapwise.sources import catalog as C
 
-from . import reports
+from . import reports, scale_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -409,7 +409,7 @@ def tbl_last_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.last_of_each(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
-TABLES: dict[str, tuple[Query, str]] = {
+TABLES: dict[str, tuple[Query, str | None]] = {
     "tbl_regression_metrics": (
         tbl_regression_metrics,
         f"""WITH met AS (SELECT l_returnflag, l_extendedprice AS a, l_quantity * p_retailprice AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
@@ -439,10 +439,12 @@ SELECT l_orderkey, line1, line2, round(dist, 6) AS dist FROM pairs QUALIFY dist
     "tbl_last_index": (tbl_last_index, "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1"),
 }
 
+TABLES |= scale_queries.QUERIES
+
 
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in (CATALOG | TABLES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (CATALOG | TABLES).items()}
+    return {name: sql for name, (_, sql) in (CATALOG | TABLES).items() if sql is not None}
