@@ -20,8 +20,8 @@ TRAIN_DOCS = 2_000
 PIECE_WORDS, SEQUENCE_WORDS, PASSES, STEP = (8, 40), 64, 3, 300
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
-#: Characters that a task tags together.
-BLOCK_CHARS = 6_000_000
+#: Characters that a task tags together, and words whose features it holds at a time.
+BLOCK_CHARS, WORDS_AT_ONCE = 3_000_000, 20_000
 UNDETERMINED = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,8 +74,11 @@ class Crf:
     start: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        features, begins = word_features(words, self.lexicon)
-        return np.add.reduceat(self.weights[features], begins, axis=0).astype(np.float64)
+        out = np.empty((len(words), len(self.langs)))
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            features, begins = word_features(words[at : at + WORDS_AT_ONCE], self.lexicon)
+            out[at : at + WORDS_AT_ONCE] = np.add.reduceat(self.weights[features], begins, axis=0)
+        return out
 
     def marginals(self, scores: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The posterior of each word of each sequence, by forward-backward; sequences stand one after another.
