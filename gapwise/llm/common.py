@@ -1,15 +1,15 @@
-"""What several operators share: table access, row shapes and materialised intermediate tables."""
+"""What several operators share: table access and row shapes; stored intermediate tables come from the library."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapwise.sources.store import Scratch, close_all, fresh, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,17 +23,6 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for columns of our own that the table doesn't have, whatever the case of its letters."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z alone; every other character stays."""
     return F.translate(text, UPPER, LOWER)
@@ -86,60 +75,6 @@ def grouped(batches, keys: int):
         yield key, pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where none is set and Spark runs in one process (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(sc, "_gapwise_shared", None)
-        if base is None:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = sc._gapwise_shared = "file://" + tempfile.mkdtemp(prefix="gapwise-")
-            sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut the lineage and outlive executors.
-
-    drop() removes a table that no later step reads; the rest live as long as the results that read them.
-    """
-
-    opened: list[Scratch] = []
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        Scratch.opened.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Deletes these tables."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        """Deletes all tables; results that read them can't be computed any more."""
-        self.drop("")
-
-
-def close_all(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of all operators of this session, once their results are stored elsewhere."""
-    while Scratch.opened:
-        scratch = Scratch.opened.pop()
-        if scratch.spark.sparkContext is spark.sparkContext:
-            scratch.close()
-
-
 class WordCache(dict):
     """A dictionary of bounded size. Frequent words come early, so trim() keeps the earlier half and drops the later."""
 

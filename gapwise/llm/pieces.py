@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 
@@ -166,27 +167,34 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """Encodes and decodes whole texts as the sentencepiece library does: id, n_tokens, ids_sha256, decoded_sha256.
 
     With with_content also ids and decoded. Nothing is shuffled; a task holds a few hundred texts and caches of
-    bounded size. In each Arrow batch the new segments and one whole text, its decoding included, are checked
-    against the library; a difference is an error.
+    bounded size. The new segments are checked against the library, and so are, with their decodings, one whole text
+    of each 256, chosen by its hash, and the longest of each Arrow batch; a difference is an error.
 
-    Null text: as empty, begin and end ids alone. Null and repeated ids: each row gives a row. Empty table: no rows.
+    Null text: as empty, begin and end ids alone. Null and repeated ids: each row gives a row. Long texts are encoded
+    whole. Other columns are ignored. Empty table: no rows.
     """
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute
 
         coder = _encoder(model_path)
         library = coder.v.library
         for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            longest = int(sizes.argmax()) if len(sizes) else 0
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 packed = coder.encode(texts)
                 decoded = [coder.decode(p) for p in packed]
-                probe = min(range(len(texts)), key=lambda k: abs(len(texts[k]) - 2000))
-                ids = library.encode(texts[probe], add_bos=True, add_eos=True)
-                if coder.pack(ids) != packed[probe] or library.decode(ids) != decoded[probe]:
-                    raise ValueError(f"text {texts[probe][:200]!r} differs from the library's")
+                probes = {min(range(len(texts)), key=lambda k: zlib.crc32(packed[k]))}
+                if at <= longest < at + len(texts):
+                    probes.add(longest - at)
+                for k in probes:
+                    ids = library.encode(texts[k], add_bos=True, add_eos=True)
+                    if coder.pack(ids) != packed[k] or library.decode(ids) != decoded[k]:
+                        raise ValueError(f"text {texts[k][:200]!r} differs from the library's")
                 columns = [
                     part.column(0),
                     pa.array([len(p) // 4 for p in packed], pa.int64()),

@@ -100,3 +100,18 @@ longer AS (
 )
 SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+#: Base32 of 20 bytes: each five hexadecimal digits are four letters.
+_LETTERS = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * g + 1, 5))::BIGINT >> (15 - 5 * k)) & 31)::INTEGER + 1, 1)"
+
+OP5_SQL = f"""
+WITH payloads AS (
+  SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), letters AS (SELECT row, g, k, {_LETTERS} AS letter FROM payloads, range(8) a(g), range(4) b(k)),
+digests AS (SELECT row, string_agg(letter, '' ORDER BY g, k) AS payload_digest FROM letters GROUP BY row),
+owners AS (SELECT payload, min(page_id) AS owner FROM payloads GROUP BY payload)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN owner IS NULL OR page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN owner IS NULL OR page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM payloads JOIN digests USING (row) JOIN owners USING (payload)
+"""
