@@ -36,12 +36,19 @@ def _suffixes(docs: DataFrame, most_words: int, text_col: str, lang_col: str) ->
 
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = held.setdefault(lang.as_py().encode(), Counter())
+                lang = lang.as_py().encode()
                 for piece in text.as_py().translate(NORMAL).split(b"\n"):
                     words = piece.split()
-                    own.update(map(b" ".join, zip(*(words[k:] for k in range(most_words)))))
-                    own.update(b" ".join(words[k:]) for k in range(max(0, len(words) - most_words + 1), len(words)))
-                if len(own) > HELD_SUFFIXES or sum(map(len, held.values())) > HELD_SUFFIXES:
+                    whole = max(0, len(words) - most_words + 1)
+                    own = held.setdefault(lang, Counter())
+                    own.update(b" ".join(words[k:]) for k in range(whole, len(words)))
+                    for at in range(0, whole, ROWS):  # a piece may be long
+                        end = min(whole, at + ROWS)
+                        own = held.setdefault(lang, Counter())
+                        own.update(map(b" ".join, zip(*(words[at + k : end + k] for k in range(most_words)))))
+                        if len(own) > HELD_SUFFIXES:
+                            yield from passed_on()
+                if sum(map(len, held.values())) > HELD_SUFFIXES:
                     yield from passed_on()
         yield from passed_on()
 
