@@ -19,7 +19,7 @@ from .packing import pack_documents
 from .pii import span_digests
 from .pieces import encode_decode
 from .sharding import byte_shards
-from .sql import OP2_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
+from .sql import OP1_SQL, OP2_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from .warc import archive_pages, read_archives
 
 
@@ -123,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op10_embedding_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_mixing": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_minhash": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op10_embedding_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_mixing": OP12_SQL, "op13_collocations": OP13_SQL}

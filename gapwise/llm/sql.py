@@ -115,3 +115,20 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN owner IS NULL OR page_id = owner THEN NULL ELSE owner END AS refers_to
 FROM payloads JOIN digests USING (row) JOIN owners USING (payload)
 """
+
+#: The checksum's table by its rule (polynomial 0xEDB88320), and a text's bytes folded with it.
+OP1_SQL = """
+WITH RECURSIVE shifts AS (
+  SELECT b, 0 AS k, b AS c FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM shifts WHERE k < 8
+), lookup AS (SELECT list(c ORDER BY b) AS t FROM shifts WHERE k = 8),
+rows AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT + 1 AS size, hex(coalesce(text, '')) AS digits FROM documents),
+bytes AS (SELECT doc_id, size, list_transform(range(size - 1), lambda k: ('0x' || substr(digits, 2 * k + 1, 2))::BIGINT) AS b FROM rows),
+sums AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[1 + xor(c, x) % 256])), 4294967295) AS text_crc32 FROM bytes, lookup
+), ranged AS (
+  SELECT *, sum(size) OVER o AS upto, row_number() OVER o AS place, sum(size) OVER () AS whole FROM sums
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), placed AS (SELECT *, least(((2 * upto - size) * 8) // (2 * whole), 7)::INTEGER AS shard FROM ranged)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM placed
+"""
