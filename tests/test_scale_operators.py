@@ -29,10 +29,10 @@ def fixed(v, digits):
 
 def test_exact_texts(spark):
     r = random.Random(1)
-    values = [v for _ in range(60_000) if not abs(v := struct.unpack("<d", r.randbytes(8))[0]) >= 1e21]
-    values += [r.uniform(-1e6, 1e6) for _ in range(60_000)] + [r.randrange(-(10**9), 10**9) / 1000 for _ in range(60_000)]
-    values += [r.randrange(-(2**40), 2**40) / 2 ** r.randrange(30) for _ in range(60_000)] + [float(r.randrange(2**52, 2**69)) for _ in range(20_000)]
-    values += [x for d in range(9) for k in range(3000) for x in ((k + 0.5) / 10**d, math.nextafter((k + 0.5) / 10**d, -1.0))]
+    values = [v for _ in range(20_000) if not abs(v := struct.unpack("<d", r.randbytes(8))[0]) >= 1e21]
+    values += [r.uniform(-1e6, 1e6) for _ in range(20_000)] + [r.randrange(-(10**9), 10**9) / 1000 for _ in range(20_000)]
+    values += [r.randrange(-(2**40), 2**40) / 2 ** r.randrange(30) for _ in range(20_000)] + [float(r.randrange(2**52, 2**69)) for _ in range(20_000)]
+    values += [x for d in range(9) for k in range(1000) for x in ((k + 0.5) / 10**d, math.nextafter((k + 0.5) / 10**d, -1.0))]
     values += [0.0, -0.0, math.inf, -math.inf, math.nan, 0.9999999999999999, -0.5, 2.0**52 - 0.5, 5e-324, 999.995, 1e15 + 0.5]
     digits = (0, 1, 2, 3, 11, 12, 15)
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4).select("v", *(exact_fixed(F.col("v"), d).alias(f"d{d}") for d in digits))
@@ -234,7 +234,7 @@ def test_ranked_values(spark):
     r = random.Random(6)
     rows = [("hot", r.choice([r.gauss(0, 1), 10.0 ** r.uniform(-300, 300), 3.0, -1e308, 1e308])) for _ in range(3000)] + [("few", 2.0), ("same", 1.0), ("same", 1.0), (None, 5.0), ("nan", math.nan), ("null", None), ("few", -1.0)]
     df = spark.createDataFrame(rows, "grp string, v double").repartition(5)
-    for share in (0.0, 0.31, 0.9, 1.0, 1.2):
+    for share in (0.0, 0.31, 0.9, 1.2):
         got = {x.grp: (x.n, x["rank"], x.value) for x in calibration.ranked_values(df, "grp", F.col("v"), F.ceil(F.col("n") * F.lit(share))).collect()}
         by = collections.defaultdict(list)
         for g, v in rows:
