@@ -84,9 +84,13 @@ class WordCache(dict):
 
     def trim(self) -> None:
         if len(self) > self.limit:
-            kept = list(islice(self.items(), self.limit // 2))
-            self.clear()
-            self.update(kept)
+            self.shrink(self.limit // 2)
+
+    def shrink(self, size: int) -> None:
+        """Keeps the first `size` entries, so that a worker that waits for its next task holds little."""
+        kept = list(islice(self.items(), size))
+        self.clear()
+        self.update(kept)
 
 
 class WordHashes(dict):

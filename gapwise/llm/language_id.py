@@ -21,7 +21,7 @@ PIECE_WORDS, SEQUENCE_WORDS, PASSES, STEP = (8, 40), 64, 3, 300
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
 #: Characters that a task tags together, and words whose features it holds at a time.
-BLOCK_CHARS, WORDS_AT_ONCE = 3_000_000, 20_000
+BLOCK_CHARS, WORDS_AT_ONCE = 2_000_000, 20_000
 UNDETERMINED = "und"
 
 WORD = re.compile(r"[^\W\d_]+")

@@ -56,6 +56,11 @@ def normal_words(text: str | None) -> bytes:
 _hashes = WordHashes(400_000)
 
 
+def forget_words() -> None:
+    """At a task's end: a worker that waits for its next task holds little."""
+    _hashes.clear()
+
+
 def word_hashes(normal: bytes) -> np.ndarray:
     """64 bits of the BLAKE2 hash of each word; long texts in chunks."""
     out, at = [np.empty(0, np.uint64)], 0
@@ -129,6 +134,7 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                 rows = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), part.column(1)], names=["row", "id", "class", "n", "bands", "text"])
+        forget_words()
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
     return thin.mapInArrow(run, "row long, id long, class binary, n long, bands array<long>, text string")
@@ -178,6 +184,7 @@ def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str, sc
                     pair = part.column(5).take(pa.array(taken))
                     values = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), arrow_kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*pair.flatten(), *values], names=names)
+        forget_words()
 
     schema = F.struct(*pairs.columns)
     given = pairs.select(schema.alias("pair")).schema["pair"].dataType.fields

@@ -22,7 +22,8 @@ TIERS = (1024, 512, 256, 128, 64)
 BLOCK_TOKENS = 4_000_000
 #: Tokens of one step; a block's steps get near-equal tokens from windows of all tiers.
 STEP_TOKENS = 8 * CONTEXT
-CACHED_WORDS = 900_000
+#: Words whose ids a task remembers, and those that a worker keeps while it waits for its next task.
+CACHED_WORDS, CACHED_BETWEEN_TASKS = 900_000, 50_000
 #: Pieces, of at most CONTEXT tokens each, that leave a task together.
 BATCH_PIECES = 4_000
 
@@ -118,6 +119,11 @@ def byte_bpe_encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
                 raise ValueError(f"ids of {texts[probe][:200]!r} differ from the library's")
         return out
 
+    def rest() -> None:
+        for cache in (spaced, others, words):
+            cache.shrink(CACHED_BETWEEN_TASKS)
+
+    encode.rest = rest
     return encode
 
 
@@ -276,6 +282,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
                     yield from flush(False)
         if pieces:
             yield from flush(True)
+        encode.rest()
 
     thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), column_or_null(docs, text_col, "string").alias("text"))
     kinds = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long" + ", ids array<int>" * with_ids
