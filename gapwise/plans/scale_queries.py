@@ -158,17 +158,15 @@ def metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for p in parts:
         m = metrics.metrics_of_states(p)
-        for c, kind in (("year", "int"), ("l_returnflag", "string")):
-            if c not in m.columns:
-                m = m.withColumn(c, F.lit(None).cast(kind))
-        m = m.select("year", "l_returnflag", F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), F.round("r2", 8).alias("r2"), "n")
+        year, flag = (F.col(c).cast("string") if c in m.columns else F.lit("all") for c in ("year", "l_returnflag"))
+        m = m.select(year.alias("year"), flag.alias("l_returnflag"), F.round("mae", 3).alias("mae"), F.round("rmse", 3).alias("rmse"), F.round("r2", 8).alias("r2"), "n")
         out = m if out is None else out.unionByName(m)
     return out
 
 
 METRIC_STATES_SQL = f"""
 WITH {SCORED_SQL}
-SELECT year(l_shipdate)::INTEGER AS year, l_returnflag, round(avg(abs(predicted - l_extendedprice)), 3) AS mae,
+SELECT coalesce(year(l_shipdate)::VARCHAR, 'all') AS year, coalesce(l_returnflag, 'all') AS l_returnflag, round(avg(abs(predicted - l_extendedprice)), 3) AS mae,
   round(sqrt(avg((predicted - l_extendedprice) * (predicted - l_extendedprice))), 3) AS rmse,
   round(1 - sum((predicted - l_extendedprice) * (predicted - l_extendedprice)) / (var_pop(l_extendedprice) * count(*)), 8) AS r2, count(*)::BIGINT AS n
 FROM scored GROUP BY GROUPING SETS ((year(l_shipdate), l_returnflag), (year(l_shipdate)), ())
