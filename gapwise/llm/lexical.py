@@ -17,8 +17,7 @@ BLOCK, SEGMENT_DOCS, SEGMENT_POSTINGS = 64, 16_384, 2_000_000
 QUERY_BLOCK, STRIDE = 256, 2_048
 #: Weights of the length in a document's m, in hundredths.
 BASE, SLOPE = 10, 90
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The same for UTF-8: bytes that are in no term become spaces, A-Z become a-z.
+#: What of UTF-8 is in no term becomes spaces, A-Z become a-z.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 ROWS = 100_000
 
@@ -118,8 +117,17 @@ class LexicalIndex:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.scratch = Scratch(docs.sparkSession, "lexical")
         text = column_or_null(docs, text_col, "string")
-        counted = docs.select(F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long").alias("n")).filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-        count, words = self.docs, self.words = counted[0], counted[1] or 0
+        thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+
+        def lengths(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                sizes = [n for text in batch.column(0) if (n := len(terms_of(text.as_py())))]
+                yield pa.RecordBatch.from_arrays([pa.array([len(sizes)]), pa.array([sum(sizes)])], names=["docs", "words"])
+
+        counted = thin.select("text").mapInArrow(lengths, "docs long, words long").agg(F.sum("docs"), F.sum("words")).first()
+        count, words = self.docs, self.words = counted[0] or 0, counted[1] or 0
 
         def run(batches):
             number = TaskContext.get().partitionId() << 32
@@ -133,7 +141,6 @@ class LexicalIndex:
             if segment.ids:
                 yield from segment.rows(number, count, words)
 
-        thin = docs.select(column_or_null(docs, id_col, "long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
         self.rows = self.scratch.save(thin.mapInArrow(run, "segment long, term string, block int, first int, last int, n int, impact long, data binary"), "index")
 
 
