@@ -140,6 +140,34 @@ def signatures(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     return thin.mapInArrow(run, "row long, id long, class binary, n long, bands array<long>, text string")
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, row) of all buckets that hold several, after one shuffle of thin rows, and few others.
+
+    Ranges of (bucket, row) put a hot bucket into many tasks. A task passes on rows beside another one of their bucket,
+    and its first and last row, whose buckets may go on in the ranges next to it.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            bucket = table.column(0).to_numpy()
+            same = bucket[1:] == bucket[:-1]
+            wanted = np.append(False, same) | np.append(same, False)
+            wanted[0] |= held is None or also
+            # the last row waits for what follows
+            yield from table.slice(0, len(bucket) - 1).filter(pa.array(wanted[:-1])).to_batches()
+            held, also = table.slice(len(bucket) - 1).to_batches()[0], bool(wanted[-1])
+        if held is not None:
+            yield held
+
+    return rows.repartitionByRange("bucket", "row").sortWithinPartitions("bucket", "row").mapInArrow(run, "bucket long, row long")
+
+
 def beside(pairs: DataFrame, texts: DataFrame, width: int, found, kinds: str, scratch: Scratch, name: str) -> DataFrame:
     """What found(head, own) gives for each pair (g, m), as columns of `kinds` after those of `pairs`.
 
@@ -360,7 +388,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = scratch.save(signatures(docs, width, percent, id_col, text_col), "signed")
     classes = signed.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.save(classes, "classes")
-    rows = classes.select("row", F.explode("bands").alias("bucket"))
+    rows = scratch.save(repeated(classes.select(F.explode("bands").alias("bucket"), "row")), "repeated")
     buckets = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
     shared = scratch.save(rows.join(buckets, "bucket").select("bucket", "row", "size"), "shared")
     central = scratch.save(shared.groupBy("row").agg(F.sum("size").alias("score")), "central")
@@ -407,7 +435,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         pairs = scratch.save(candidates(listed, percent), "pairs")
         links = scratch.save(compared(pairs, texts, width, percent, scratch, "pairs").filter("linked"), "links")
         roots = _united(roots, links, scratch, "roots")
-    scratch.drop("texts", "shared", "buckets", "picks", "groups", "differences", "elements", "own", "listed", "members")
+    scratch.drop("texts", "repeated", "shared", "buckets", "picks", "groups", "differences", "elements", "own", "listed", "members")
 
     joined = classes.select("class", "first_id", "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("class", "first_id", F.coalesce("root", "row").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
