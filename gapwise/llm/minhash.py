@@ -393,6 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = scratch.save(rows.join(buckets, "bucket").select("bucket", "row", "size"), "shared")
     central = scratch.save(shared.groupBy("row").agg(F.sum("size").alias("score")), "central")
     texts = scratch.save(signed.select("row", "text").join(central.select("row"), "row", "left_semi"), "texts")
+    scratch.sweep()
     first = F.max(F.struct("score", "row"))["row"].alias("g")
     picks = scratch.save(shared.join(central, "row").groupBy("bucket").agg(first), "picks")
     asked = scratch.save(shared.join(picks, "bucket").filter("row != g").select("g", F.col("row").alias("m")).distinct(), "asked-0")
@@ -406,6 +407,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         outer = _rooted(tested.select("g", "m"), roots).filter("root != g_root")
         open_ = outer.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("g")
         outer = scratch.save(outer.join(open_, "g").select("g", "m", "root"), f"outer-{level}")
+        scratch.sweep()
         if level == LEVELS or outer.isEmpty():
             break
         heads = outer.join(central, F.col("m") == F.col("row")).groupBy("g").agg(F.max(F.struct("score", "m"))["m"].alias("head"))
@@ -430,11 +432,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = scratch.save(compared(scratch.save(central_pairs(whole), "central-pairs"), texts, width, percent, scratch, "central").filter("linked"), "central-links")
         roots = _united(roots, links, scratch, "roots-central")
         now = roots.select(F.col("node").alias("m"), F.col("root").alias("to"))
+        scratch.sweep()
         whole = whole.join(now, "m", "left").withColumn("root", F.coalesce("to", "m")).drop("to")
         listed = scratch.save(listed_elements(whole, ranks, percent), "listed")
         pairs = scratch.save(candidates(listed, percent), "pairs")
         links = scratch.save(compared(pairs, texts, width, percent, scratch, "pairs").filter("linked"), "links")
         roots = _united(roots, links, scratch, "roots")
+    scratch.sweep()
     scratch.drop("texts", "repeated", "shared", "buckets", "picks", "groups", "differences", "elements", "own", "listed", "members")
 
     joined = classes.select("class", "first_id", "row").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("class", "first_id", F.coalesce("root", "row").alias("root"))
@@ -455,6 +459,8 @@ def _united(roots: DataFrame | None, links: DataFrame, scratch: Scratch, name: s
     """(node, root) after the links (g, m) as well; the new links join roots of before."""
     if roots is None:
         return scratch.save(connected_components(links.select(F.col("g").alias("a"), F.col("m").alias("b")), scratch, f"{name}-c"), name)
+    if links.isEmpty():
+        return roots
     step = connected_components(_rooted(links.select("g", "m"), roots).select(F.col("root").alias("a"), F.col("g_root").alias("b")), scratch, f"{name}-c")
     step = scratch.save(step, f"{name}-step")
     moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))

@@ -49,6 +49,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Has the driver collect its garbage: Spark then deletes shuffle files and broadcasts of steps that are over, which
+        it does for references that are gone, and the heap shrinks."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         """Deletes all tables; results that read them can't be computed any more."""
         self.drop("")

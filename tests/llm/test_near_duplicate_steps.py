@@ -1,4 +1,4 @@
-"""What near-duplicate detection shuffles."""
+"""What near-duplicate detection shuffles, and how many jobs it starts."""
 
 import random
 from collections import Counter
@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 
 from gapwise.llm import minhash
+from gapwise.llm.common import Scratch
+from gapwise.llm.components import connected_components
 
 
 def shuffled_rows(spark, act):
@@ -22,6 +24,18 @@ def shuffled_rows(spark, act):
     return sum(rows for stage, rows in stages().items() if stage not in before)
 
 
+def jobs(spark, act):
+    """The number of jobs that act() starts, and what it returns."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "")
+    before = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    out = act()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    count = len(sc.statusTracker().getJobIdsForGroup("counted")) - before
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return count, out
+
+
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_repeated_buckets(spark, size):
     """All rows of buckets with several are passed on, hot ones too, and few others; batches may be short."""
@@ -51,3 +65,15 @@ def test_band_rows_are_shuffled_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     bands = 300 * minhash.band_count(85)
     assert bands <= rows < 1.6 * bands
+
+
+def test_few_jobs_without_links(spark):
+    """Stars need no round of components, and no links none of their steps."""
+    edges = spark.createDataFrame([(k, 100 * (k // 100)) for k in range(1, 500)], "a long, b long")
+    count, got = jobs(spark, lambda: connected_components(edges, Scratch(spark, "t"), "c").collect())
+    assert {x.node: x.root for x in got} == {k: 100 * (k // 100) for k in range(500)}
+    assert count <= 10
+    roots = connected_components(edges, Scratch(spark, "t"), "c")
+    links = spark.createDataFrame([], "g long, m long")
+    count, got = jobs(spark, lambda: minhash._united(roots, links, Scratch(spark, "t"), "u"))
+    assert count <= 3 and got.count() == 500
