@@ -458,11 +458,10 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _united(roots: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) after the links (g, m) as well; the new links join roots of before."""
     if roots is None:
-        return scratch.save(connected_components(links.select(F.col("g").alias("a"), F.col("m").alias("b")), scratch, f"{name}-c"), name)
+        return connected_components(links.select(F.col("g").alias("a"), F.col("m").alias("b")), scratch, name)
     if links.isEmpty():
         return roots
-    step = connected_components(_rooted(links.select("g", "m"), roots).select(F.col("root").alias("a"), F.col("g_root").alias("b")), scratch, f"{name}-c")
-    step = scratch.save(step, f"{name}-step")
+    step = connected_components(_rooted(links.select("g", "m"), roots).select(F.col("root").alias("a"), F.col("g_root").alias("b")), scratch, f"{name}-step")
     moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     new = step.join(roots.select("node"), "node", "left_anti").select("node", "root")
     return scratch.save(moved.unionByName(new), name)

@@ -25,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut the lineage and outlive executors.
 
-    drop() removes a table that no later step reads; the rest live as long as the results that read them.
+    drop() removes a table that no later step reads; the rest live as long as the results that read them. After each
+    table the driver collects its garbage, if its heap has grown to more than HEAP_SHARE of what it may take.
     """
 
+    HEAP_SHARE = 0.5
     opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,6 +42,9 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        runtime = self.spark.sparkContext._jvm.Runtime.getRuntime()
+        if runtime.totalMemory() > self.HEAP_SHARE * runtime.maxMemory():
+            self.sweep()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

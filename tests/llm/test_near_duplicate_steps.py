@@ -24,6 +24,28 @@ def shuffled_rows(spark, act):
     return sum(rows for stage, rows in stages().items() if stage not in before)
 
 
+def tasks(spark, act):
+    """The number of tasks that act() runs where shuffles have 40 partitions, and what it returns."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).numCompleteTasks() for k in range(found.size())}
+
+    hot = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in hot}
+    before = stages()
+    for k, v in hot.items():
+        spark.conf.set(k, v)
+    try:
+        out = act()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return sum(n for stage, n in stages().items() if stage not in before), out
+
+
 def jobs(spark, act):
     """The number of jobs that act() starts, and what it returns."""
     sc = spark.sparkContext
@@ -77,3 +99,22 @@ def test_few_jobs_without_links(spark):
     links = spark.createDataFrame([], "g long, m long")
     count, got = jobs(spark, lambda: minhash._united(roots, links, Scratch(spark, "t"), "u"))
     assert count <= 3 and got.count() == 500
+
+
+def test_few_tasks_of_components(spark):
+    """A turn's tables are stored, so none is computed or shuffled twice, and one aggregate tells that there is no more to do."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 90) if k % 30 < 25], "a long, b long")
+    count, got = tasks(spark, lambda: connected_components(edges, Scratch(spark, "t"), "c").collect())
+    assert {x.node: x.root for x in got} == {k: 30 * (k // 30) for k in range(90) if k % 30 < 26}
+    assert len(got) == 78
+    assert count <= 1000
+
+
+def test_grown_heap_is_collected(spark, monkeypatch):
+    """After a table, the driver collects its garbage if its heap is over the share."""
+    swept, rows = [], spark.range(3)
+    monkeypatch.setattr(Scratch, "sweep", lambda self: swept.append(1))
+    monkeypatch.setattr(Scratch, "HEAP_SHARE", 2)
+    assert Scratch(spark, "t").save(rows, "a").count() == 3 and not swept
+    monkeypatch.setattr(Scratch, "HEAP_SHARE", 0)
+    assert Scratch(spark, "t").save(rows, "a").count() == 3 and swept == [1]
