@@ -49,8 +49,9 @@ def clamp(v: Column, low: float, high: float) -> Column:
 
 
 def ev_to_nm(eg: Column) -> Column:
-    """Infinite at 0, where plain division would fail."""
-    return F.when(eg == 0, F.lit(float("inf"))).otherwise(F.lit(EV_NM) / F.when(eg != 0, eg))
+    """Infinite at 0, with the zero's sign, where plain division would fail."""
+    infinite = F.when(eg.cast("double").cast("string") == "-0.0", float("-inf")).otherwise(float("inf"))
+    return F.when(eg == 0, infinite).otherwise(F.lit(EV_NM) / F.when(eg != 0, eg))
 
 
 def track_percent(v: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapwise.functions import scalar as S
+from gapwise.functions.exact import rounded_product
 from gapwise.operators import alloy, crystal, features, metrics, predict
 from gapwise.sources import catalog as C
 
@@ -372,7 +373,7 @@ def tbl_clamp_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tbl_ev_to_nm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_table(spark, sf_dir, "events").select("event_id", S.ev_to_nm(F.col("value")).alias("nm")), 4)
+    return _table(spark, sf_dir, "events").select("event_id", rounded_product(S.ev_to_nm(F.col("value")), 4).alias("nm"))
 
 
 def tbl_bowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from decimal import ROUND_HALF_UP, Context, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from gapwise.functions.exact import exact_fixed, let, with_product
+from gapwise.functions.exact import exact_fixed, let, rounded_product, with_product
 from gapwise.operators import alloy, boosting, calibration, fingerprint, metrics, ordered, quality, spatial
 from gapwise.sources import catalog as C
 from gapwise.sources.store import fresh
@@ -52,6 +52,40 @@ def test_products_are_exact(spark):
     assert spark.range(1).select(let(F.lit(3), lambda x: x * x)).first()[0] == 9
 
 
+def test_rounding_by_products(spark):
+    """As DuckDB rounds, at ties above all."""
+    import duckdb
+
+    r = random.Random(5)
+    values = [k / p for p in (640, 512, 3) for k in range(-500, 2500)] + [v for _ in range(5000) if math.isfinite(v := struct.unpack("<d", r.randbytes(8))[0])]
+    values += [3.22875, 0.064062500000000001, 1e305, -1e305, 2.0**52 / 1e4, 0.0, -0.0, math.inf, -math.inf]
+    duck = duckdb.connect()
+    duck.execute("create table t(k bigint, v double)")
+    duck.executemany("insert into t values (?, ?)", list(enumerate(values)))
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    for digits in (0, 4, 6):
+        want = duck.sql(f"select k, round(v, {digits}) from t order by k").fetchall()
+        got = df.select("k", rounded_product(F.col("v"), digits)).orderBy("k").collect()
+        assert [(k, repr(x)) for k, x in map(tuple, got)] == [(k, repr(x)) for k, x in want]
+    odd = spark.createDataFrame([(math.nan,), (None,)], "v double").select(rounded_product(F.col("v"), 4).alias("r")).collect()
+    assert math.isnan(odd[0].r) and odd[1].r is None
+
+
+def test_wavelengths_match_their_sql(spark, tmp_path):
+    """Of all gaps in hundredths up to 2000, the tie at 384 differed; zeros keep their sign."""
+    import duckdb
+
+    from gapwise.plans import queries as plans
+
+    gaps = spark.range(200_001).select(F.col("id").alias("event_id"), (F.col("id") / 100).alias("value"))
+    odd = spark.createDataFrame([(-1, -0.0), (-2, None), (-3, -3.84), (-4, 1e-320)], "event_id long, value double")
+    gaps.unionByName(odd).write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = plans.TABLES["tbl_ev_to_nm"]
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {r.event_id: r.nm for r in query(spark, str(tmp_path)).collect()} == dict(duck.sql(sql).fetchall())
+
+
 def test_virtual_ids_go_by_the_exact_value(spark):
     """0.145 is a little less than its text, so its id, which seeds the jitter, ends in 0.14."""
     asked = spark.createDataFrame([("InGaAs", 0.145), ("InGaAs", 0.47)], "system string, x double")
