@@ -1,22 +1,44 @@
-"""Neighbours in space by cell lists: pairs at a key's least distance, and coordination under periodic boundaries.
+"""Neighbours in space: pairs at a key's least distance, and coordination under periodic boundaries.
 
-Points go to the cells of a grid whose side is the distance that matters, so each point meets those of 27 cells and no
-others; a key's points are never paired as a whole.
+Points are shuffled once, by key, and tasks sweep keys of up to SWEPT points along one axis. The points of larger keys go
+to the cells of a grid whose side is the distance that matters, so each point meets those of 27 cells and no others, in
+any number of tasks; a key's points are never paired as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gapwise.sources.store import Scratch
 
+#: Points of a key that one task sweeps, and about how many of all keys it takes.
+SWEPT, SWEPT_BY_TASK = 20_000, 250_000
+
 AXES = ("x", "y", "z")
 #: Grids by whose finest mixed cell the least distance is bounded: levels halve the side, shifts keep near points from
 #: lying on both sides of all borders.
 LEVEL_BITS, SHIFTS = 5, 4
 
 
+def _large_keys(points: DataFrame, good: Column, scratch: Scratch) -> tuple[DataFrame, int, int, int]:
+    """(key) of more than SWEPT points that are good; how many keys those are, and how many points there are and are good."""
+    counts = Observation(f"points-{uuid.uuid4().hex}")
+    seen = points.observe(counts, F.count(F.lit(1)).alias("points"), F.count_if(good).alias("good"))
+    large = scratch.save(seen.filter(good).groupBy("key").count().filter(F.col("count") > SWEPT).select("key"), "large")
+    found = counts.get
+    return large, large.count(), found["points"], found["good"]
+
+
+def _by_key(points: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The points in order of their keys, as many partitions as they need and no fewer than shuffles have."""
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SWEPT_BY_TASK))
+    return points.repartition(parts, key).sortWithinPartitions(key)
+
+
 def _cell(v: Column, side: Column) -> Column:
     """The cell's number; where the side is 0 the place itself, so that equal places alone meet."""
     return F.when(side > 0, F.floor(v / F.when(side > 0, side)).cast("double")).otherwise(v)
@@ -104,50 +126,111 @@ def coordination(points: DataFrame, key: str, id_col: str, box: tuple[float, flo
     """(key, id, neighbours, mean, m2, least): for each point, its neighbours up to `cutoff` away and the moments of
     their distances, where each key's points repeat with the periods `box`. m2 is the sum of squared deviations.
 
-    Cells of at least the cutoff's side are wrapped around the box, and a step over its border moves the neighbour by a
-    period; a cutoff beyond a period reaches as many images as it needs, the point's own among them. Pairs are counted
+    Up to SWEPT points a key is swept along the box's longest axis, within one task. The points of larger keys go to cells
+    of at least the cutoff's side, which are wrapped around the box: a step over its border moves the neighbour by a
+    period. A cutoff beyond a period reaches as many images as it needs, the point's own among them. Pairs are counted
     as they meet, in sums that are merged, and never listed.
 
-    Rows that repeat an id are points of their own, told apart by a stored number. Null keys, null or non-finite places: no neighbours, and none of
+    Rows that repeat an id are points of their own. Null keys, null or non-finite places: no neighbours, and none of
     another's. A point without neighbours has 0 and nulls. Empty table: no rows.
     """
+    scratch = Scratch(points.sparkSession, "coordination")
     places = [F.col(f"`{c}`").cast("double") for c in axes]
-    own = points.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_col}`").alias("id"), *(p.alias(k) for p, k in zip(places, AXES, strict=True)), F.monotonically_increasing_id().alias("row"))
-    own = Scratch(points.sparkSession, "coordination").save(own, "points")
+    own = points.select(F.col(f"`{key}`").alias("key"), F.col(f"`{id_col}`").alias("id"), *(p.alias(k) for p, k in zip(places, AXES, strict=True)))
     sound = F.col("key").isNotNull()
     for k in AXES:
         sound = sound & F.col(k).isNotNull() & (F.abs(F.col(k)) < float("inf"))
-    good = own.filter(F.coalesce(sound, F.lit(False)))
+    sound = F.coalesce(sound, F.lit(False))
+    large, n_large, n_points, n_good = _large_keys(own, sound, scratch)
+    good = own.filter(sound)
+    found = _coordination_by_sweep(good.join(large, "key", "left_anti") if n_large else good, box, cutoff, n_good)
+    if n_large:
+        found = found.unionByName(_coordination_by_grid(good.join(large, "key", "left_semi"), box, cutoff, scratch))
+    if n_good < n_points:
+        none = F.lit(None).cast("double")
+        found = found.unionByName(own.filter(~sound).select("key", "id", F.lit(0).cast("long").alias("neighbours"), none.alias("mean"), none.alias("m2"), none.alias("least")))
+    return found.select(F.col("key").alias(key), F.col("id").alias(id_col), "neighbours", "mean", "m2", "least")
+
+
+def _coordination_by_sweep(points: DataFrame, box: tuple[float, float, float], cutoff: float, rows: int) -> DataFrame:
+    """coordination() of sound points, by keys of at most SWEPT."""
+
+    def swept(batches):
+        import pyarrow as pa
+
+        from gapwise.operators import sweep
+
+        for batch, starts in sweep.whole_keys(batches):
+            count, *moments = sweep.neighbour_moments(starts, [sweep.column(batch, k) for k in AXES], box, cutoff)
+            columns = [batch.column("key"), batch.column("id"), pa.array(count), *(pa.array(m, mask=count == 0) for m in moments)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "neighbours", "mean", "m2", "least"])
+
+    fields = [StructField("neighbours", LongType()), *(StructField(c, DoubleType()) for c in ("mean", "m2", "least"))]
+    return _by_key(points, F.col("key"), rows).mapInArrow(swept, StructType([points.schema["key"], points.schema["id"], *fields]))
+
+
+def _coordination_by_grid(points: DataFrame, box: tuple[float, float, float], cutoff: float, scratch: Scratch) -> DataFrame:
+    """coordination() of sound points, for keys of any size. Rows are told apart by a stored number.
+
+    Where a period is more than twice the cutoff, a distance is that of the places as given less whole periods, as in a sweep.
+    """
+    own = scratch.save(points.withColumn("row", F.monotonically_increasing_id()), "points")
+    good = own
+    single = [2.000001 * cutoff < length for length in box]
     cells = [max(1, int(length // cutoff)) for length in box]
     steps = [max(1, -int(-cutoff // (length / n))) for length, n in zip(box, cells, strict=True)]
-    for k, length, n in zip(AXES, box, cells, strict=True):
+    for k, length, n, alone in zip(AXES, box, cells, single, strict=True):
         wrapped = F.col(k) - F.floor(F.col(k) / length) * length
-        good = good.withColumn(k, wrapped).withColumn(f"c{k}", F.least(F.floor(F.col(k) / (length / n)), F.lit(n - 1)))
+        good = good.withColumn(f"c{k}", F.least(F.floor(wrapped / (length / n)), F.lit(n - 1)))
+        good = good if alone else good.withColumn(k, wrapped)
     left = good.select("key", F.col("row").alias("a"), *(F.col(k).alias(f"a{k}") for k in AXES), *(f"c{k}" for k in AXES))
-    for k, length, n, far in zip(AXES, box, cells, steps, strict=True):
-        left = left.withColumn("raw", F.explode(F.sequence(F.col(f"c{k}") - far, F.col(f"c{k}") + far)))
+    for k, length, n, far, alone in zip(AXES, box, cells, steps, single, strict=True):
+        # a cell meets another once, where one image alone can be near
+        around = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")) if alone and n <= 2 * far else F.sequence(F.col(f"c{k}") - far, F.col(f"c{k}") + far)
+        left = left.withColumn("raw", F.explode(around))
         left = left.withColumn(f"s{k}", F.floor(F.col("raw") / n) * length).withColumn(f"c{k}", F.pmod("raw", F.lit(n))).drop("raw")
     right = good.select("key", F.col("row").alias("b"), *(F.col(k).alias(f"b{k}") for k in AXES), *(f"c{k}" for k in AXES))
     met = left.join(right, ["key", *(f"c{k}" for k in AXES)])
-    apart = [F.col(f"b{k}") + F.col(f"s{k}") - F.col(f"a{k}") for k in AXES]
+
+    def apart(k: str, length: float, alone: bool) -> Column:
+        if not alone:
+            return F.col(f"b{k}") + F.col(f"s{k}") - F.col(f"a{k}")
+        d = F.col(f"b{k}") - F.col(f"a{k}")
+        return d - F.rint(d / length) * length
+
     itself = (F.col("a") == F.col("b")) & (F.abs(F.col("sx")) + F.abs(F.col("sy")) + F.abs(F.col("sz")) == 0)
-    met = met.filter(~itself).withColumn("dist", F.sqrt(sum(d * d for d in apart))).filter(F.col("dist") <= cutoff)
+    squares = sum(d * d for d in map(apart, AXES, box, single))
+    met = met.filter(~itself).withColumn("dist", F.sqrt(squares)).filter(F.col("dist") <= cutoff)
     moments = met.groupBy("a").agg(F.count(F.lit(1)).alias("neighbours"), F.avg("dist").alias("mean"), (F.var_pop("dist") * F.count(F.lit(1))).alias("m2"), F.min("dist").alias("least"))
     out = own.join(moments, F.col("row") == F.col("a"), "left")
-    return out.select(F.col("key").alias(key), F.col("id").alias(id_col), F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "mean", "m2", "least")
+    return out.select("key", "id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "mean", "m2", "least")
 
 
 def bond_statistics(found: DataFrame, key: str) -> DataFrame:
     """(key, points, bonds, mean_coordination, most, mean_length, length_sd, least) from the rows of coordination().
 
-    Moments are merged about the key's mean, so nothing cancels. A bond is seen from both its ends and counts once.
+    Tasks reduce their rows to a state for each key and batch, which are stored. Moments are merged about the key's mean,
+    so nothing cancels. A bond is seen from both its ends and counts once.
     """
-    weight = F.col("neighbours")
-    means = found.groupBy(key).agg((F.sum(weight * F.col("mean")) / F.when(F.sum(weight) > 0, F.sum(weight))).alias("mean_length")).select(F.col(key).alias("of"), "mean_length")
-    met = found.join(means, F.col(key).eqNullSafe(F.col("of")))
+    rows = found.select(F.col(f"`{key}`").alias("key"), "neighbours", "mean", "m2", "least")
+
+    def reduced(batches):
+        from gapwise.operators import sweep
+
+        for batch in batches:
+            if batch.num_rows:
+                yield sweep.key_states(batch)
+
+    counts = [StructField(c, LongType()) for c in ("points", "neighbours", "most")]
+    states = rows.mapInArrow(reduced, StructType([rows.schema["key"], *counts, *(rows.schema[c] for c in ("mean", "m2", "least"))]))
+    states = Scratch(found.sparkSession, "bonds").save(states, "states")
+    weight = F.sum("neighbours")
+    some = F.when(weight > 0, weight)
+    means = states.groupBy("key").agg((F.sum(F.col("neighbours") * F.col("mean")) / some).alias("mean_length")).select(F.col("key").alias("of"), "mean_length")
+    met = states.join(means, F.col("key").eqNullSafe(F.col("of")))
     off = F.col("mean") - F.col("mean_length")
-    squares = F.sum(F.col("m2") + weight * off * off)
-    return met.groupBy(key).agg(
-        F.count(F.lit(1)).alias("points"), (F.sum(weight) / 2).alias("bonds"), F.avg(weight).alias("mean_coordination"), F.max(weight).alias("most"),
-        F.first("mean_length").alias("mean_length"), F.sqrt(squares / F.when(F.sum(weight) > 0, F.sum(weight))).alias("length_sd"), F.min("least").alias("least"),
-    )
+    squares = F.sum(F.col("m2") + F.col("neighbours") * off * off)
+    return met.groupBy("key").agg(
+        F.sum("points").alias("points"), (weight / 2).alias("bonds"), (weight / F.sum("points")).alias("mean_coordination"), F.max("most").alias("most"),
+        F.first("mean_length").alias("mean_length"), F.sqrt(squares / some).alias("length_sd"), F.min("least").alias("least"),
+    ).withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwise.functions.exact import exact_fixed
+from gapwise.functions.exact import exact_fixed, rounded_product
 from gapwise.operators import boosting, calibration, fingerprint, metrics, ordered, quality, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,7 @@ BOX, CUTOFF = (50.0, 110.0, 11.0), 3.05
 
 def bond_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spatial.bond_statistics(spatial.coordination(_places(spark, sf_dir), "l_suppkey", "l_orderkey", BOX, CUTOFF, PLACE), "l_suppkey")
-    return found.select("l_suppkey", "points", "bonds", "most", *(F.round(c, 6).alias(c) for c in ("mean_coordination", "mean_length", "length_sd", "least")))
+    return found.select("l_suppkey", "points", "bonds", "most", *(rounded_product(F.col(c), 6).alias(c) for c in ("mean_coordination", "mean_length", "length_sd", "least")))
 
 
 def _wrapped(axis: str, length: float) -> str:

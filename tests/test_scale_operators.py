@@ -172,6 +172,82 @@ def test_coordination(spark):
     assert stats["b"].bonds == 1 and stats["b"].mean_length == 2.0 and stats[None].bonds == 0  # its own image, seen from both ends
 
 
+def shuffled_rows(spark, act):
+    """The rows that act() shuffles, where no join is broadcast."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        act()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(rows for stage, rows in stages().items() if stage not in before)
+
+
+@pytest.mark.parametrize("swept", [20_000, 300, 0])
+def test_bonds_match_their_sql(spark, tmp_path, monkeypatch, swept):
+    """Points on a lattice, where many distances are the cutoff, in keys whose mean of bonds lies between two last digits;
+    swept keys and those on the grid. Small keys are last."""
+    import duckdb
+
+    from gapwise.plans import queries as plans
+
+    monkeypatch.setattr(spatial, "SWEPT", swept)
+    r = random.Random(6)
+    sizes = [640] * 6 + [300, 41, 1]
+    rows = [(k, r.randrange(10**6), 1, "N", float(r.randrange(1, 51)), r.randrange(20, 2100) * 50.0, r.randrange(11) / 100) for k, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query, sql = plans.TABLES["tbl_bond_statistics"]
+    duck = duckdb.connect()
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"select {', '.join(got.columns)} from ({sql})").fetchall())
+
+
+@pytest.mark.parametrize("swept", [20, 0])
+def test_coordination_of_large_keys(spark, monkeypatch, swept):
+    """Sweeps and grids see the same neighbours, with several images and with one."""
+    r = random.Random(7)
+    rows = [(k % 3 + 0.5 if k % 11 else math.nan, k, *(r.uniform(-9, 9) for _ in range(3))) for k in range(90)] + [(-0.0, 90, 0.0, 0.0, 0.0), (0.0, 91, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "key double, id long, x double, y double, z double").repartition(3)
+
+    def seen(box, cutoff):
+        found = spatial.coordination(df, "key", "id", box, cutoff)
+        states = {repr(x.key + 0.0): (x.points, x.bonds, x.most, *(round(x[c], 6) for c in ("mean_length", "length_sd", "least"))) for x in spatial.bond_statistics(found, "key").collect()}
+        return {x.id: (x.neighbours, *(None if x[c] is None else round(x[c], 6) for c in ("mean", "m2", "least"))) for x in found.collect()}, states
+
+    whole = [seen(*of) for of in (((18.0, 9.0, 9.0), 4.1), ((2.0, 3.0, 8.2), 4.1), ((18.0, 8.0, 3.0), 4.1))]
+    assert all(len(points) == 92 and len(states) == 5 for points, states in whole) and whole[0][0][90][0] == 1
+    monkeypatch.setattr(spatial, "SWEPT", swept)
+    for of, want in zip((((18.0, 9.0, 9.0), 4.1), ((2.0, 3.0, 8.2), 4.1), ((18.0, 8.0, 3.0), 4.1)), whole, strict=True):
+        points, states = seen(*of)
+        assert not {k for k, v in points.items() if v != want[0][k]} and states == want[1]
+
+
+def test_coordination_shuffles_points_once(spark):
+    """Not once for each of the 27 cells around each."""
+    df = sites(spark, 3000, 8, keys=30)[1]
+    assert shuffled_rows(spark, lambda: spatial.bond_statistics(spatial.coordination(df, "key", "id", (10.0, 10.0, 10.0), 1.0), "key").collect()) < 2 * 3000
+
+
+def test_values_of_keys():
+    """Equal keys have equal numbers: nulls, NaNs and both zeros too."""
+    import pyarrow as pa
+
+    from gapwise.operators.sweep import codes
+
+    for values in ([0.0, -0.0, math.nan, math.nan, None, 1.0, None], ["a", "a", "b", "b", None, "c", None], [[1], [1], [2], [2], None, [], None]):
+        c = codes(pa.array(values)).tolist()
+        assert [c[0] == c[1], c[2] == c[3], c[4] == c[6], len(set(c))] == [True, True, True, 4]
+
+
 # ---- order within hot keys ----
 
 
