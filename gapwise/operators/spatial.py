@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from gapwise.sources.store import Scratch
 
 #: Points of a key that one task sweeps, and about how many of all keys it takes.
-SWEPT, SWEPT_BY_TASK = 20_000, 250_000
+SWEPT, SWEPT_BY_TASK = 50_000, 250_000
 
 AXES = ("x", "y", "z")
 #: Grids by whose finest mixed cell the least distance is bounded: levels halve the side, shifts keep near points from
@@ -97,21 +97,70 @@ def _met(first: DataFrame, second: DataFrame, reach: DataFrame) -> DataFrame:
 def nearest_pairs(first: DataFrame, second: DataFrame, key: str, axes: tuple[str, str, str] = AXES, slack: float = 1.06) -> DataFrame:
     """The pairs within a key at up to `slack` times the key's least distance: key, a, b (rows as structs), dist.
 
-    Like crystal.nearest_bonds(), for keys of any size: a grid bounds the least distance, a join over neighbouring cells
-    of distinct places finds it, reduced before it is shuffled, and a second one with cells of slack times that length
-    gives the pairs. Work grows with the points and with the pairs returned.
+    Like crystal.nearest_bonds(), for keys of any size. Up to SWEPT points a key is swept along the axis of its greatest
+    extent, within one task. For larger keys a grid bounds the least distance, a join over neighbouring cells of distinct
+    places finds it, reduced before it is shuffled, and a second one with cells of slack times that length gives the
+    pairs: work grows with the points and with the pairs returned.
 
     Rows with a null or non-finite place, or a null key, are in no pair. Rows that repeat are rows of their own. A key
     that lacks points of one table gives none. Empty table: no rows.
     """
     scratch = Scratch(first.sparkSession, "nearest")
 
+    def sound(df: DataFrame) -> DataFrame:
+        good = F.col(f"`{key}`").isNotNull()
+        for c in axes:
+            place = F.col(f"`{c}`").cast("double")
+            good = good & place.isNotNull() & (F.abs(place) < float("inf"))
+        return df.filter(good)
+
+    first, second = sound(first), sound(second)
+    keys = first.select(F.col(f"`{key}`").alias("key")).unionByName(second.select(F.col(f"`{key}`").alias("key")))
+    large, n_large, n_points, _ = _large_keys(keys, F.lit(True), scratch)
+    if not n_large:
+        return _nearest_by_sweep(first, second, key, axes, slack, n_points)
+    few, many = ([df.join(large.withColumnRenamed("key", key), key, how).select(*(F.col(f"`{c}`") for c in df.columns)) for df in (first, second)] for how in ("left_anti", "left_semi"))
+    return _nearest_by_sweep(*few, key, axes, slack, n_points).unionByName(_nearest_by_grid(*many, key, axes, slack, scratch))
+
+
+def _nearest_by_sweep(first: DataFrame, second: DataFrame, key: str, axes: tuple[str, str, str], slack: float, rows: int) -> DataFrame:
+    """nearest_pairs() of sound rows, by keys of at most SWEPT points."""
+
+    def row(df: DataFrame) -> Column:
+        return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+    # places and keys are read from the rows behind the shuffle, so that none is moved twice
+    a, b = row(first).alias("a"), row(second).alias("b")
+    a, b = first.select(a), second.select(b)
+    both = a.unionByName(b, allowMissingColumns=True)
+
+    def either(c: str) -> Column:
+        return F.coalesce(F.col("a").getField(c), F.col("b").getField(c))
+
+    places = [F.coalesce(*(F.col(of).getField(c).cast("double") for of in "ab")).alias(k) for c, k in zip(axes, AXES, strict=True)]
+    dealt = _by_key(both, either(key), rows).select(either(key).alias("key"), *places, "a", "b")
+
+    def swept(batches):
+        import pyarrow as pa
+
+        from gapwise.operators import sweep
+
+        for batch, starts in sweep.whole_keys(batches):
+            second = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            for i, j, dist in sweep.nearest(starts, second, [sweep.column(batch, k) for k in AXES], slack):
+                columns = [batch.column(c).take(pa.array(at)) for c, at in (("key", i), ("a", i), ("b", j))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(dist)], names=["key", "a", "b", "dist"])
+
+    found = dealt.mapInArrow(swept, StructType([*(dealt.schema[c] for c in ("key", "a", "b")), StructField("dist", DoubleType())]))
+    return found.select(F.col("key").alias(key), "a", "b", "dist")
+
+
+def _nearest_by_grid(first: DataFrame, second: DataFrame, key: str, axes: tuple[str, str, str], slack: float, scratch: Scratch) -> DataFrame:
+    """nearest_pairs() of sound rows, for keys of any size."""
+
     def points(df: DataFrame) -> DataFrame:
-        places = [F.col(f"`{c}`").cast("double") for c in axes]
-        sound = F.col(f"`{key}`").isNotNull()
-        for p in places:
-            sound = sound & p.isNotNull() & (F.abs(p) < float("inf"))
-        return df.filter(sound).select(F.col(f"`{key}`").alias("key"), *(p.alias(k) for p, k in zip(places, AXES, strict=True)), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+        places = [F.col(f"`{c}`").cast("double").alias(k) for c, k in zip(axes, AXES, strict=True)]
+        return df.select(F.col(f"`{key}`").alias("key"), *places, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
     a, b = points(first), points(second)
     places = [p.select("key", *AXES).distinct().withColumn("row", F.lit(None).cast("int")) for p in (a, b)]

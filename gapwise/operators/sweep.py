@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Rows of whole keys and pairs compared that are held at once.
-ROWS, COMPARED = 1 << 16, 1 << 19
+#: Rows of whole keys, pairs compared and pairs passed on that are held at once.
+ROWS, COMPARED, PASSED = 1 << 16, 1 << 19, 1 << 16
 
 
 def codes(column: pa.Array) -> np.ndarray:
@@ -52,6 +52,48 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
+def nearest(starts: np.ndarray, second: np.ndarray, places: list[np.ndarray], slack: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, dist): the rows of a key whose distance is up to `slack` times the key's least, i of the first table and j of
+    the second. Each key goes along the axis of its greatest extent: its points meet those a step further, two steps and so
+    on, while the gap on that axis leaves room for a pair in question."""
+    n = len(second)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    with np.errstate(over="ignore"):
+        extents = [np.maximum.reduceat(p, starts) - np.minimum.reduceat(p, starts) for p in places]
+    along = np.choose(np.argmax(extents, axis=0)[group], places)
+    order = np.lexsort((along, group))
+    along, second, (x, y, z) = along[order], second[order], (p[order] for p in places)
+    end = np.append(starts, n)[1:][group]
+
+    def met(reach: np.ndarray, below):
+        at, step = np.arange(n), 0
+        with np.errstate(over="ignore"):
+            while len(at):
+                step += 1
+                at = at[at + step < end[at]]
+                at = at[below(along[at + step] - along[at], reach[group[at]])]
+                a = at[second[at] != second[at + step]]
+                b = a + step
+                dx, dy, dz = x[a] - x[b], y[a] - y[b], z[a] - z[b]
+                yield a, b, np.sqrt(dx * dx + dy * dy + dz * dz)
+
+    least = np.full(len(starts), np.inf)
+    for a, _, dist in met(least, np.less):  # least falls on the way
+        np.minimum.at(least, group[a], dist)
+    held, size = [], 0
+    reach = least * slack
+    for a, b, dist in met(reach, np.less_equal):
+        hit = dist <= reach[group[a]]
+        a, b, dist = a[hit], b[hit], dist[hit]
+        held.append((order[np.where(second[a], b, a)], order[np.where(second[a], a, b)], dist))
+        size += len(a)
+        if size >= PASSED:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def neighbour_moments(starts: np.ndarray, places: list[np.ndarray], box: tuple[float, float, float], cutoff: float) -> tuple[np.ndarray, ...]:
     """(count, mean, m2, least) of each row's distances up to `cutoff` to its key's points, which repeat with the periods
     `box`. A pair is met once and counts at both ends.

@@ -59,8 +59,9 @@ PLACES_SQL = "places AS (SELECT *, l_extendedprice / 1000 AS price, l_discount *
 
 def nearest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _places(spark, sf_dir)
-    pairs = spatial.nearest_pairs(places.filter("l_returnflag = 'R'"), places.filter("l_returnflag <> 'R'"), "l_suppkey", PLACE)
-    return pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("dist"), 6).alias("least"), F.round(F.max("dist"), 6).alias("longest"), F.sum(F.col("a.l_orderkey") + F.col("b.l_orderkey")).alias("keys"))
+    sides = [places.filter(f"l_returnflag {of} 'R'").select("l_suppkey", "l_orderkey", *PLACE) for of in ("=", "<>")]
+    pairs = spatial.nearest_pairs(*sides, "l_suppkey", PLACE)
+    return pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("pairs"), rounded_product(F.min("dist"), 6).alias("least"), rounded_product(F.max("dist"), 6).alias("longest"), F.sum(F.col("a.l_orderkey") + F.col("b.l_orderkey")).alias("keys"))
 
 
 NEAREST_GRID_SQL = f"""

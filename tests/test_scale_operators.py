@@ -248,6 +248,48 @@ def test_values_of_keys():
         assert [c[0] == c[1], c[2] == c[3], c[4] == c[6], len(set(c))] == [True, True, True, 4]
 
 
+@pytest.mark.parametrize("swept", [20_000, 100, 0])
+@pytest.mark.parametrize("spread, slack", [(10.0, 3.0), (0.002, 1.06), (0.0, 1.06)])
+def test_nearest_pairs_by_sweep_and_grid(spark, monkeypatch, swept, spread, slack):
+    """Keys of 60 and 200 points, in tables that differ in their columns: swept, one of each, on the grid."""
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(spatial, "SWEPT", swept)
+    a, b = ([r for s, keys in ((1, 1), (3, 1)) for r in sites(spark, 30 if s == 1 else 100, s + of, keys, spread)[0] for r in [(*r[:1], f"k{s}", *r[2:])]] for of in (0, 1))
+    schema = StructType.fromDDL("id long, key string, x double, y double, z double")
+    first = spark.createDataFrame(a, schema).withColumn("a.b", F.array("id"))
+    second = spark.createDataFrame([r[::-1] for r in b], StructType(schema.fields[::-1])).withColumn("day", F.lit("2020-02-02").cast("timestamp"))
+    found = spatial.nearest_pairs(first, second, "key", slack=slack)
+    rows = found.collect()
+    assert sorted((r.key, r.a.id, r.b.id, r.dist) for r in rows) == brute_pairs(a, b, slack)
+    assert found.columns == ["key", "a", "b", "dist"] and all(r.a["a.b"] == [r.a.id] and r.b.day.day == 2 and r.a.key == r.b.key == r.key for r in rows)
+
+
+@pytest.mark.parametrize("swept", [20_000, 0])
+def test_nearest_grid_matches_its_sql(spark, tmp_path, monkeypatch, swept):
+    """Places on a lattice, with ties at the least distance and at the slack."""
+    import duckdb
+
+    from gapwise.plans import queries as plans
+
+    monkeypatch.setattr(spatial, "SWEPT", swept)
+    r = random.Random(11)
+    rows = [(k, r.randrange(10**6), 1, r.choice("RAN"), float(r.randrange(1, 51)), r.randrange(20, 2100) * 50.0, r.randrange(11) / 100) for k, n in enumerate([300, 41, 3, 3, 1]) for _ in range(n)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query, sql = plans.TABLES["tbl_nearest_grid"]
+    duck = duckdb.connect()
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"select {', '.join(got.columns)} from ({sql})").fetchall())
+
+
+def test_nearest_pairs_shuffle_points_once(spark):
+    """Not once for each of the 27 cells around each and for each level of a grid."""
+    first, second = (sites(spark, 3000, s, keys=30)[1] for s in (12, 13))
+    assert shuffled_rows(spark, lambda: spatial.nearest_pairs(first, second, "key").collect()) < 2 * 6000
+
+
 # ---- order within hot keys ----
 
 
