@@ -7,9 +7,7 @@ any number of tasks; a key's points are never paired as a whole.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -24,13 +22,12 @@ AXES = ("x", "y", "z")
 LEVEL_BITS, SHIFTS = 5, 4
 
 
-def _large_keys(points: DataFrame, good: Column, scratch: Scratch) -> tuple[DataFrame, int, int, int]:
-    """(key) of more than SWEPT points that are good; how many keys those are, and how many points there are and are good."""
-    counts = Observation(f"points-{uuid.uuid4().hex}")
-    seen = points.observe(counts, F.count(F.lit(1)).alias("points"), F.count_if(good).alias("good"))
-    large = scratch.save(seen.filter(good).groupBy("key").count().filter(F.col("count") > SWEPT).select("key"), "large")
-    found = counts.get
-    return large, large.count(), found["points"], found["good"]
+def _large_keys(points: DataFrame, good: Column, scratch: Scratch) -> tuple[DataFrame | None, int, int]:
+    """(key) of more than SWEPT points that are good, None where no key has as many; how many points there are and are good."""
+    counted = points.groupBy("key").agg(F.count(F.lit(1)).alias("points"), F.count_if(good).alias("good"))
+    whole = counted.agg(F.sum("points").alias("points"), F.sum("good").alias("good"), F.max("good").alias("most")).first()
+    large = scratch.save(counted.filter(F.col("good") > SWEPT).select("key"), "large") if (whole.most or 0) > SWEPT else None
+    return large, whole.points or 0, whole.good or 0
 
 
 def _by_key(points: DataFrame, key: Column, rows: int) -> DataFrame:
@@ -116,8 +113,8 @@ def nearest_pairs(first: DataFrame, second: DataFrame, key: str, axes: tuple[str
 
     first, second = sound(first), sound(second)
     keys = first.select(F.col(f"`{key}`").alias("key")).unionByName(second.select(F.col(f"`{key}`").alias("key")))
-    large, n_large, n_points, _ = _large_keys(keys, F.lit(True), scratch)
-    if not n_large:
+    large, n_points, _ = _large_keys(keys, F.lit(True), scratch)
+    if large is None:
         return _nearest_by_sweep(first, second, key, axes, slack, n_points)
     few, many = ([df.join(large.withColumnRenamed("key", key), key, how).select(*(F.col(f"`{c}`") for c in df.columns)) for df in (first, second)] for how in ("left_anti", "left_semi"))
     return _nearest_by_sweep(*few, key, axes, slack, n_points).unionByName(_nearest_by_grid(*many, key, axes, slack, scratch))
@@ -190,10 +187,10 @@ def coordination(points: DataFrame, key: str, id_col: str, box: tuple[float, flo
     for k in AXES:
         sound = sound & F.col(k).isNotNull() & (F.abs(F.col(k)) < float("inf"))
     sound = F.coalesce(sound, F.lit(False))
-    large, n_large, n_points, n_good = _large_keys(own, sound, scratch)
+    large, n_points, n_good = _large_keys(own, sound, scratch)
     good = own.filter(sound)
-    found = _coordination_by_sweep(good.join(large, "key", "left_anti") if n_large else good, box, cutoff, n_good)
-    if n_large:
+    found = _coordination_by_sweep(good if large is None else good.join(large, "key", "left_anti"), box, cutoff, n_good)
+    if large is not None:
         found = found.unionByName(_coordination_by_grid(good.join(large, "key", "left_semi"), box, cutoff, scratch))
     if n_good < n_points:
         none = F.lit(None).cast("double")

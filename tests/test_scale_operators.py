@@ -237,6 +237,17 @@ def test_coordination_shuffles_points_once(spark):
     assert shuffled_rows(spark, lambda: spatial.bond_statistics(spatial.coordination(df, "key", "id", (10.0, 10.0, 10.0), 1.0), "key").collect()) < 2 * 3000
 
 
+def test_neighbours_of_no_points(spark):
+    """Tables that are empty, or whose plan Spark empties, and points without key or place."""
+    df = sites(spark, 20, 14)[1]
+    for empty in (df.limit(0), df.filter(F.lit(False)), spark.createDataFrame([], df.schema)):
+        found = spatial.coordination(empty, "key", "id", (3.0, 3.0, 3.0), 1.0)
+        assert found.count() == spatial.bond_statistics(found, "key").count() == spatial.nearest_pairs(empty, df, "key").count() == spatial.nearest_pairs(df, empty, "key").count() == 0
+    for column in ("key", "x"):
+        bare = df.withColumn(column, F.lit(None).cast(df.schema[column].dataType))
+        assert {r.neighbours for r in spatial.coordination(bare, "key", "id", (3.0, 3.0, 3.0), 1.0).collect()} == {0} and spatial.nearest_pairs(bare, df, "key").count() == 0
+
+
 def test_values_of_keys():
     """Equal keys have equal numbers: nulls, NaNs and both zeros too."""
     import pyarrow as pa
